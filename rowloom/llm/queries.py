@@ -7,6 +7,7 @@ import importlib
 #: Query name: module that defines it.
 _MODULES = {
     "op3_simhash": "simhash",
+    "op9_quality_rules": "quality_rules",
 }
 
 
