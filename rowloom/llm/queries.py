@@ -8,6 +8,7 @@ import importlib
 _MODULES = {
     "op3_simhash": "simhash",
     "op9_quality_rules": "quality_rules",
+    "op10_pii": "pii",
 }
 
 
