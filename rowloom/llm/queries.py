@@ -7,6 +7,8 @@ import importlib
 #: Query name: module that defines it.
 _MODULES = {
     "op3_simhash": "simhash",
+    "op5_mixing": "mixing",
+    "op8_toxicity": "toxicity",
     "op9_quality_rules": "quality_rules",
     "op10_pii": "pii",
 }
