@@ -6,6 +6,7 @@ import importlib
 
 #: Query name: module that defines it.
 _MODULES = {
+    "op1_embedding": "embedding",
     "op2_sentencepiece": "sentencepieces",
     "op3_simhash": "simhash",
     "op5_mixing": "mixing",
