@@ -10,6 +10,8 @@ _MODULES = {
     "op2_sentencepiece": "sentencepieces",
     "op3_simhash": "simhash",
     "op5_mixing": "mixing",
+    "op6_licenses": "licenses",
+    "op7_quality_model": "quality_model",
     "op8_toxicity": "toxicity",
     "op9_quality_rules": "quality_rules",
     "op10_pii": "pii",
