@@ -9,6 +9,7 @@ _MODULES = {
     "op1_embedding": "embedding",
     "op2_sentencepiece": "sentencepieces",
     "op3_simhash": "simhash",
+    "op4_chat": "chat",
     "op5_mixing": "mixing",
     "op6_licenses": "licenses",
     "op7_quality_model": "quality_model",
