@@ -15,8 +15,8 @@ KEYWORD = "seq long, name string, reserved boolean, min_abbreviation string, key
 #: Keywords that the grammar uses, name[:shortest spelling], by type. Larger dictionaries are read from files.
 BUILTIN = {
     "Operator": "BEGINS EQ NE LT LE GT GE MATCHES CONTAINS MODULO:mod",
-    "Statement": "ACCUMULATE:accum ASSIGN CASE CREATE DELETE:dele DISPLAY:disp DO END EXPORT FIND FOR IMPORT INSERT LEAVE MESSAGE NEXT PROCEDURE:proce PUT RELEASE REPEAT RETURN RUN SET UPDATE EXCLUSIVE-LOCK PREV",
-    "Function": "ALIAS CAST CHR CONNECTED DATASERVERS DBCODEPAGE DBCOLLATION DBPARAM DBRESTRICTIONS:dbrest DBTASKID DBTYPE DBVERSION:dbvers ENCODE ETIME FILL FIRST GATEWAYS:gateway INPUT IS-ATTR-SPACE:is-attr "
+    "Statement": "ACCUMULATE:accumu ASSIGN CASE CREATE DELETE:del DISPLAY:disp DO END EXPORT FIND FOR IMPORT INSERT LEAVE MESSAGE NEXT PROCEDURE PUT RELEASE REPEAT RETURN RUN SET UPDATE EXCLUSIVE-LOCK PREV",
+    "Function": "ACCUM ALIAS CAST CHR CONNECTED DATASERVERS DBCODEPAGE DBCOLLATION DBPARAM DBRESTRICTIONS:dbrest DBTASKID DBTYPE DBVERSION:dbvers ENCODE ETIME FILL FIRST GATEWAYS:gateway INPUT IS-ATTR-SPACE:is-attr "
     "IS-LEAD-BYTE KBLABEL KEYCODE KEYFUNCTION:keyfunc KEYLABEL KEYWORD LAST LASTKEY LAST-OF LDBNAME LINE-COUNTER:line-count LOOKUP MEMBER MESSAGE-LINES NOW NUM-ALIASES:num-ali NUM-DBS OPSYS PAGE-NUMBER:page-num PDBNAME "
     "PROC-HANDLE:proc-ha PROC-STATUS:proc-st PROGRAM-NAME PROGRESS PROVERSION:provers RETRY R-INDEX SDBNAME SEARCH SETUSERID:setuser TIME TO-ROWID TRIM USERID",
     "Attribute": "AMBIGUOUS:ambig AVAILABLE:avail ENTRY INDEX LABEL LOCKED NUM-ENTRIES PARAMETER:param QUERY RECID ROWID TABLE TRANSACTION",

@@ -177,6 +177,8 @@ class Scope:
             return self.special["call", e.name, e.args]
         if e.name in ("first-of", "last-of") and (e.name, e.args[0]) in self.special:
             return self.special[e.name, e.args[0]]
+        if e.name == "accum":  # what an earlier ACCUMULATE has left
+            return self.name(_accum_name(e.args[0].value, e.args[1]))
         if e.name == "available":
             b = e.args[0].name.lower()
             return F.col(self.buffers[b][self.env.catalog.order_of(b)[0].lower()]).isNotNull()
@@ -250,13 +252,18 @@ def _names(e) -> set[str]:
 
 @dataclass
 class Update:
-    """An assignment to a variable in a loop body: under guard (None: always), after how many LEAVEs, at which position."""
+    """An assignment to a variable in a loop body: under guard (None: always), after how many LEAVEs.
+
+    kind: sum, max, min or last; column and condition: what it adds, compares or stores, and when, as of its place.
+    """
 
     guard: object
     target: str
     value: object
     stage: int
-    at: int
+    kind: str = ""
+    column: Column | None = None
+    condition: Column | None = None
 
 
 class Loop:
@@ -275,6 +282,7 @@ class Loop:
         self.levels: list[int] = []
         self.columns: list[str] = []
         self.breaks: list = []
+        self.how: dict[str, str] = {}
 
     # -- rows
     def prefixed(self, buffer: str) -> tuple[DataFrame, dict[str, str]]:
@@ -488,7 +496,7 @@ class Loop:
             return self.body(s.body, guard)
         elif isinstance(s, S.Display):
             if guard is not None:
-                self.rows = self.rows.where(self.condition(guard))
+                self.rows = self.with_lazies(self.rows).where(self.condition(guard))
             self.shown = s.items
         elif isinstance(s, S.Accumulate):
             self.accumulated.append(s)
@@ -535,14 +543,38 @@ class Loop:
         low = s.target.name.lower()
         if low not in self.env.vars:
             raise LoweringError(f"unknown variable {s.target.name}")
-        self.updates.append(Update(guard, low, s.value, len(self.leaves), len(self.updates)))
-        if low not in _names(s.value) and guard is None and not _names(s.value) & self.carried():
-            self.scope.locals[low] = self.scope.expr(s.value)
+        u = Update(guard, low, s.value, len(self.leaves))
+        self.updates.append(u)
+        if low in self.scope.locals:  # a later assignment of the same iteration
+            g, new = self.condition(guard), self.scope.expr(s.value)
+            u.kind, u.column = "last", new if g is None else F.when(g, new).otherwise(self.scope.locals[low])
+            self.scope.locals[low] = u.column
+            return
+        added, extreme = _added(u), _extreme(u)
+        if added is not None:
+            u.kind, u.column, u.condition = "sum", self.scope.expr(added), self.condition(guard)
+        elif extreme is not None:
+            u.kind, u.column, u.condition = extreme[0], self.scope.expr(extreme[1]), self.condition(extreme[2])
         else:
-            self.scope.blocked.add(low)
+            u.kind, u.column, u.condition = "last", self.scope.expr(s.value), self.condition(guard)
+            if guard is None:
+                self.scope.locals[low] = u.column
+                self.scope.blocked.discard(low)
 
-    def carried(self) -> set[str]:
-        return {u.target for u in self.updates} - set(self.scope.locals)
+    def block(self, statements: list) -> None:
+        """Variables that a body assigns carry values between iterations until the body has set them."""
+        for s in statements:
+            if isinstance(s, S.Assign) and isinstance(s.target, S.Name) and s.target.name.lower() in self.env.vars:
+                self.scope.blocked.add(s.target.name.lower())
+            elif isinstance(s, S.Run) and isinstance(s.target, S.Literal) and str(s.target.value).lower() in self.env.procedures:
+                self.block(self.env.procedures[str(s.target.value).lower()].body)
+            elif isinstance(s, S.Case):
+                for _, then in s.branches:
+                    self.block(then)
+                self.block(s.otherwise)
+            else:
+                for part in ("body", "yes", "no"):
+                    self.block(getattr(s, part, []) or [])
 
     def owner(self, name: str) -> str | None:
         return next((b for b in reversed(list(self.scope.buffers)) if name.lower() in self.scope.buffers[b]), None)
@@ -551,14 +583,11 @@ class Loop:
         """Reading a sum in the iteration that adds to it: a running window over the rows' order."""
         for low in _names(e) & self.scope.blocked:
             own = [u for u in self.updates if u.target == low]
-            added = [_added(u) for u in own]
-            if any(a is None for a in added):
-                raise LoweringError(f"{low} is read inside the loop but isn't a running sum")
+            if not own or any(u.kind != "sum" for u in own):
+                raise LoweringError(f"{low} is read inside the loop but isn't a running sum so far")
             each = None
-            for u, a in zip(own, added):
-                g = self.condition(u.guard)
-                x = self.scope.expr(a)
-                x = x if g is None else F.when(g, x)
+            for u in own:
+                x = u.column if u.condition is None else F.when(u.condition, u.column)
                 each = F.coalesce(x, F.lit(0)) if each is None else each + F.coalesce(x, F.lit(0))
             w = Window.orderBy(*[c.desc() if d else c.asc() for c, d in self.sort], *self.keys).rowsBetween(Window.unboundedPreceding, 0)
             self.rows = self.with_lazies(self.rows).withColumn(f"__run_{low}", self.start(low) + F.sum(each).over(w))
@@ -616,6 +645,9 @@ class Loop:
                 env.vars[n] = Lazy(frame, n)
         if self.accumulated:
             env.rows.append(self.accumulates())
+            if not self.breaks:
+                for a in self.accumulated:
+                    env.vars |= {_accum_name(k, a.value): Lazy(env.rows[-1], f"{_label(a.value, 0)}_{k.replace('-', '_')}") for k in a.kinds}
         if self.shown is not None:
             cols = [self.scope.expr(e).alias(label or _label(e, i)) for i, (e, label) in enumerate(self.shown)]
             out = self.with_lazies(self.rows)
@@ -658,60 +690,41 @@ class Loop:
         return F.col(f"__live_{u.stage}") if self.leaves else None
 
     def guarded(self, u: Update) -> Column | None:
-        g, live = self.condition(u.guard), self.live(u)
-        return g if live is None else live if g is None else g & live
+        live = self.live(u)
+        return u.condition if live is None else live if u.condition is None else u.condition & live
 
     def aggregate(self, name: str):
         """The aggregate that a variable's updates amount to, built once the rows are cut."""
         own = [u for u in self.updates if u.target == name]
-        added = [_added(u) for u in own]
-        if all(a is not None for a in added):
-            values = [self.scope.expr(a) for a in added]
-
-            def total() -> Column:
-                out = None
-                for u, v in zip(own, values):
-                    g = self.guarded(u)
-                    x = F.coalesce(F.sum(v if g is None else F.when(g, v)), F.lit(0))
-                    out = x if out is None else out + x
-                return out
-
-            self.how = getattr(self, "how", {}) | {name: "sum"}
-            return total
-        extreme = [_extreme(u) for u in own]
-        if all(x is not None for x in extreme) and len({x[0] for x in extreme}) == 1:
-            kind = extreme[0][0]
-            values = [(self.scope.expr(x[1]), self.condition(x[2])) for x in extreme]
-
-            def best() -> Column:
-                outs = []
-                for u, (v, g) in zip(own, values):
-                    live = self.live(u)
-                    for c in (g, live):
-                        v = v if c is None else F.when(c, v)
-                    outs.append(F.max(v) if kind == "max" else F.min(v))
-                return outs[0] if len(outs) == 1 else (F.greatest if kind == "max" else F.least)(*outs)
-
-            self.how = getattr(self, "how", {}) | {name: kind}
-            return best
-        if any(name in _names(u.value) or name in _names([c for _, c in u.guard or ()]) for u in own):
-            raise LoweringError(f"updates of {name} depend on earlier iterations in a way that has no plan")
-        saved = dict(self.scope.locals)
-        self.scope.locals.pop(name, None)
-        values = [self.scope.expr(u.value) for u in own]
-        self.scope.locals = saved
+        kinds = {u.kind for u in own}
+        if len(kinds) > 1:
+            raise LoweringError(f"updates of {name} mix {', '.join(sorted(kinds))}")
+        kind = kinds.pop()
+        self.how[name] = kind
+
+        def total() -> Column:
+            out = None
+            for u in own:
+                g = self.guarded(u)
+                x = F.coalesce(F.sum(u.column if g is None else F.when(g, u.column)), F.lit(0))
+                out = x if out is None else out + x
+            return out
+
+        def best() -> Column:
+            fold, pair = (F.max, F.greatest) if kind == "max" else (F.min, F.least)
+            outs = [fold(u.column if (g := self.guarded(u)) is None else F.when(g, u.column)) for u in own]
+            return outs[0] if len(outs) == 1 else pair(*outs)
 
         def last() -> Column:
             value = hit = None
-            for u, v in zip(own, values):
+            for u in own:
                 g = self.guarded(u)
-                value = v if g is None else (F.when(g, v) if value is None else F.when(g, v).otherwise(value))
-                hit = F.lit(True) if g is None else (g if hit is None else hit | g)
-            order = F.struct(*[(c if not d else -c) for c, d in self.sort], *[F.col(k) for k in self.keys])
+                value = u.column if g is None else F.when(g, u.column) if value is None else F.when(g, u.column).otherwise(value)
+                hit = F.lit(True) if g is None else g if hit is None else hit | g
+            order = F.struct(*[(c if not d else -c).alias(f"s{i}") for i, (c, d) in enumerate(self.sort)], *[F.col(k) for k in self.keys])
             return F.max_by(F.struct(value.alias("v")), F.when(hit, order))
 
-        self.how = getattr(self, "how", {}) | {name: "last"}
-        return last
+        return {"sum": total, "last": last}.get(kind, best)
 
     def closed(self, name: str, start: Column) -> Column:
         """An aggregate joined with the variable's value before the loop."""
@@ -740,6 +753,10 @@ def _label(e, i: int) -> str:
     return e.name if isinstance(e, (S.Name, S.Field)) else f"expr_{i + 1}"
 
 
+def _accum_name(kind: str, e) -> str:
+    return f"accum_{kind}_{_label(e, 0)}".lower()
+
+
 def _added(u: Update):
     """e of x = x + e, x = e + x or x = x - e, if e and the guard don't read x; else None."""
     v = u.value
@@ -751,7 +768,7 @@ def _added(u: Update):
     if v.op == "+" and is_x(v.right) and u.target not in _names(v.left):
         return v.left
     if isinstance(v.left, S.Binary) and u.target in _names(v.left) and u.target not in _names(v.right):
-        inner = _added(Update(u.guard, u.target, v.left, u.stage, u.at))
+        inner = _added(Update(u.guard, u.target, v.left, u.stage))
         return None if inner is None else S.Binary(v.op, inner, v.right)
     return None
 
@@ -933,6 +950,7 @@ def _execute(env: Env, s) -> None:  # noqa: C901
     elif isinstance(s, S.ForEach):
         loop = Loop(env)
         loop.enter(s)
+        loop.block(s.body)
         loop.body(s.body)
         loop.finish()
     elif isinstance(s, S.Find):
@@ -985,6 +1003,7 @@ def count(env: Env, s: S.Do) -> None:
             if step < 0:
                 loop.sort = [(F.col(f"do__{s.var}"), True)]
             before = dict(env.vars), list(env.rows)
+            loop.block(s.body)
             loop.body(s.body)
             loop.finish()
             env.vars[low] = Scalar(start + max(0, (stop - start) // step + 1) * step, "integer")

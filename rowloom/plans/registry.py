@@ -156,6 +156,7 @@ rows("running_total", "VAR INT seen. FOR EACH customer WHERE c_custkey <= 300: s
 rows("filter_by_total", "VAR DECIMAL top. FOR EACH orders: top = MAXIMUM(top, o_totalprice). END. FOR EACH orders WHERE o_totalprice > top * 0.9: DISPLAY o_orderkey. END.", "SELECT o_orderkey FROM orders WHERE o_totalprice > (SELECT max(o_totalprice) FROM orders) * 0.9")
 rows("accumulate_total", "FOR EACH customer: ACCUMULATE c_acctbal (TOTAL COUNT AVERAGE MINIMUM MAXIMUM). END.", "SELECT round(sum(c_acctbal), 1) AS c_acctbal_total, count(c_acctbal) AS c_acctbal_count, round(avg(c_acctbal), 4) AS c_acctbal_average, min(c_acctbal) AS c_acctbal_minimum, max(c_acctbal) AS c_acctbal_maximum FROM customer",
      post=lambda d: d.withColumn("c_acctbal_total", F.round("c_acctbal_total", 1)).withColumn("c_acctbal_average", F.round("c_acctbal_average", 4)))
+values("accum_after", "VAR DECIMAL mean. FOR EACH customer: ACCUMULATE c_acctbal (TOTAL COUNT). END. mean = (ACCUM TOTAL c_acctbal) / (ACCUM COUNT c_acctbal).", {"mean": "round4"}, "SELECT round(avg(c_acctbal), 4) AS mean FROM customer")
 rows("accumulate_rollup", "FOR EACH lineitem BREAK BY l_returnflag BY l_linestatus: ACCUMULATE l_quantity (SUB-TOTAL SUB-COUNT). END.", "SELECT l_returnflag, l_linestatus, sum(l_quantity) AS l_quantity_sub_total, count(l_quantity) AS l_quantity_sub_count FROM lineitem GROUP BY ROLLUP (l_returnflag, l_linestatus)")
 
 # -- control flow
