@@ -94,23 +94,25 @@ class Index:
 
 
 def align(template: np.ndarray, doc: np.ndarray, offset: int) -> tuple[int, int, int]:
-    """Most template words matched in order within BAND of the diagonal doc = template + offset: (matched, first, last doc word)."""
-    lo0 = -BAND
+    """Best alignment within BAND of the diagonal doc = template + offset: (matched words, first, last doc word).
+
+    A match counts 100; a word passed over on either side, a mismatch and a step off the diagonal at the start cost 1,
+    so of alignments with as many matches the straightest wins.
+    """
     width = 2 * BAND + 1
-    # cell: (matched, -span start, last) of the best alignment so far, by column j = template position + offset + lo0 + k
-    best = [(0, 0, -1)] * (width + 1)
+    none = (-(10**9), 0, -1, -1)
+    # a cell holds (score, matched, first, last) for template words so far and column k: doc word i + offset - BAND + k
+    best = [*((-abs(k - BAND), 0, -1, -1) for k in range(width)), none]
     for i, w in enumerate(template.tolist()):
-        row, left = [(0, 0, -1)] * (width + 1), (0, 0, -1)
+        row, left = [none] * (width + 1), none
         for k in range(width):
-            j = i + offset + lo0 + k
-            cell = max(best[k + 1], left)
-            if 0 <= j < len(doc) and doc[j] == w:
-                n, start, _ = best[k]
-                cell = max(cell, (n + 1, start if n else -j, j))
-            row[k] = left = cell
+            j = i + offset - BAND + k
+            score, n, first, last = best[k]
+            here = (score + 100, n + 1, first if n else j, j) if 0 <= j < len(doc) and doc[j] == w else (score - 1, n, first, last)
+            above = best[k + 1]
+            row[k] = left = max(here, (above[0] - 1, *above[1:]), (left[0] - 1, *left[1:]))
         best = row
-    n, start, last = max(best)
-    return n, -start, last
+    return max(best)[1:]
 
 
 def scan(text: str, index: Index) -> list[tuple]:
