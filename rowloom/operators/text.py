@@ -8,7 +8,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rowloom.plans.lexer import tokenize
+from rowloom.plans.lexer import SYMBOLS, tokenize
+
+#: The token classes of plans.lexer for Java's matcher: possessive groups neither recurse nor backtrack on long tokens.
+_JAVA = (
+    r"""[ \t\n\r]++|//[^\n]*+\n?|/\*[\s\S]*?\*/|/\*[\s\S]*|"(?:[^"~]++|~[\s\S])*+"|'(?:[^'~]++|~[\s\S])*+'|["'][\s\S]*|[0-9]++(?:\.[0-9]++)?"""
+    r"""|(?:[Nn][Oo]|[Ss][Hh][Aa][Rr][Ee]|[Ee][Xx][Cc][Ll][Uu][Ss][Ii][Vv][Ee])[ \t]++[Ll][Oo][Cc][Kk](?![A-Za-z0-9_-])|[A-Za-z_][A-Za-z0-9_-]*+|\{&[^}]*+\}?|&[A-Za-z0-9-]*+|\+=|-=|\*=|/=|>=|<=|<>|::|[\s\S]"""
+)
 
 TOKENS = "id long, idx int, kind string, start int, end int, text string, int_value long, decimal_value string, string_value string, bool_value boolean"
 
@@ -57,6 +63,41 @@ def kind_counts(found: DataFrame) -> DataFrame:
     return found.groupBy("kind").agg(F.count("*").alias("n")).orderBy(F.col("n").desc(), "kind")
 
 
+def _kind(t: Column, known: Column) -> Column:
+    """The kind of a token's text; known: its kind in the dictionary, if any."""
+    c = F.substring(t, 1, 1)
+    number = t.try_cast("decimal(38,0)")
+    symbols = F.create_map(*[F.lit(x) for pair in SYMBOLS.items() for x in pair])
+    locks = F.when(F.startswith(F.lower(t), F.lit("no")), "NoLock").when(F.startswith(F.lower(t), F.lit("share")), "ShareLock").otherwise("ExclusiveLock")
+    return (
+        F.when(F.startswith(t, F.lit("//")), "Comment")
+        .when(F.startswith(t, F.lit("/*")), F.when(F.endswith(t, F.lit("*/")) & (F.length(t) > 3), "Comment").otherwise("Invalid"))
+        .when(c.isin('"', "'"), F.when(t.rlike("""^(?:"(?:[^"~]++|~[\\s\\S])*+"|'(?:[^'~]++|~[\\s\\S])*+')$"""), "StringLiteral").otherwise("Invalid"))
+        .when(c.rlike("[0-9]"), F.when(F.contains(t, F.lit(".")), "DecimalLiteral").when((number >= 1 << 31) & (number <= (1 << 63) - 1), "BigIntLiteral").otherwise("IntegerLiteral"))
+        .when(c.rlike("[A-Za-z_]"), F.when(t.rlike("[ \\t]"), locks).otherwise(F.coalesce(known, F.lit("Identifier"))))
+        .when(F.startswith(t, F.lit("{&")), F.coalesce(known, F.lit("Preprop")))
+        .when(c == "&", F.coalesce(known, F.lit("Invalid")))
+        .otherwise(F.coalesce(F.try_element_at(symbols, t), F.lit("Invalid")))
+    )
+
+
+def kind_totals(df: DataFrame, text_col: str, keywords: dict[str, str] | None = None) -> DataFrame:
+    """kind, n over all tokens of all texts, without token rows leaving the JVM.
+
+    Texts are cut into tokens by one pattern, equal tokens are counted where they arise, and kinds are told for
+    different tokens only; the dictionary is a broadcast join.
+    """
+    from rowloom.operators.keywords import builtin_spellings
+
+    known = list((keywords if keywords is not None else builtin_spellings()).items())
+    spelled = df.sparkSession.createDataFrame(known, "_word string, _kind string")
+    each = df.select(F.explode(F.regexp_extract_all(F.coalesce(F.col(text_col), F.lit("")), F.lit(_JAVA), F.lit(0))).alias("t"))
+    counts = each.where(~F.substring("t", 1, 1).isin(" ", "\t", "\n", "\r")).groupBy("t").agg(F.count("*").alias("n"))
+    named = counts.join(F.broadcast(spelled), F.lower("t") == F.col("_word"), "left").select(_kind(F.col("t"), F.col("_kind")).alias("kind"), "n")
+    ends = df.agg(F.count("*").alias("n")).select(F.lit("Eof").alias("kind"), "n").where("n > 0")
+    return named.groupBy("kind").agg(F.sum("n").alias("n")).union(ends).orderBy(F.col("n").desc(), "kind")
+
+
 def suspicious(found: DataFrame) -> DataFrame:
     """Numeric tokens without a value whose text isn't led by a digit."""
     numeric = F.col("kind").isin("IntegerLiteral", "BigIntLiteral", "DecimalLiteral")

@@ -243,7 +243,7 @@ def _record_changes(spark, sf):
 # -- texts
 @frame("token_kind_counts")
 def _token_kind_counts(spark, sf):
-    return T.kind_counts(T.tokens(_table(spark, sf, "documents"), "doc_id", "text"))
+    return T.kind_totals(_table(spark, sf, "documents"), "text")
 
 
 @frame("token_spans", r"SELECT doc_id AS id, CAST(len(regexp_extract_all(text, '[#$%*&|]')) AS BIGINT) AS n_marks FROM documents")

@@ -22,6 +22,12 @@ def test_token_table(spark):
     assert {r.int_value for r in rows if r.kind == "IntegerLiteral"} == {1}
 
 
+def test_kind_totals_agree_with_the_token_table(spark):
+    texts = ["", None, "x = 1. // c", "/* a */ 'q~'r' \"open", "/*/ b", "NO  LOCK no-lock share\\tlock exclusive locks NO\nLOCK", "42.foo 3.5 2147483648 99999999999999999999 9223372036854775807", "{&a} {&b &if &zzz & {", "def Define é😀 ^ @ a-b _x", "a:b::c += -= <> <= >= [1] (2), ?", "'tail~", "'~", "/* open *", '"' + "~n" * 20000 + '"']
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    assert got(T.kind_totals(df, "text")) == got(T.kind_counts(T.tokens(df, "id", "text")))
+
+
 def test_line_maps(spark):
     texts = ["", "a\n", "a\r\nb", "héllo\nworld", "\n\n"]
     df = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
