@@ -6,6 +6,34 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Ranges of the first order column that a running sum over a whole table is dealt out by.
+RANGES = 256
+
+
+def running_sum(df: DataFrame, value: Column, order: list[tuple[Column, bool]], name: str, ranges: int = RANGES) -> DataFrame:
+    """df with the sum of value over all rows up to and with each, along an order of (column, descending); null values add nothing.
+
+    A window over a whole table would run in one task. Quantiles of the first order column cut it into ranges instead
+    (one aggregate, joined as one row); each range has its own window, and the sums of the ranges before it, a few rows,
+    are added. Order columns that have no quantiles (texts) take the plain window.
+    """
+    first, down = order[0]
+    kind = df.select(first.alias("k")).dtypes[0][1]
+    own = [c.desc() if d else c.asc() for c, d in order]
+    if not kind.startswith(("tinyint", "smallint", "int", "bigint", "float", "double", "decimal", "date", "timestamp")) or kind.startswith("interval"):
+        return df.withColumn(name, F.sum(F.coalesce(value, F.lit(0))).over(Window.orderBy(*own).rowsBetween(Window.unboundedPreceding, 0)))
+    shares = F.array(*[F.lit(i / ranges) for i in range(1, ranges)])
+    bounds = df.agg(F.array_distinct(F.percentile_approx(first, shares, 1000)).alias("__bounds"))
+    dealt = df.crossJoin(F.broadcast(bounds)).withColumn("__range", F.size(F.filter(F.coalesce("__bounds", F.array()), lambda b: b < first))).drop("__bounds")
+    dealt = dealt.withColumn("__value", F.coalesce(value, F.lit(0)))
+    sums = dealt.groupBy("__range").agg(F.sum("__value").alias("__sum"))
+    before = Window.orderBy(F.col("__range").desc() if down else F.col("__range")).rowsBetween(Window.unboundedPreceding, -1)
+    starts = sums.select(F.col("__range").alias("__r"), F.coalesce(F.sum("__sum").over(before), F.lit(0)).alias("__start"))
+    inside = F.sum("__value").over(Window.partitionBy("__range").orderBy(*own).rowsBetween(Window.unboundedPreceding, 0))
+    out = dealt.withColumn("__inside", inside).join(F.broadcast(starts), F.col("__range") == F.col("__r"))
+    return out.withColumn(name, F.col("__start") + F.col("__inside")).drop("__range", "__r", "__value", "__start", "__inside")
+
+
 def neighbours(df: DataFrame, order: list[str], columns: list[str], partition: list[str] | None = None) -> DataFrame:
     """df with next_<c> and prev_<c> of the given columns along an order."""
     w = Window.partitionBy(*(partition or [])).orderBy(*order)

@@ -7,8 +7,8 @@ last token is always Eof.
 from __future__ import annotations
 
 import re
-from dataclasses import dataclass
 from decimal import Decimal
+from typing import NamedTuple
 
 #: Symbols and their kinds.
 SYMBOLS = {
@@ -18,30 +18,30 @@ SYMBOLS = {
     "[": "LeftBracket", "]": "RightBracket", "{": "LeftBrace", "}": "RightBrace", "(": "LeftParen", ")": "RightParen", ",": "Comma",
 }
 
-_PATTERN = re.compile(
-    rb"""
-    (?P<space>[ \t\n\r]+)
+_CLASSES = r"""[ \t\n\r]*+
+  (?:(?P<lock>(?:no|share|exclusive)[ \t]+lock(?![a-z0-9_-]))
+  | (?P<word>[a-z_][a-z0-9_-]*)
   | (?P<comment>//[^\n]*\n?|/\*.*?\*/)
   | (?P<open>/\*.*)
-  | (?P<string>"(?:[^"~]|~.)*"|'(?:[^'~]|~.)*')
-  | (?P<torn>["'].*)
+  | (?P<symbol>\+=|-=|\*=|/=|>=|<=|<>|::|[-+*/=<>?.:()\[\],}]|\{(?!&))
   | (?P<decimal>[0-9]+\.[0-9]+)
   | (?P<integer>[0-9]+)
-  | (?P<lock>(?:no|share|exclusive)[ \t]+lock(?![a-z0-9_-]))
-  | (?P<word>[a-z_][a-z0-9_-]*)
+  | (?P<string>"(?:[^"~]|~.)*"|'(?:[^'~]|~.)*')
+  | (?P<torn>["'].*)
   | (?P<reference>\{&[^}]*\}?)
   | (?P<directive>&[a-z0-9-]*)
-  | (?P<symbol>\+=|-=|\*=|/=|>=|<=|<>|::|[-+*/=<>?.:()\[\],{}])
-  | (?P<other>[\xc0-\xff][\x80-\xbf]*|.)
-    """,
-    re.X | re.S | re.I,
-)
+  | (?P<other>OTHER))
+"""
+
+_TEXT = re.compile(_CLASSES.replace("OTHER", "."), re.X | re.S | re.I | re.A)
+_BYTES = re.compile(_CLASSES.replace("OTHER", "[\\xc0-\\xff][\\x80-\\xbf]*|.").encode(), re.X | re.S | re.I)
+_GROUP = {i: g for g, i in _TEXT.groupindex.items()}
 
 _LOCKS = {"no": "NoLock", "share": "ShareLock", "exclusive": "ExclusiveLock"}
+_BOOLEANS = {"KwTrue": True, "KwFalse": False}
 
 
-@dataclass(frozen=True, slots=True)
-class Token:
+class Token(NamedTuple):
     """kind, start and end in bytes, text, value (int, Decimal, str, bool or None)."""
 
     kind: str
@@ -52,45 +52,56 @@ class Token:
 
 
 def tokenize(source: str, keywords: dict[str, str] | None = None) -> list[Token]:
-    """All tokens of a source. keywords: kind by lower-case spelling (see operators.keywords); default: the built-in ones."""
+    """All tokens of a source. keywords: kind by lower-case spelling (see operators.keywords); default: the built-in ones.
+
+    An ASCII source is cut as it is, its characters being its bytes; another one by its bytes.
+    """
     if keywords is None:
         from rowloom.operators.keywords import builtin_spellings
 
         keywords = builtin_spellings()
-    raw = source.encode("utf-8", "surrogatepass")
-    out = []
-    for m in _PATTERN.finditer(raw):
-        group = m.lastgroup
-        if group == "space":
-            continue
-        text = m.group().decode("utf-8", "surrogatepass")
-        kind, value = "Invalid", None
-        if group == "word":
-            kind = keywords.get(text.lower(), "Identifier")
-            value = {"KwTrue": True, "KwFalse": False}.get(kind)
-        elif group == "symbol":
-            kind = SYMBOLS[text]
-        elif group == "integer":
-            n = int(text)
-            kind = "IntegerLiteral" if n < 1 << 31 or n >= 1 << 63 else "BigIntLiteral"
-            value = n if n < 1 << 63 else None
-        elif group == "decimal":
-            kind, value = "DecimalLiteral", Decimal(text)
-        elif group == "string":
-            kind, value = "StringLiteral", text[1:-1]
-        elif group == "comment":
-            kind = "Comment"
-        elif group == "lock":
-            kind = _LOCKS[text.split()[0].lower()]
-        elif group == "reference":
-            kind = keywords.get(text.lower(), "Preprop")
-        elif group == "directive":
-            kind = keywords.get(text.lower(), "Invalid")
-        out.append(Token(kind, m.start(), m.end(), text, value))
-    out.append(Token("Eof", len(raw), len(raw), ""))
+    plain = source.isascii()
+    raw = source if plain else source.encode("utf-8", "surrogatepass")
+    out: list[Token] = []
+    add, symbols, known = out.append, SYMBOLS, keywords.get
+    blanks = " \t\n\r"  # those at the end are no token's lead
+    for m in (_TEXT if plain else _BYTES).finditer(raw.rstrip(blanks if plain else blanks.encode())):
+        group = m.lastindex
+        start, end = m.span(group)
+        text = m[group] if plain else m[group].decode("utf-8", "surrogatepass")
+        if group == 2:
+            kind = known(text.lower(), "Identifier")
+            add(Token(kind, start, end, text, _BOOLEANS.get(kind)))
+        elif group == 5:
+            add(Token(symbols[text], start, end, text))
+        else:
+            add(Token(*_rare(_GROUP[group], text, start, end, known)))
+    size = len(raw)
+    add(Token("Eof", size, size, ""))
     return out
 
 
+def _rare(group: str, text: str, start: int, end: int, known) -> tuple:
+    if group == "integer":
+        n = int(text)
+        if n >= 1 << 63:
+            return "IntegerLiteral", start, end, text
+        return ("IntegerLiteral" if n < 1 << 31 else "BigIntLiteral"), start, end, text, n
+    if group == "decimal":
+        return "DecimalLiteral", start, end, text, Decimal(text)
+    if group == "string":
+        return "StringLiteral", start, end, text, text[1:-1]
+    if group == "comment":
+        return "Comment", start, end, text
+    if group == "lock":
+        return _LOCKS[text.split()[0].lower()], start, end, text
+    if group == "reference":
+        return known(text.lower(), "Preprop"), start, end, text
+    if group == "directive":
+        return known(text.lower(), "Invalid"), start, end, text
+    return "Invalid", start, end, text
+
+
 def unescaped(text: str) -> str:
     """A string literal's value: tilde escapes resolved."""
     return re.sub(r"~(.)", lambda m: {"n": "\n", "t": "\t", "r": "\r"}.get(m[1], m[1]), text, flags=re.S)

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from rowloom.functions import scalar
+from rowloom.operators import records
 from rowloom.plans import syntax as S
 from rowloom.plans.catalog import Catalog
 from rowloom.plans.parser import parse, parse_expression
@@ -589,8 +590,9 @@ class Loop:
             for u in own:
                 x = u.column if u.condition is None else F.when(u.condition, u.column)
                 each = F.coalesce(x, F.lit(0)) if each is None else each + F.coalesce(x, F.lit(0))
-            w = Window.orderBy(*[c.desc() if d else c.asc() for c, d in self.sort], *self.keys).rowsBetween(Window.unboundedPreceding, 0)
-            self.rows = self.with_lazies(self.rows).withColumn(f"__run_{low}", self.start(low) + F.sum(each).over(w))
+            order = self.sort + [(F.col(k), False) for k in self.keys]
+            start = self.start(low)
+            self.rows = records.running_sum(self.with_lazies(self.rows), each, order, f"__sum_{low}").withColumn(f"__run_{low}", start + F.col(f"__sum_{low}")).drop(f"__sum_{low}")
             self.scope.locals[low] = F.col(f"__run_{low}")
             self.scope.blocked.discard(low)
         return e

@@ -109,6 +109,21 @@ def test_records(spark):
     assert got(marks) == [("x", 1, True, False), ("x", 2, False, True), ("y", 3, True, True)]
 
 
+def test_running_sums(spark):
+    rows = [(k * 7 % 50 if k % 9 else None, k, float(k % 5) if k % 4 else None, f"s{k % 3}") for k in range(200)]
+    df = spark.createDataFrame(rows, "k int, i int, v double, s string").repartition(3)
+    for first, down in (("k", False), ("k", True), ("s", False)):
+        order = [(F.col(first), down), (F.col("i"), False)]
+        out = R.running_sum(df, F.col("v"), order, "run", ranges=8).collect()
+        nulls_low = sorted(out, key=lambda r: r.i)
+        nulls_low.sort(key=lambda r: (r[first] is not None, r[first] if r[first] is not None else 0) if first == "k" else r.s, reverse=down)
+        total = 0.0
+        for r in nulls_low:
+            total += r.v or 0
+            assert r.run == total
+    assert R.running_sum(df.limit(0), F.col("v"), [(F.col("k"), False)], "run").count() == 0
+
+
 def test_streams(spark, tmp_path):
     rows = [(1, "2024-01-01 00:10:00", 1, "a", 1.0), (2, "2024-01-01 00:50:00", 1, "a", 2.0), (3, "2024-01-01 01:10:00", 2, "b", 3.0)]
     df = spark.createDataFrame(rows, "event_id long, t string, user_id long, event_type string, value double").selectExpr("event_id", "to_timestamp(t) ts", "user_id", "event_type", "value")
