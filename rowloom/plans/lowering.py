@@ -178,6 +178,10 @@ class Scope:
             return self.special["call", e.name, e.args]
         if e.name in ("first-of", "last-of") and (e.name, e.args[0]) in self.special:
             return self.special[e.name, e.args[0]]
+        if e.name == "in":
+            return self.expr(e.args[0]).isin(*map(self.expr, e.args[1:]))
+        if e.name == "locked":  # a query reads a snapshot: nothing is locked
+            return F.lit(False)
         if e.name == "accum":  # what an earlier ACCUMULATE has left
             return self.name(_accum_name(e.args[0].value, e.args[1]))
         if e.name == "available":

@@ -85,6 +85,8 @@ projection("unknown_test", "orders", "SELECT o_orderkey, NULLIF(o_orderstatus, '
            o_orderkey="o_orderkey", is_f="(IF o_orderstatus = 'F' THEN ? ELSE o_orderstatus) = ?", not_f="(IF o_orderstatus = 'F' THEN ? ELSE o_orderstatus) <> ?")
 rows("where_between", "FOR EACH part WHERE p_size BETWEEN 5 AND 9: DISPLAY p_partkey p_size. END.", "SELECT p_partkey, p_size FROM part WHERE p_size BETWEEN 5 AND 9")
 rows("where_like", "FOR EACH part WHERE p_brand LIKE '%2_': DISPLAY p_partkey p_brand. END.", "SELECT p_partkey, p_brand FROM part WHERE p_brand LIKE '%2_'")
+rows("where_in", "FOR EACH nation WHERE n_nationkey IN (1, 5, 9) OR n_name IS NULL: END.", "SELECT * FROM nation WHERE n_nationkey IN (1, 5, 9) OR n_name IS NULL")
+rows("message", "VAR INT n. FOR EACH region: n = n + 1. END. MESSAGE 'regions' n VIEW-AS ALERT-BOX.", "SELECT 'regions' AS expr_1, CAST(5 AS BIGINT) AS n")
 rows("bare_logical", "FOR EACH customer: IF NOT (c_acctbal > 0 AND c_nationkey < 12) THEN NEXT. DISPLAY c_custkey. END.", "SELECT c_custkey FROM customer WHERE c_acctbal > 0 AND c_nationkey < 12")
 
 # -- expressions
