@@ -19,9 +19,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: the cluster's own setting, else a local one (tests)."""
+    """The folder that driver and executors share: the cluster's own setting; in local mode without one a temporary one."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         where = f"{tempfile.gettempdir()}/rowloom-{spark.sparkContext.applicationId}"
     return where
 
