@@ -19,6 +19,12 @@ _JAVA = (
 TOKENS = "id long, idx int, kind string, start int, end int, text string, int_value long, decimal_value string, string_value string, bool_value boolean"
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df in as many partitions as there are cores, if it has fewer: one small file must not keep one core busy alone."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 def tokens(df: DataFrame, id_col: str, text_col: str, keywords: dict[str, str] | None = None) -> DataFrame:
     """One row for each token of each text: id, idx from 0, kind, byte offsets, text and the literal's value. No shuffle."""
     from rowloom.operators.keywords import builtin_spellings
@@ -39,7 +45,7 @@ def tokens(df: DataFrame, id_col: str, text_col: str, keywords: dict[str, str] |
                 ]
                 yield pa.RecordBatch.from_arrays(cols, names=[c.split()[0] for c in TOKENS.split(", ")])
 
-    return df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, TOKENS)
+    return spread(df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))).mapInArrow(run, TOKENS)
 
 
 def register(spark: SparkSession, keywords: dict[str, str] | None = None) -> None:
@@ -91,7 +97,8 @@ def kind_totals(df: DataFrame, text_col: str, keywords: dict[str, str] | None =
 
     known = list((keywords if keywords is not None else builtin_spellings()).items())
     spelled = df.sparkSession.createDataFrame(known, "_word string, _kind string")
-    each = df.select(F.explode(F.regexp_extract_all(F.coalesce(F.col(text_col), F.lit("")), F.lit(_JAVA), F.lit(0))).alias("t"))
+    texts = spread(df.select(F.coalesce(F.col(text_col), F.lit("")).alias("x")))
+    each = texts.select(F.explode(F.regexp_extract_all("x", F.lit(_JAVA), F.lit(0))).alias("t"))
     counts = each.where(~F.substring("t", 1, 1).isin(" ", "\t", "\n", "\r")).groupBy("t").agg(F.count("*").alias("n"))
     named = counts.join(F.broadcast(spelled), F.lower("t") == F.col("_word"), "left").select(_kind(F.col("t"), F.col("_kind")).alias("kind"), "n")
     ends = df.agg(F.count("*").alias("n")).select(F.lit("Eof").alias("kind"), "n").where("n > 0")
