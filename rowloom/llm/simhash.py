@@ -204,9 +204,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return of_doc.join(component, "fp").select("doc_id", "fp", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame) -> DataFrame:
-    """docs with one document of each group (the smallest doc_id); a repeated doc_id stays once, rows without an id all stay."""
-    found = near_duplicates(docs).where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("n"))
+def keep_one(docs: DataFrame, groups: DataFrame | None = None) -> DataFrame:
+    """docs with one document of each group (the smallest doc_id); a repeated doc_id stays once, rows without an id all stay.
+
+    groups: doc_id, component_id of every row of docs; by default those of near_duplicates.
+    """
+    found = (near_duplicates(docs) if groups is None else groups).where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("n"))
     found = cut(found)
     once = docs.join(found.where("n = 1").select("doc_id"), "doc_id", "left_semi")
     more = docs.join(found.where("n > 1").select("doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"])

@@ -97,6 +97,42 @@ def test_keep_one(docs):
     assert kept.columns == docs.columns and Counter(ids)[3] == 1 and Counter(ids)[None] == 1 and 1 not in ids and 0 in ids and 50 not in ids
 
 
+def brute_shingles(text):
+    w = (text or "").lower().encode().split()
+    return {b" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+
+@pytest.mark.parametrize("near", [4, 0])
+def test_near_copies_of_the_pipeline_stage(spark, monkeypatch, near):
+    """Every pair of 5-word Jaccard 0.8 or more is linked, however far its fingerprints are, and no other pair."""
+    import corpus_pipeline
+    from rowloom.llm import shingles
+
+    monkeypatch.setattr(shingles, "NEAR", near)
+    rng = np.random.default_rng(11)
+    rows = []
+    for base in range(14):
+        words = [f"w{k}" for k in rng.integers(0, 300 if base % 2 else 40, rng.integers(3, 160))]
+        for _ in range(9):
+            copy = list(words)
+            for at in rng.integers(0, len(words), rng.integers(0, 5)):
+                copy[at] = f"x{rng.integers(0, 9)}"
+            rows.append((len(rows), " ".join(copy[: len(copy) - int(rng.integers(0, 12))] if len(copy) > 40 else copy)))
+    rows += [(900, None), (901, ""), (902, " \n"), (903, "one two"), (904, "ONE  two"), (905, "one two three"), (5, rows[5][1])]
+    sets = {i: brute_shingles(t) for i, t in rows}
+
+    def similar(x, y):
+        a, b = sets[x], sets[y]
+        return (not a and not b) or (a | b and len(a & b) >= 0.8 * len(a | b))
+
+    root = brute_components(sets, similar)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    assert sorted((r.doc_id, r.component_id) for r in shingles.near_duplicates(df).collect()) == sorted((i, root[i]) for i, _ in rows)
+    assert sorted(r.doc_id for r in corpus_pipeline.drop_near_duplicates(spark, df, "").collect()) == sorted(set(root.values()))
+    assert any(similar(x, y) and (simhash.fingerprint(dict(rows)[x]) ^ simhash.fingerprint(dict(rows)[y])).bit_count() > 3 for x in sets for y in sets)
+    assert shingles.near_duplicates(df.limit(0)).count() == 0
+
+
 def brute_rules(text):
     text = text or ""
     w = split(text)
