@@ -1,8 +1,9 @@
-"""License scans: winnowed fingerprints of templates in an inverted index, banded alignment of the candidates."""
+"""License scans: anchor words of templates in an inverted index, banded alignment at every offset that can match."""
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,10 +13,10 @@ from pyspark.sql import functions as F
 
 from rowloom.llm.common import table
 
-#: Words of a fingerprint's gram, grams of a winnowing window: every run of GRAM + WINDOW - 1 template words is found.
-GRAM, WINDOW = 3, 2
 #: Half width of the alignment band, least share of a template's words that must match.
 BAND, LEAST_COVERAGE = 8, 0.8
+#: Words of little use as anchors, offsets that are counted at once.
+_COMMON, _PART = frozenset("a and any are be by can distributed for form free from in into is it not of on or that the this to under use version with without work you".split()), 50_000
 
 #: Public license notices, (license, text).
 TEMPLATES = (
@@ -61,36 +62,40 @@ _ASCII = {c: c + 32 for c in range(65, 91)}
 
 
 class Index:
-    """Template words as ids, and for each winnowed gram the (template, position) pairs that have it."""
+    """Template words as ids, and for each anchor word the (template, position) pairs that have it.
+
+    A match misses at most len - ceil(LEAST_COVERAGE len) words of its template, so it holds one of any more positions:
+    those are its anchors, the words rarest among the templates first.
+    """
 
     def __init__(self, templates=TEMPLATES):
         self.names = [name for name, _ in templates]
         self.words: dict[str, int] = {}
-        self.ids = [np.array([self.words.setdefault(w, len(self.words) + 1) for w in _WORD.findall(_lower(text))]) for _, text in templates]
+        split = [_WORD.findall(_lower(text)) for _, text in templates]
+        self.ids = [np.array([self.words.setdefault(w, len(self.words) + 1) for w in ws]) for ws in split]
+        self.least = [next(n for n in range(len(ws) + 1) if n >= LEAST_COVERAGE * len(ws)) for ws in split]
         self.at: dict[int, list[tuple[int, int]]] = {}
-        for t, ids in enumerate(self.ids):
-            codes = self.grams(ids)
-            mixed = (codes * 0x9E3779B1) & 0xFFFFFFFF
-            for p in self.winnow(mixed):
-                self.at.setdefault(int(codes[p]), []).append((t, p))
-        self.codes = np.array(sorted(self.at))
-
-    def grams(self, ids: np.ndarray) -> np.ndarray:
-        if len(ids) < GRAM:
-            return np.zeros(0, np.int64)
-        base, code = len(self.words) + 1, np.zeros(len(ids) - GRAM + 1, np.int64)
-        known = np.ones(len(code), bool)
-        for k in range(GRAM):
-            part = ids[k : len(ids) - GRAM + 1 + k]
-            code, known = code * base + part, known & (part > 0)
-        return np.where(known, code, -1)
-
-    @staticmethod
-    def winnow(hashes: np.ndarray) -> list[int]:
-        """The rightmost least hash of every window; all of a text shorter than one."""
-        if len(hashes) <= WINDOW:
-            return list(range(len(hashes)))
-        return sorted({i + WINDOW - 1 - int(hashes[i : i + WINDOW][::-1].argmin()) for i in range(len(hashes) - WINDOW + 1)})
+        spread = Counter(w for ws in split for w in set(ws))
+        for t, ws in enumerate(split):
+            rare = sorted(range(len(ws)), key=lambda p: (ws[p] in _COMMON or ws[p].isdigit(), spread[ws[p]], -len(ws[p]), p))
+            for p in rare[: len(ws) - self.least[t] + 1]:
+                self.at.setdefault(self.words[ws[p]], []).append((t, p))
+        self.anchors = np.zeros(len(self.words) + 1, bool)
+        self.anchors[list(self.at)] = True
+
+    def offsets(self, t: int, diagonals: np.ndarray, doc: np.ndarray) -> np.ndarray:
+        """The offsets within BAND of a diagonal at which enough template words occur within the band."""
+        ids = self.ids[t]
+        near = np.unique(diagonals[:, None] + np.arange(-BAND, BAND + 1)[None, :])
+        pad = len(ids) + 3 * BAND
+        padded = np.concatenate((np.zeros(pad, np.int64), doc, np.zeros(pad, np.int64)))
+        kept = []
+        for part in np.split(near, range(_PART, len(near), _PART)):
+            n = np.zeros(len(part), np.int64)
+            for i, w in enumerate(ids.tolist()):
+                n += (padded[part[:, None] + (i + pad - BAND) + np.arange(2 * BAND + 1)[None, :]] == w).any(axis=1)
+            kept.append(part[n >= self.least[t]])
+        return np.concatenate(kept)
 
 
 def align(template: np.ndarray, doc: np.ndarray, offset: int) -> tuple[int, int, int]:
@@ -116,34 +121,29 @@ def align(template: np.ndarray, doc: np.ndarray, offset: int) -> tuple[int, int,
 
 
 def scan(text: str, index: Index) -> list[tuple]:
-    """(license, template, coverage, matched, start, end) of a whole text, offsets in code points; overlaps go to the longest match."""
+    """(license, template, coverage, matched, start, end) of a whole text, offsets in code points; overlaps go to the longest match, then the tightest."""
     low = _lower(text)
     get = index.words.get
     ids = np.array([get(w, 0) for w in _WORD.findall(low)], np.int64)
-    codes = index.grams(ids)
-    hits = np.flatnonzero(np.isin(codes, index.codes)) if len(codes) else []
+    hits = np.flatnonzero(index.anchors[ids])
     if not len(hits):
         return []
-    by_template: dict[int, list[tuple[int, int]]] = {}
+    by_template: dict[int, list[int]] = {}
     for j in hits.tolist():
-        for t, p in index.at[int(codes[j])]:
-            by_template.setdefault(t, []).append((j - p, j))
-    found = []
+        for t, p in index.at[int(ids[j])]:
+            by_template.setdefault(t, []).append(j - p)
+    found = set()
     for t, diagonals in by_template.items():
-        length, at = len(index.ids[t]), None
-        for offset, _ in sorted(diagonals):
-            if at is not None and offset - at <= BAND // 2:
-                continue
-            at = offset
+        for offset in index.offsets(t, np.array(diagonals), ids).tolist():
             n, first, last = align(index.ids[t], ids, offset)
-            if n >= LEAST_COVERAGE * length:
-                found.append((n, n / length, t, first, last))
+            if n >= index.least[t]:
+                found.add((n, n / len(index.ids[t]), t, first, last))
     if not found:
         return []
     spans = [m.span() for m in _WORD.finditer(low)]
     kept: list[tuple] = []
     taken: list[tuple[int, int]] = []
-    for n, share, t, first, last in sorted(found, key=lambda f: (-f[0], -f[1], f[2], f[3])):
+    for n, share, t, first, last in sorted(found, key=lambda f: (-f[0], -f[1], f[2], f[4] - f[3], f[3])):
         if all(last < a or b < first for a, b in taken):
             taken.append((first, last))
             kept.append((index.names[t], t, share, n, spans[first][0], spans[last][1]))

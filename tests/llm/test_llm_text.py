@@ -294,6 +294,24 @@ def test_viterbi_fold(spark):
     assert got == {w: best(w.replace(" ", "▁")) for w in words}
 
 
+def test_licenses_against_exhaustive_alignment():
+    """Every template verbatim, with one word substituted and with one inserted: found where an alignment at any offset is."""
+    index = licenses.Index()
+    for text in ("Released under the terms of the MIT License.", "Released under the permissive MIT License.", "Released under an MIT License."):
+        assert [m[0] for m in licenses.scan(text, index)] == ["MIT"]
+    for t, ids in enumerate(index.ids):
+        words = re.findall("[a-z0-9]+", licenses.TEMPLATES[t][1].lower())
+        edits = [words]
+        for p in range(0, len(words), 1 if len(words) < 20 else 9):
+            edits += [words[:p] + ["zzz"] + words[p + 1 :], words[:p] + ["zzz"] + words[p:], words[:p] + ["zzz"] * 5 + words[p:]]
+        for e in edits if len(words) < 40 else edits[::5]:
+            doc = ["x", "y", *e, "z"]
+            codes = np.array([index.words.get(w, 0) for w in doc])
+            best = max(licenses.align(ids, codes, offset)[0] for offset in range(-licenses.BAND, len(doc)))
+            found = licenses.scan(" ".join(doc), index)
+            assert (best >= licenses.LEAST_COVERAGE * len(ids)) <= any(m[3] >= best for m in found), (words, e)
+
+
 def test_licenses(spark, docs, empty):
     apache = licenses.TEMPLATES[8][1]
     words = apache.split()
