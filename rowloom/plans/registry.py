@@ -242,6 +242,15 @@ def _record_changes(spark, sf):
     return R.update(R.delete(region, F.col("r_regionkey") == 3), F.col("r_regionkey") == 1, r_name=F.lit("changed"))
 
 
+# -- the same features over whole tables, beside the registrations on a prefix of ids
+rows("running_total_whole", "VAR INT seen. FOR EACH customer: seen = seen + c_nationkey. customer.c_nationkey = seen. DISPLAY c_custkey c_nationkey. END.", "SELECT c_custkey, CAST(sum(c_nationkey) OVER (ORDER BY c_custkey) AS BIGINT) AS c_nationkey FROM customer")
+rows("leave_inner_whole", "FOR EACH customer: FOR EACH orders OF customer: IF o_orderstatus = 'F' THEN LEAVE. DISPLAY c_custkey o_orderkey. END. END.",
+     "SELECT c_custkey, o_orderkey FROM customer JOIN orders o ON o_custkey = c_custkey LEFT JOIN (SELECT o_custkey AS k, min(o_orderkey) AS f FROM orders WHERE o_orderstatus = 'F' GROUP BY 1) ON k = c_custkey WHERE f IS NULL OR o_orderkey < f")
+rows("foreach_of_where_whole", "FOR EACH customer, EACH orders OF customer WHERE o_totalprice > 100000: DISPLAY c_custkey o_orderkey o_totalprice. END.", "SELECT c_custkey, o_orderkey, o_totalprice FROM customer JOIN orders ON o_custkey = c_custkey WHERE o_totalprice > 100000")
+rows("find_unique_join_whole", "FOR EACH orders: FIND customer o_custkey. DISPLAY o_orderkey c_name. END.", "SELECT o_orderkey, c_name FROM orders JOIN customer ON c_custkey = o_custkey")
+rows("order_by_whole", "FOR EACH customer BY c_mktsegment BY c_acctbal DESCENDING: DISPLAY c_custkey c_mktsegment. END.", "SELECT c_custkey, c_mktsegment FROM customer ORDER BY c_mktsegment, c_acctbal DESC")
+
+
 # -- texts
 @frame("token_kind_counts")
 def _token_kind_counts(spark, sf):

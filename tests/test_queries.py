@@ -52,3 +52,13 @@ def test_relational_queries_stay_in_the_jvm(spark):
 def test_columns_are_pruned(spark):
     plan = registry.queries()["nested_foreach_three"](spark, str(DATA))._jdf.queryExecution().toString()
     assert "l_comment" not in plan and "ReadSchema: struct<l_orderkey:bigint,l_partkey:bigint,l_quantity:double>" in plan
+
+
+@pytest.mark.parametrize(("name", "driving"), [("running_total_whole", "customer"), ("find_unique_join_whole", "orders"), ("order_by_whole", "customer")])
+def test_whole_tables_drive(spark, name, driving):
+    assert registry.queries()[name](spark, str(DATA)).count() == spark.read.parquet(f"{DATA}/{driving}.parquet").count()
+
+
+@pytest.mark.parametrize("name", ["leave_inner_whole", "foreach_of_where_whole"])
+def test_whole_joins_pass_the_prefix(spark, name):
+    assert registry.queries()[name](spark, str(DATA)).where("c_custkey > 100").count() > 0
