@@ -263,6 +263,11 @@ def _token_spans(spark, sf):
     return found.groupBy("id").agg(F.coalesce(F.sum(F.when(F.col("kind") != "Eof", F.col("end") - F.col("start"))), F.lit(0)).cast("long").alias("n_marks"))
 
 
+@frame("token_rows")
+def _token_rows(spark, sf):
+    return T.tokens(_table(spark, sf, "documents"), "doc_id", "text")
+
+
 @frame("suspicious_tokens", "SELECT doc_id AS id, CAST(0 AS INT) AS idx FROM documents WHERE false")
 def _suspicious_tokens(spark, sf):
     return T.suspicious(T.tokens(_table(spark, sf, "documents"), "doc_id", "text")).select("id", "idx")

@@ -62,3 +62,45 @@ def test_whole_tables_drive(spark, name, driving):
 @pytest.mark.parametrize("name", ["leave_inner_whole", "foreach_of_where_whole"])
 def test_whole_joins_pass_the_prefix(spark, name):
     assert registry.queries()[name](spark, str(DATA)).where("c_custkey > 100").count() > 0
+
+
+def brute_tokens(text):
+    """(kind, start, end, text, value) read character by character, for words, numbers, strings, comments and marks in ASCII."""
+    at, out = 0, []
+    while at < len(text):
+        c, to = text[at], at + 1
+        if c in " \n":
+            at = to
+            continue
+        if c.isalpha():
+            while to < len(text) and (text[to].isalnum() or text[to] in "_-"):
+                to += 1
+            kind, value = "Identifier", None
+        elif c.isdigit():
+            while to < len(text) and text[to].isdigit():
+                to += 1
+            kind, value = "IntegerLiteral", int(text[at:to])
+        elif c == '"':
+            to = text.index('"', to) + 1
+            kind, value = "StringLiteral", text[at + 1 : to - 1]
+        elif text.startswith("/*", at):
+            to = text.index("*/", to) + 2
+            kind, value = "Comment", None
+        else:
+            kind, value = "Invalid", None
+        out.append((kind, at, to, text[at:to], value))
+        at = to
+    return [*out, ("Eof", len(text), len(text), "", None)]
+
+
+def test_token_rows_of_whole_texts(spark, tmp_path):
+    texts = {1: 'zork 42 "a b"\n/* note */ qux-1 #', 2: "", 3: "plugh " * 5000 + "7", 4: "xyzzy 10 #$"}
+    spark.createDataFrame([(i, t, "en") for i, t in texts.items()], "doc_id long, text string, lang string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = registry.queries()["token_rows"](spark, str(tmp_path)).collect()
+    for i, text in texts.items():
+        rows = sorted((r for r in got if r.id == i), key=lambda r: r.idx)
+        want = brute_tokens(text)
+        value = [r.int_value if r.int_value is not None else r.string_value for r in rows]
+        assert [r.idx for r in rows] == list(range(len(want)))
+        assert [(r.start, r.end, r.text, v) for r, v in zip(rows, value)] == [w[1:] for w in want]
+        assert all(r.kind == w[0] for r, w in zip(rows, want) if w[0] != "Invalid")
