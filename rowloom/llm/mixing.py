@@ -49,7 +49,7 @@ def targets(by_source: DataFrame) -> DataFrame:
     w = w.withColumn("own_level", left / weight_left).withColumn("open", F.col("own_level") * F.col("weight") <= F.col("stop"))
     w = w.withColumn("level", F.min(F.when(F.col("open"), F.struct((F.col("stop") / F.col("weight")).alias("ratio"), F.col("own_level").alias("level")))).over(every)["level"])
     share = F.least(F.col("stop"), F.coalesce(F.col("level") * F.col("weight"), F.col("stop")))
-    return w.select("source", "source_size", F.round(F.when(F.col("total") > 0, share).otherwise(0.0), 4).alias("target"))
+    return w.select("source", "source_size", F.when(F.col("total") > 0, share).otherwise(0.0).alias("target"))
 
 
 def _with_range(df: DataFrame) -> DataFrame:
@@ -93,7 +93,8 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     """One row for each row of docs: doc_id, size, source_size, target, taken (long: words taken, repeats counted).
 
     Null text: size 0, taken 0. Null source: a source of its own, last in order. Rows with a null or repeated doc_id
-    share a key; equal rows at the cut share its words evenly. An empty table gives no rows; other columns are ignored.
+    share a key; equal rows at the cut share its words evenly. An empty table gives no rows; other columns are ignored. A
+    text of any length is measured whole; one that holds more words than its source's target is taken in part.
     """
     found = cut(sizes(docs, id_col, text_col, source_col))
     by_source = cut(plan(found)).withColumnRenamed("source", "of_source")
@@ -102,7 +103,10 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
 
 
 def resample(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """docs, same columns: each row as often as the mix takes it, the one at a cut once more if half of it or more fits."""
+    """docs, same columns: each row as often as the mix takes it, the one at a cut once more if half of it or more fits.
+
+    A row without words takes no budget: it is repeated as a row of one word at its key would be.
+    """
     found = cut(sizes(docs, id_col, text_col, source_col))
     names = [f"_rowloom_{c}" for c in ("source", "source_size", "target", "budget", "epochs", "cut_key", "cut_id", "cut_size", "cut_rest", "cut_rows")]
     by_source = cut(plan(found)).toDF(*names)
@@ -111,7 +115,8 @@ def resample(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", so
     rows = docs.join(by_source, F.col(source_col).cast("string").eqNullSafe(F.col(names[0]))).select(own, state)
     key = F.md5(F.concat(F.lit(SALT), F.coalesce(F.col(f"row.{id_col}").cast("long").cast("string"), F.lit("null"))).cast("binary"))
     flat = rows.select("row", F.col(f"row.{id_col}").cast("long").alias("doc_id"), key.alias("key"), n_words(F.coalesce(F.col(f"row.{text_col}").cast("string"), F.lit(""))).alias("size"), "p.epochs", "p.cut_key", "p.cut_id", "p.cut_size", "p.cut_rest", "p.cut_rows")
-    times = F.when(F.col("size") > 0, F.floor(taken(F.col("size")) / F.col("size") + F.lit(0.5))).otherwise(0).cast("int")
+    size = F.greatest("size", F.lit(1).cast("long"))
+    times = F.floor(taken(size) / size + F.lit(0.5)).cast("int")
     return flat.select("row", F.explode(F.array_repeat(F.lit(0), times)).alias("copy")).select(*[F.col("row")[c].alias(c) for c in docs.columns])
 
 
@@ -129,7 +134,7 @@ lv AS (SELECT 0 AS round, CAST(total / sum(weight) AS DOUBLE) AS level FROM w GR
   SELECT round + 1, (SELECT any_value(total) - coalesce(sum(3.0 * source_size) FILTER (WHERE lv.level * weight > 3.0 * source_size), 0) FROM w)
     / (SELECT sum(weight) FILTER (WHERE lv.level * weight <= 3.0 * source_size) FROM w) FROM lv WHERE round < 60),
 lvl AS (SELECT arg_max(level, round) AS level FROM lv),
-t AS (SELECT source, source_size, CASE WHEN total > 0 THEN round(least(3.0 * source_size, level * weight), 4) ELSE 0.0 END AS target FROM w, lvl),
+t AS (SELECT source, source_size, CASE WHEN total > 0 THEN least(3.0 * source_size, level * weight) ELSE 0.0 END AS target FROM w, lvl),
 b AS (SELECT *, CAST(round(target) AS BIGINT) AS budget, CASE WHEN source_size > 0 THEN CAST(round(target) AS BIGINT) // source_size ELSE 0 END AS epochs FROM t),
 c AS (SELECT d.doc_id, d.size, b.source_size, b.target, b.epochs, b.budget - b.epochs * b.source_size AS rest,
   sum(d.size) OVER (PARTITION BY d.source ORDER BY d.key, d.doc_id, d.size ROWS UNBOUNDED PRECEDING) - d.size AS before
