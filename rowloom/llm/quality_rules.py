@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rowloom.llm.common import SPACES, let, table, words
+from rowloom.llm.common import SPACES, cut, let, table, words
 
 SYMBOLS = "#*$%&|<>"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -23,8 +23,6 @@ POLICIES = {
 }
 CURRENT = 2
 
-_POS_BITS = 25
-
 
 def mask(version: int) -> int:
     return sum(1 << RULES.index(r) for r in POLICIES[version])
@@ -37,28 +35,22 @@ def _count(text: Column, chars: str) -> Column:
 def _repeated(w: Column) -> Column:
     """Words that lie in 3-word windows found twice or more.
 
-    Windows are hashed and sorted with their positions in one array of longs, so equal ones become neighbours; the
-    positions of those, sorted again, give the words they cover.
+    Windows are hashed and sorted with their positions, so equal ones become neighbours; the positions of those, sorted
+    again, give the words they cover. A text without equal windows is not sorted.
     """
     n = F.size(w)
     hashes = F.transform(F.slice(w, F.lit(1), F.greatest(n - 2, F.lit(0))), lambda x, i: F.xxhash64(x, F.get(w, i + 1), F.get(w, i + 2)))
-    low = (1 << _POS_BITS) - 1
-
-    def place(x: Column) -> Column:
-        return x.bitwiseAND(F.lit(low)).cast("int")
 
     def of_hashes(h: Column) -> Column:
-        packed = F.transform(h, lambda x, i: x.bitwiseAND(F.lit(~low)).bitwiseOR(i.cast("long")))
-
         def of_sorted(s: Column) -> Column:
             def again(x: Column, i: Column) -> Column:
-                own = F.get(h, place(x))
-                return F.coalesce(own == F.get(h, place(F.get(s, i - 1))), F.lit(False)) | F.coalesce(own == F.get(h, place(F.get(s, i + 1))), F.lit(False))
+                return F.coalesce(x["h"] == F.get(s, i - 1)["h"], F.lit(False)) | F.coalesce(x["h"] == F.get(s, i + 1)["h"], F.lit(False))
 
-            at = F.sort_array(F.transform(F.filter(s, again), place))
+            at = F.sort_array(F.transform(F.filter(s, again), lambda x: x["i"]))
             return let(at, lambda p: F.aggregate(F.transform(p, lambda x, i: F.least(F.lit(3), F.coalesce(F.get(p, i + 1) - x, F.lit(3)))), F.lit(0).cast("long"), lambda a, x: a + x))
 
-        return F.when(F.size(F.array_distinct(h)) == F.size(h), F.lit(0).cast("long")).otherwise(let(F.sort_array(packed), of_sorted))
+        placed = F.sort_array(F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("i"))))
+        return F.when(F.size(F.array_distinct(h)) == F.size(h), F.lit(0).cast("long")).otherwise(let(placed, of_sorted))
 
     return let(hashes, of_hashes)
 
@@ -96,7 +88,7 @@ def ledger(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     """One row for each row of docs: doc_id, the measurements, failed_bits (bit k set: rule RULES[k] failed).
 
     Null text counts as empty (no words: fails too_few_words); a null doc_id stays null; repeated rows each get a row;
-    an empty table gives no rows; other columns are ignored.
+    an empty table gives no rows; other columns are ignored. A text of any length that a row can hold is measured whole.
     """
     fails = failures()
     bits = F.lit(0).cast("long")
@@ -136,7 +128,17 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decide(ledger(table(spark, sf_dir, "documents"))).select(*columns)
 
 
-ORACLE_SQL = r"""
+def quality_ablations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every policy's rules with what each rejects, alone or not, over all documents: the ledger is made once."""
+    found = cut(ledger(table(spark, sf_dir, "documents")).select("failed_bits"))
+    each = [ablations(found, v).select(F.lit(v).alias("version"), "rule", "n_failed", "n_only", "kept_without", "kept") for v in POLICIES]
+    out = each[0]
+    for one in each[1:]:
+        out = out.unionByName(one)
+    return out
+
+
+_LEDGER_SQL = r"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
 w AS (SELECT r, doc_id, text, [x FOR x IN regexp_split_to_array(text, '[\x20\x09-\x0D]+') IF x <> ''] AS w,
   [x FOR x IN string_split(text, chr(10)) IF regexp_matches(x, '[^\x20\x09-\x0D]')] AS l FROM d),
@@ -149,5 +151,13 @@ m AS (SELECT w.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_s
   length(text) - length(regexp_replace(text, '[A-Z]', '', 'g')) AS n_upper FROM w LEFT JOIN cov ON w.r = cov.r),
 f AS (SELECT *, CAST((n_words < 50)::INT + 2 * (100 * n_repeat_words > 50 * n_words)::INT + 4 * (10 * n_symbols > 3 * n_words)::INT
   + 8 * (2 * n_dup_lines > n_lines)::INT + 16 * (word_chars > 20 * n_words OR word_chars < 2 * n_words)::INT + 32 * (2 * n_upper > word_chars)::INT AS BIGINT) AS failed_bits FROM m)
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, failed_bits, (failed_bits & 3) <> 0 AS base_failed, failed_bits = 0 AS kept FROM f
 """
+
+ORACLE_SQL = {
+    "op9_quality_rules": _LEDGER_SQL + "SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, failed_bits, (failed_bits & 3) <> 0 AS base_failed, failed_bits = 0 AS kept FROM f",
+    "quality_ablations": _LEDGER_SQL
+    + ", p AS (SELECT * FROM (VALUES "
+    + ", ".join(f"({v}, '{r}', {1 << RULES.index(r)}, {mask(v)})" for v, rules in POLICIES.items() for r in rules)
+    + ") t(version, rule, bit, mask)) SELECT version, rule, count(*) FILTER (WHERE failed_bits & bit <> 0) AS n_failed, count(*) FILTER (WHERE failed_bits & mask = bit) AS n_only,"
+    + " count(*) FILTER (WHERE failed_bits & mask & ~bit = 0) AS kept_without, count(*) FILTER (WHERE failed_bits & mask = 0) AS kept FROM f, p GROUP BY version, rule",
+}

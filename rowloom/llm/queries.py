@@ -16,6 +16,7 @@ _MODULES = {
     "op8_toxicity": "toxicity",
     "op9_quality_rules": "quality_rules",
     "op10_pii": "pii",
+    "quality_ablations": "quality_rules",
 }
 
 
@@ -27,6 +28,7 @@ def oracle_sql() -> dict:
     found = {}
     for name, module in _MODULES.items():
         sql = getattr(importlib.import_module(f"rowloom.llm.{module}"), "ORACLE_SQL", None)
+        sql = sql.get(name) if isinstance(sql, dict) else sql
         if sql:
             found[name] = sql
     return found
