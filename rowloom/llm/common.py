@@ -38,16 +38,32 @@ def _delete(spark: SparkSession, path: str) -> None:
         pass
 
 
+@contextmanager
+def setting(spark: SparkSession, key: str, value: str):
+    """A session setting for the tables written inside; what held before is put back."""
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(key)
+        else:
+            spark.conf.set(key, before)
+
+
 class Cut:
     """A table written to the shared folder and read again, so that lost executors cost no recomputation.
 
-    `df` reads it; `drop()` deletes it once nothing reads it any more (rounds of a loop).
+    `df` reads it; `drop()` deletes it once nothing reads it any more (rounds of a loop). The shuffle files that it was made
+    from go once it is written.
     """
 
     def __init__(self, df: DataFrame):
         self.spark = df.sparkSession
         self.path = f"{shared_dir(self.spark)}/rowloom/{uuid.uuid4().hex}"
-        df.write.parquet(self.path)
+        with setting(self.spark, "spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true"):
+            df.write.parquet(self.path)
         self.df = self.spark.read.schema(df.schema).parquet(self.path)
         atexit.register(_delete, self.spark, self.path)
 
@@ -59,20 +75,6 @@ def cut(df: DataFrame) -> DataFrame:
     return Cut(df).df
 
 
-@contextmanager
-def setting(spark: SparkSession, key: str, value: str):
-    """A session setting for the tables written inside; what held before is put back."""
-    before = spark.conf.get(key, None)
-    spark.conf.set(key, value)
-    try:
-        yield
-    finally:
-        if before is None:
-            spark.conf.unset(key)
-        else:
-            spark.conf.set(key, before)
-
-
 def let(value: Column, body) -> Column:
     """Evaluate `value` once for each row and hand it to `body` as a lambda variable.
 
@@ -81,6 +83,46 @@ def let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+#: Elements that `scan` folds at a time.
+SCAN = 128
+
+
+def scan(values: Column, op) -> Column:
+    """Running results of an associative op over an array, in time that grows with its length.
+
+    A fold that appends copies what it has at every step, so blocks of SCAN are folded apart; the results of the blocks
+    before are added to each.
+    """
+
+    def folded(xs: Column) -> Column:
+        def step(acc: Column, x: Column) -> Column:
+            return F.array_append(acc, F.when(F.size(acc) == 0, x).otherwise(op(F.try_element_at(acc, F.lit(-1)), x)))
+
+        return F.aggregate(xs, F.filter(xs, lambda _: F.lit(False)), step)
+
+    def of_blocks(blocks: Column) -> Column:
+        def of_ends(ends: Column) -> Column:
+            return F.flatten(F.transform(blocks, lambda b, i: F.when(i == 0, b).otherwise(let(F.get(ends, i - 1), lambda before: F.transform(b, lambda x: op(before, x))))))
+
+        return let(folded(F.transform(blocks, lambda b: F.element_at(b, -1))), of_ends)
+
+    def of_values(xs: Column) -> Column:
+        starts = F.filter(F.sequence(F.lit(0), F.greatest(F.size(xs) - 1, F.lit(0)), F.lit(SCAN)), lambda i: i < F.size(xs))
+        return let(F.transform(starts, lambda i: folded(F.slice(xs, i + 1, F.lit(SCAN)))), of_blocks)
+
+    return let(values, of_values)
+
+
+def last_at_or_before(starts: Column, x: Column) -> Column:
+    """How many elements of an ascending array are at most x: its last such element has this place, by halving steps."""
+
+    def step(n: Column, width: Column) -> Column:
+        return F.when(F.coalesce(F.get(starts, n + width - 1) <= x, F.lit(False)), n + width).otherwise(n)
+
+    widths = F.filter(F.array(*[F.lit(1 << k) for k in range(30, -1, -1)]), lambda w: w <= F.size(starts))
+    return F.aggregate(widths, F.lit(0), step)
+
+
 def words(text: Column) -> Column:
     """The words of a text in order, as an array; null text: none."""
     return F.filter(F.split(F.coalesce(text, F.lit("")), GAP), lambda w: w != "")
