@@ -10,7 +10,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rowloom.llm.common import let, table
+from rowloom.llm.common import last_at_or_before, let, scan, table
 
 #: The base patterns, written so that Java's matcher neither recurses nor backtracks over long runs; \G lets a match
 #: begin inside a run of local-part characters only where the match before it ended.
@@ -21,19 +21,25 @@ PATTERNS = {
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
 
+#: Words before a span that mark it as a secret for the fit.
+SECRET_WORDS = "password|passwd|pwd|token|secret|api_key|apikey"
+
 #: High-recall generators; their spans may overlap each other and the base spans.
 GENERATORS = {
     "contact": r"(?<![^\s@])[^\s@]++@[^\s@]++",
     "number": r"[+(]?[0-9][0-9\x20().-]{5,}+(?<=[0-9])|[+(]?[0-9][0-9\x20().-]{5,}[0-9]",
     "secret": r"[A-Za-z0-9+/_-]{16,}+",
+    "password": rf"(?i)(?<=(?:{SECRET_WORDS})[\"']?\s{{0,2}}[=:]\s{{0,2}}[\"']?)[^\s\"']{{6,}}+",
 }
 
-#: Words before a span that mark it as a secret for the fit, and words that mark contact data.
-SECRET_WORDS = "password|passwd|pwd|token|secret|api_key|apikey"
+#: Words before a span that mark contact data.
 CONTACT_WORDS = "mail|phone|tel|call|card|address"
 
-#: Feature patterns that the fit may use at most (the most frequent ones), rounds, shrinkage, precision asked of a threshold.
-FIT_PATTERNS, ROUNDS, RATE, PRECISION = 20_000, 16, 0.4, 0.95
+#: Rounds, shrinkage, precision asked of a threshold.
+ROUNDS, RATE, PRECISION = 16, 0.4, 0.95
+
+#: What every text with a span holds; code points of the chunks that a text is redacted by.
+ANY, CHUNK = rf"[0-9@]|(?i)(?:{SECRET_WORDS})", 1000
 
 FEATURES = ("generator", "length", "digits", "share", "separators", "opening", "hexes", "before", "after", "at_dot", "dots")
 
@@ -46,19 +52,18 @@ def _bin(x: Column, *edges: int) -> Column:
 
 
 def _found(text: Column, pattern: str, guard: Column, keep) -> Column:
-    """Matches of a pattern as an array of (start, end, body, before, after), offsets in code points, for which keep(body) holds."""
+    """Matches of a pattern as an array of (start, end, body, before, after), offsets in code points, for which keep(match) holds."""
     shape = "array<struct<start:int,end:int,body:string,before:string,after:string>>"
 
     def placed(gaps: Column) -> Column:
         def of_bodies(bodies: Column) -> Column:
-            def step(acc: Column, i: Column) -> Column:
-                start = acc["at"] + F.length(F.get(gaps, i))
-                end = start + F.length(F.get(bodies, i))
-                one = F.struct(start.alias("start"), end.alias("end"), F.get(bodies, i).alias("body"), F.right(F.get(gaps, i), F.lit(16)).alias("before"), F.left(F.get(gaps, i + 1), F.lit(1)).alias("after"))
-                return F.struct(end.alias("at"), F.array_append(acc["out"], one).alias("out"))
+            ends = scan(F.transform(bodies, lambda b, i: F.length(F.get(gaps, i)) + F.length(b)), lambda a, x: a + x)
 
-            first = F.struct(F.lit(0).alias("at"), F.array().cast(shape).alias("out"))
-            return F.aggregate(F.sequence(F.lit(0), F.size(bodies) - 1), first, step, lambda acc: F.filter(acc["out"], lambda m: keep(m["body"])))
+            def one(end: Column, i: Column) -> Column:
+                body = F.get(bodies, i)
+                return F.struct((end - F.length(body)).alias("start"), end.alias("end"), body.alias("body"), F.right(F.get(gaps, i), F.lit(16)).alias("before"), F.left(F.get(gaps, i + 1), F.lit(1)).alias("after"))
+
+            return F.filter(F.transform(ends, one), keep)
 
         return let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), of_bodies)
 
@@ -98,13 +103,17 @@ def base_spans(text: Column) -> Column:
     """Struct of one array of (start, end, ...) for each base kind, in their listed order."""
     has_digit = text.rlike("[0-9]")
     guards = {"email": F.contains(text, F.lit("@")), "ip": text.rlike(r"[0-9]\.[0-9]"), "card": has_digit, "phone": F.contains(text, F.lit("+"))}
-    return F.struct(*[_found(text, PATTERNS[k], guards[k], CHECKS[k]).alias(k) for k in PATTERNS])
+
+    def of_kind(k: str) -> Column:
+        return _found(text, PATTERNS[k], guards[k], lambda m: CHECKS[k](m["body"])).alias(k)
+
+    return F.struct(*map(of_kind, PATTERNS))
 
 
 def candidates(text: Column) -> Column:
     """Array of candidate spans with their bounded features: (generator, start, end, named, and the FEATURES as small ints)."""
-    guards = {"contact": F.contains(text, F.lit("@")), "number": text.rlike("[0-9]"), "secret": text.rlike("[0-9]")}
-    checks = {"contact": lambda x: F.lit(True), "number": lambda x: F.length(_digits(x)) >= 6, "secret": lambda x: x.rlike("[0-9]") & x.rlike("[A-Za-z]")}
+    guards = {"contact": F.contains(text, F.lit("@")), "number": text.rlike("[0-9]"), "secret": text.rlike("[0-9]"), "password": text.rlike(f"(?i)(?:{SECRET_WORDS})[\"']?\\s{{0,2}}[=:]")}
+    checks = {"contact": lambda m: F.lit(True), "number": lambda m: F.length(_digits(m["body"])) >= 6, "secret": lambda m: m["body"].rlike("[0-9]") & m["body"].rlike("[A-Za-z]"), "password": lambda m: F.lit(True)}
 
     def of_generator(g: int, name: str) -> Column:
         def described(m: Column) -> Column:
@@ -137,14 +146,42 @@ def _picked(docs: DataFrame, text_col: str) -> DataFrame:
     return docs.select(F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
 
 
+def _beside(base: Column, body) -> Column:
+    """body(near): near(candidate, "overlaps" or "holds") tells whether a base span overlaps or holds a candidate.
+
+    A kind's spans are in order and don't overlap, so only the last that starts early enough can; it is found by halving.
+    """
+
+    def sides(spans: Column) -> Column:
+        starts = F.struct(*[F.transform(spans[k], lambda m: m["start"]).alias(k) for k in PATTERNS])
+
+        def with_starts(starts: Column) -> Column:
+            def by_kind(k: str, at: Column, least: Column) -> Column:
+                reaches = let(last_at_or_before(starts[k], at), lambda n: F.coalesce(F.get(spans[k], n - 1)["end"] >= least, F.lit(False)))
+                return F.when(F.size(starts[k]) == 0, F.lit(False)).otherwise(reaches)
+
+            def near(c: Column, how: str) -> Column:
+                at, least = (c["end"] - 1, c["start"] + 1) if how == "overlaps" else (c["start"], c["end"])
+                out = F.lit(False)
+                for k in PATTERNS:
+                    out = out | by_kind(k, at, least)
+                return out
+
+            return body(near)
+
+        return let(starts, with_starts)
+
+    return let(base, sides)
+
+
 def patterns(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """The fit's counts over all documents: the features with n_pos, n_neg (fit) and c_pos, c_neg (calibration, a fifth of candidates).
 
-    A candidate counts as positive if it overlaps a base span or, for secrets, is named as one just before it.
+    A candidate counts as positive if it overlaps a base span or is named as a secret just before it. The features are
+    small numbers: there are at most as many rows as combinations of their values.
     """
-    found = _picked(docs, text_col).where(F.col("text").rlike("[0-9@]")).select(base_spans(F.col("text")).alias("b"), candidates(F.col("text")).alias("c"), F.xxhash64("text").alias("h"))
-    spans = F.concat(*[F.transform(F.col(f"b.{k}"), lambda m: F.struct(m["start"].alias("s"), m["end"].alias("e"))) for k in PATTERNS])
-    marked = F.transform("c", lambda c: F.struct(c.alias("c"), (F.exists(spans, lambda b: (b["s"] < c["end"]) & (c["start"] < b["e"])) | ((c["generator"] == 2) & c["named"])).alias("y")))
+    found = _picked(docs, text_col).where(F.col("text").rlike(ANY)).select(base_spans(F.col("text")).alias("b"), candidates(F.col("text")).alias("c"), F.xxhash64("text").alias("h"))
+    marked = _beside(F.struct(*[F.col(f"b.{k}").alias(k) for k in PATTERNS]), lambda near: F.transform("c", lambda c: F.struct(c.alias("c"), (near(c, "overlaps") | (c["generator"] == 3) | ((c["generator"] == 2) & c["named"])).alias("y"))))
     rows = found.select("h", F.explode(marked).alias("m")).select(*[f"m.c.{f}" for f in FEATURES], "m.y", (F.pmod(F.xxhash64("h", "m.c.start"), F.lit(5)) == 0).alias("held"))
     y, held = F.col("y"), F.col("held")
     return rows.groupBy(*FEATURES).agg(*[F.count_if(cond).alias(n) for n, cond in (("n_pos", y & ~held), ("n_neg", ~y & ~held), ("c_pos", y & held), ("c_neg", ~y & held))])
@@ -233,9 +270,10 @@ def boost(rows: list[dict]) -> Model:
 
 
 def fit(docs: DataFrame, text_col: str = "text") -> Model:
-    """A model from the documents themselves. Only the counts of feature patterns come to the driver, FIT_PATTERNS at most."""
-    top = patterns(docs, text_col).orderBy((F.col("n_pos") + F.col("n_neg") + F.col("c_pos") + F.col("c_neg")).desc(), *FEATURES).limit(FIT_PATTERNS)
-    return boost([r.asDict() for r in top.collect()])
+    """A model from all documents themselves. Only the counts of feature patterns come to the driver, one row a combination
+    of the features' few values.
+    """
+    return boost([r.asDict() for r in patterns(docs, text_col).orderBy(*FEATURES).collect()])
 
 
 def annotate(text: Column, model: Model) -> Column:
@@ -248,11 +286,11 @@ def annotate(text: Column, model: Model) -> Column:
         base = F.concat(*[of_kind(k) for k in PATTERNS])
 
         def with_base(known: Column) -> Column:
-            chosen = F.filter(candidates(text), lambda c: model.selects(c) & ~F.exists(known, lambda k: (k["start"] <= c["start"]) & (c["end"] <= k["end"])))
+            chosen = _beside(b, lambda near: F.filter(candidates(text), lambda c: model.selects(c) & ~near(c, "holds")))
             name = lambda c: F.element_at(F.array(*[F.lit(g) for g in GENERATORS]), c["generator"] + 1)
             added = F.array_sort(F.transform(chosen, lambda c: F.struct(name(c).alias("kind"), c["start"].alias("start"), c["end"].alias("end"))))
             counts = [F.size(b[k]).cast("long").alias(f"n_{k}") for k in PATTERNS]
-            return F.struct(*counts, known.alias("base"), F.when(text.rlike("[0-9@]"), added).otherwise(F.filter(known, lambda k: F.lit(False))).alias("added"))
+            return F.struct(*counts, known.alias("base"), F.when(text.rlike(ANY), added).otherwise(F.filter(known, lambda k: F.lit(False))).alias("added"))
 
         return let(base, with_base)
 
@@ -264,30 +302,45 @@ def written(spans: Column) -> Column:
 
 
 def redacted(text: Column, spans: Column) -> Column:
-    """text with every span replaced by its kind in brackets; overlapping spans become one, named after the first."""
-    kind = "struct<kind:string,start:int,end:int>"
-
-    def merge(acc: Column, s: Column) -> Column:
-        last = F.element_at(acc, -1)
-        joined = F.struct(last["kind"].alias("kind"), last["start"].alias("start"), F.greatest(last["end"], s["end"]).alias("end"))
-        return F.when((F.size(acc) > 0) & (F.try_element_at(acc, F.lit(-1))["end"] > s["start"]), F.array_append(F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))), joined)).otherwise(F.array_append(acc, s))
+    """text with every span replaced by its kind in brackets; overlapping spans become one, named after the first.
 
+    The text is cut into chunks once, so that a piece of it costs no walk from its start.
+    """
     by_start = F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"))))
-    plain = F.transform(by_start, lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end")))
 
-    def replaced(merged: Column) -> Column:
-        pieces = F.transform(merged, lambda m, i: F.concat(F.substring(text, F.when(i == 0, F.lit(1)).otherwise(F.get(merged, i - 1)["end"] + 1), m["start"] - F.when(i == 0, F.lit(0)).otherwise(F.get(merged, i - 1)["end"])), F.lit("["), F.upper(m["kind"]), F.lit("]")))
-        return F.concat(F.array_join(pieces, ""), F.substring(text, F.element_at(merged, -1)["end"] + 1, F.length(text)))
+    def of_spans(s: Column) -> Column:
+        def of_reach(reach: Column) -> Column:
+            """reach: the furthest end so far. A span that begins at or after it begins a redaction."""
+            heads = F.filter(F.sequence(F.lit(0), F.size(s) - 1), lambda i: (i == 0) | (F.get(s, i)["start"] >= F.get(reach, i - 1)))
+
+            def of_heads(h: Column) -> Column:
+                one = F.transform(h, lambda i, k: F.struct(F.get(s, i)["kind"].alias("kind"), F.get(s, i)["start"].alias("start"), F.get(reach, F.coalesce(F.get(h, k + 1), F.size(s)) - 1).alias("end")))
+                return let(F.regexp_extract_all(text, F.lit(f"(?s).{{1,{CHUNK}}}"), F.lit(0)), lambda chunks: let(one, lambda m: replaced(chunks, m)))
+
+            return let(heads, of_heads)
+
+        return let(scan(F.transform(s, lambda x: x["end"]), F.greatest), of_reach)
+
+    def piece(chunks: Column, start: Column, end: Column) -> Column:
+        a, b = F.floor(start / CHUNK).cast("int"), F.floor(end / CHUNK).cast("int")
+        first = F.coalesce(F.get(chunks, a), F.lit(""))
+        last = F.left(F.coalesce(F.get(chunks, b), F.lit("")), end % CHUNK)
+        many = F.concat(F.substring(first, start % CHUNK + 1, F.lit(CHUNK)), F.array_join(F.slice(chunks, a + 2, F.greatest(b - a - 1, F.lit(0))), ""), last)
+        return F.when(a == b, F.substring(first, start % CHUNK + 1, end - start)).otherwise(many)
+
+    def replaced(chunks: Column, merged: Column) -> Column:
+        pieces = F.transform(merged, lambda m, i: F.concat(piece(chunks, F.when(i == 0, F.lit(0)).otherwise(F.get(merged, i - 1)["end"]), m["start"]), F.lit("["), F.upper(m["kind"]), F.lit("]")))
+        return F.concat(F.array_join(pieces, ""), piece(chunks, F.element_at(merged, -1)["end"], F.length(text)))
 
-    one = F.aggregate(plain, F.array().cast(f"array<{kind}>"), merge)
-    return F.when(F.size(spans) == 0, text).otherwise(let(one, replaced))
+    return F.when(F.size(spans) == 0, text).otherwise(let(by_start, of_spans))
 
 
 def find(docs: DataFrame, model: Model | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each row of docs: doc_id, n_email, n_ip, n_card, n_phone, base, added.
 
     Null text counts as empty and has no spans; a null doc_id stays null; repeated rows each get a row; an empty table
-    gives no rows; other columns are ignored. Without a model one is fitted on docs. No shuffle but the fit's counts.
+    gives no rows; other columns are ignored. Without a model one is fitted on docs. No shuffle but the fit's counts. The
+    time for a text grows with its length and its matches, so a very long one, such as a log, is read whole.
     """
     model = model or fit(docs, text_col)
     picked = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
@@ -299,7 +352,7 @@ def redact(docs: DataFrame, model: Model | None = None, text_col: str = "text")
     model = model or fit(docs, text_col)
     text = F.col(text_col)
     clean = let(annotate(text, model), lambda a: redacted(text, F.concat(a["base"], a["added"])))
-    return docs.withColumn(text_col, F.when(text.rlike("[0-9@]"), clean).otherwise(text))
+    return docs.withColumn(text_col, F.when(text.rlike(ANY), clean).otherwise(text))
 
 
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
