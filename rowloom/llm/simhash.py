@@ -16,10 +16,10 @@ from rowloom.llm.common import components, cut, table
 MAX_BITS, SHINGLE, SEED = 3, 3, 42
 #: Reference fingerprints of the distance tables.
 N_PIVOTS = 16
-#: Rows of one candidate group that a task compares; larger groups are split into cells of the pivot table.
+#: Rows of one candidate group that a task compares; larger groups are split into cells of the pivot table, then into blocks.
 GROUP_ROWS = 20_000
-#: Width of a cell on one pivot's axis, and the axes used for cells.
-CELL, CELL_AXES = 8, (1, 2, 3)
+#: Width of a cell on one pivot's axis, and the axes used for cells, split by split.
+CELL, CELL_AXES = 8, ((1, 2, 3), (4, 5, 6))
 
 
 def pivots(n: int = N_PIVOTS) -> np.ndarray:
@@ -115,77 +115,90 @@ def _link(group: np.ndarray, fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return fp[moved], fp[label[moved]]
 
 
-def _cells(fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _cells(fp: np.ndarray, axes: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray]:
     """Rows and the pivot cells they belong to: the own cell and, within MAX_BITS of its lower edge, the cell below, on each axis.
 
     Two fingerprints within MAX_BITS meet in the cell of the smaller coordinate on each axis.
     """
     row, cell = np.arange(len(fp)), np.zeros(len(fp), np.int64)
-    for axis in CELL_AXES:
+    for axis in axes:
         d = np.bitwise_count(fp[row] ^ pivots()[axis]).astype(np.int64)
         low = (d % CELL < MAX_BITS) & (d >= CELL)
         row, cell = np.concatenate((row, row[low])), np.concatenate((cell * 16 + d // CELL, cell[low] * 16 + d[low] // CELL - 1))
     return row, cell
 
 
-_SCHEMA = "t int, k long, cell long, a long, b long"
+_ROWS, _GROUP = "t int, k long, cell long, fp long", ["t", "k", "cell"]
 
 
-def _compare(split: bool):
-    """A task's rows come sorted by (t, k, cell). Complete groups are linked; with `split`, groups over GROUP_ROWS pass on by cell."""
-
-    def out(t, k, cell, a, b):
-        return pa.RecordBatch.from_arrays([pa.array(x) for x in (t.astype(np.int32), k, cell, a.view(np.int64), b.view(np.int64))], names=["t", "k", "cell", "a", "b"])
-
-    def links(t, k, c, fp):
-        if len(fp) > 1:
-            new = np.ones(len(fp), bool)
-            new[1:] = (t[1:] != t[:-1]) | (k[1:] != k[:-1]) | (c[1:] != c[:-1])
-            a, b = _link(np.cumsum(new), fp)
-            if len(a):
-                zero = np.zeros(len(a), np.int64)
-                yield out(zero - 1, zero, zero, a, b)
-
-    def passed(t, k, fp):
-        row, cell = _cells(fp)
-        yield out(t[row], k[row], cell, fp[row], fp[row])
+def _split(axes: tuple[int, ...]):
+    """Rows of large groups to the cells that they belong to on some axes: each row apart, so a hot group is split in many tasks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest = [np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)]
-        large = None  # the group that passes on as it comes
-        for batch in batches:
-            new = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(4)]
-            new[3] = new[3].view(np.uint64)
-            t, k, c, fp = (np.concatenate(x) for x in zip(rest, new))
-            if split and large is not None:
-                same = (t == large[0]) & (k == large[1])
-                if same.any():
-                    yield from passed(t[same], k[same], fp[same])
-                t, k, c, fp = t[~same], k[~same], c[~same], fp[~same]
-            if not len(fp):
-                rest = [t, k, c, fp]
-                continue
-            last = int(np.flatnonzero((t != t[-1]) | (k != k[-1]) | (c != c[-1])).max(initial=-1)) + 1
-            yield from links(t[:last], k[:last], c[:last], fp[:last])
-            rest = [t[last:], k[last:], c[last:], fp[last:]]
-            large = None
-            if split and len(rest[3]) > GROUP_ROWS:
-                large = (rest[0][0], rest[1][0])
-                yield from passed(rest[0], rest[1], rest[3])
-                rest = [x[:0] for x in rest]
-        yield from links(*rest)
+        for b in batches:
+            fp = b.column(3).to_numpy().view(np.uint64)
+            row, cell = _cells(fp, axes)
+            at = pa.array(row)
+            yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at), pa.array(b.column(2).to_numpy()[row] * 16 ** len(axes) + cell), b.column(3).take(at)], names=["t", "k", "cell", "fp"])
 
     return run
 
 
+def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links of complete groups, which come sorted by (t, k, cell) and hold some GROUP_ROWS at most."""
+
+    def links(t, k, c, fp):
+        new = np.ones(len(fp), bool)
+        new[1:] = (t[1:] != t[:-1]) | (k[1:] != k[:-1]) | (c[1:] != c[:-1])
+        a, b = _link(np.cumsum(new), fp)
+        return pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], names=["a", "b"])
+
+    rest: list[np.ndarray] | None = None
+    for batch in batches:
+        new = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(4)]
+        new[3] = new[3].view(np.uint64)
+        t, k, c, fp = new if rest is None else (np.concatenate(x) for x in zip(rest, new))
+        if not len(fp):
+            continue
+        last = int(np.flatnonzero((t != t[-1]) | (k != k[-1]) | (c != c[-1])).max(initial=-1)) + 1
+        if last:
+            yield links(t[:last], k[:last], c[:last], fp[:last])
+        rest = [t[last:], k[last:], c[last:], fp[last:]]
+    if rest is not None and len(rest[3]) > 1:
+        yield links(*rest)
+
+
 def links(fps: DataFrame) -> DataFrame:
-    """a, b: links that connect all distinct fingerprints (column fp) within MAX_BITS of each other, without all pairs of a group."""
+    """a, b: links that connect all distinct fingerprints (column fp) within MAX_BITS of each other, without all pairs of a group.
+
+    Groups share two whole blocks of bits. A group over GROUP_ROWS goes to the cells of the pivot table, those still over
+    it to the cells of more pivots, and what is left is cut into blocks by hash, each pair of which meets in one task.
+    Sizes are counted first, so no task ever holds or streams a large group.
+    """
     keys = F.explode(F.array(*[F.struct(F.lit(i).alias("t"), F.col("fp").bitwiseAND(F.lit(m - (1 << 64) if m >> 63 else m)).alias("k")) for i, m in enumerate(masks())])).alias("x")
-    keyed = fps.select("fp", keys).select("x.t", "x.k", F.lit(0).cast("long").alias("cell"), "fp")
-    first = cut(keyed.repartition("t", "k").sortWithinPartitions("t", "k").mapInArrow(_compare(True), _SCHEMA))
-    large = first.where("t >= 0").select("t", "k", "cell", F.col("a").alias("fp"))
-    second = large.repartition("t", "k", "cell").sortWithinPartitions("t", "k", "cell").mapInArrow(_compare(False), _SCHEMA)
-    return first.where("t < 0").select("a", "b").union(second.select("a", "b"))
+    rows = fps.select("fp", keys).select("x.t", "x.k", F.lit(0).cast("long").alias("cell"), "fp")
+
+    def compared(groups: DataFrame) -> DataFrame:
+        return groups.select(*_GROUP, "fp").repartition(*_GROUP).sortWithinPartitions(*_GROUP).mapInArrow(_compare, "a long, b long")
+
+    found = []
+    for axes in (*CELL_AXES, None):
+        large = cut(rows.groupBy(*_GROUP).agg(F.count("*").alias("n")).where(F.col("n") > GROUP_ROWS))
+        if large.isEmpty():
+            found.append(compared(rows))
+            break
+        found.append(compared(rows.join(large, _GROUP, "left_anti")))
+        if axes:
+            rows = cut(rows.join(large, _GROUP, "left_semi").select(*_GROUP, "fp").mapInArrow(_split(axes), _ROWS))
+            continue
+        blocks = rows.join(large.withColumn("blocks", F.ceil(F.col("n") / GROUP_ROWS).cast("long")), _GROUP).withColumn("own", F.pmod(F.xxhash64("fp"), "blocks"))
+        met = blocks.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+        pair = F.least("own", "other") * F.col("blocks") + F.greatest("own", "other")
+        found.append(compared(met.select("t", F.xxhash64("k", "cell").alias("k"), pair.alias("cell"), "fp")))
+    out = found[0]
+    for one in found[1:]:
+        out = out.unionByName(one)
+    return out
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -205,14 +218,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def keep_one(docs: DataFrame, groups: DataFrame | None = None) -> DataFrame:
-    """docs with one document of each group (the smallest doc_id); a repeated doc_id stays once, rows without an id all stay.
+    """docs with one document of each group (the smallest doc_id); a repeated doc_id stays once (its least row), rows without an id all stay.
 
     groups: doc_id, component_id of every row of docs; by default those of near_duplicates.
     """
     found = (near_duplicates(docs) if groups is None else groups).where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("n"))
     found = cut(found)
     once = docs.join(found.where("n = 1").select("doc_id"), "doc_id", "left_semi")
-    more = docs.join(found.where("n > 1").select("doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    one = F.struct(*[F.col(c).alias(f"c{i}") for i, c in enumerate(docs.columns)])
+    more = docs.join(found.where("n > 1").select("doc_id"), "doc_id", "left_semi").groupBy(F.col("doc_id").alias("_id")).agg(F.min_by(one, F.to_json(one)).alias("row"))
+    more = more.select(*[F.col(f"row.c{i}").alias(c) for i, c in enumerate(docs.columns)])
     return once.unionByName(more).unionByName(docs.where("doc_id is null"))
 
 
