@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from copy import copy
 
 import numpy as np
 import pyarrow as pa
@@ -13,12 +14,12 @@ from pyspark.sql import functions as F
 from rowloom.llm.common import cut, table
 from rowloom.llm.toxicity import sample
 
-#: Unlabelled documents that the rounds may use at most, in the order of a hash of their ids (labelled ones: toxicity.FIT_ROWS).
-POOL_ROWS = 20_000
-#: Exchanges of pseudo-labels, confidence asked of one, weight of one against a label.
-ROUNDS, CONFIDENT, PSEUDO_WEIGHT = 3, 0.97, 0.3
-#: Bins of a number, hash buckets of a source or language, steps and penalty of a fit.
-BINS, BUCKETS, STEPS, PENALTY = 12, 16, 150, 1e-3
+#: Exchanges of pseudo-labels, confidence asked of one, weight of all of them against that of all labels.
+ROUNDS, CONFIDENT, PSEUDO_WEIGHT = 3, 0.97, 0.5
+#: Bins of a number, hash buckets of a source or language, Newton steps of a fit on labels and of one in a round, penalty.
+BINS, BUCKETS, STEPS, ROUND_STEPS, PENALTY = 12, 16, 12, 3, 1.0
+#: Partial sums that the driver adds up.
+PARTS = 8
 #: Share of good held documents that the cut may reject at most.
 MOST_LOST = 0.005
 
@@ -65,27 +66,36 @@ def page_view(text: str, n_chars: int | None, lang: str | None, source: str | No
 class View:
     """Logistic regression on binned numbers and buckets: additive, so any shape of a number's effect fits."""
 
-    def fit(self, numbers: np.ndarray, buckets: np.ndarray, y: np.ndarray, weight: np.ndarray) -> View:
+    def __init__(self, numbers: np.ndarray):
         qs = np.linspace(0, 1, BINS + 1)[1:-1]
         self.edges = [np.unique(np.quantile(numbers[:, j], qs)) for j in range(numbers.shape[1])]
-        ids = self.ids(numbers, buckets)
-        size = len(self.edges) * BINS + 2 * BUCKETS
-        self.w, self.bias = np.zeros(size), 0.0
-        past_w, past_b, total = np.full(size, 1e-8), 1e-8, max(weight.sum(), 1e-9)
-        for _ in range(STEPS):
-            g = weight * (1 / (1 + np.exp(-np.clip(self.logit(ids), -30, 30))) - y) / total
-            grad = np.bincount(ids.ravel(), weights=np.repeat(g, ids.shape[1]), minlength=size) + PENALTY * self.w / 10
-            past_w, past_b = past_w + grad**2, past_b + g.sum() ** 2
-            self.w -= 0.3 * grad / np.sqrt(past_w)
-            self.bias -= 0.3 * g.sum() / np.sqrt(past_b)
-        return self
+        self.size = len(self.edges) * BINS + 2 * BUCKETS + 1  # the last weight is the shift
+        self.w = np.zeros(self.size)
 
     def ids(self, numbers: np.ndarray, buckets: np.ndarray) -> np.ndarray:
+        """The weights that each row adds up."""
         cols = [j * BINS + np.searchsorted(e, numbers[:, j], side="right") for j, e in enumerate(self.edges)]
-        return np.column_stack([*cols, *(len(self.edges) * BINS + buckets).T])
+        return np.column_stack([*cols, *(len(self.edges) * BINS + buckets).T, np.full(len(numbers), self.size - 1)]).astype(np.int64)
 
     def logit(self, ids: np.ndarray) -> np.ndarray:
-        return self.w[ids].sum(1) + self.bias
+        return self.w[ids].sum(1)
+
+    def slopes(self, ids: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """Gradient and curvature of the loss over rows, as one array; sums over parts of the rows add up."""
+        p = 1 / (1 + np.exp(-np.clip(self.logit(ids), -30, 30)))
+        v, d = p * (1 - p), self.size
+        curve = np.zeros(d * d)
+        for a in range(ids.shape[1]):
+            for b in range(ids.shape[1]):
+                curve += np.bincount(ids[:, a] * d + ids[:, b], weights=v, minlength=d * d)
+        return np.concatenate((np.bincount(ids.ravel(), weights=np.repeat(p - y, ids.shape[1]), minlength=d), curve))
+
+    def step(self, sums: np.ndarray) -> None:
+        """One damped Newton step on the penalised loss."""
+        d = self.size
+        g, h = sums[:d] + PENALTY * self.w, sums[d:].reshape(d, d) + PENALTY * np.eye(d)
+        move = np.linalg.solve(h, g)
+        self.w = self.w - move * min(1.0, 4.0 / max(np.abs(move).max(), 1e-12))
 
 
 def platt(s: np.ndarray, y: np.ndarray) -> tuple[float, float]:
@@ -107,12 +117,15 @@ class CoTrained:
     def __init__(self, views: list[View] | None = None, scales: list[tuple[float, float]] = (), cut_at: float = -np.inf):
         self.views, self.scales, self.cut_at = views, scales, cut_at
 
-    def score(self, x: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+    def score_ids(self, ids: list[np.ndarray]) -> np.ndarray:
         """P(text view), P(page view), combined P: the mean of the calibrated logits."""
+        z = [a * v.logit(i) + b for v, i, (a, b) in zip(self.views, ids, self.scales)]
+        return 1 / (1 + np.exp(-np.clip(np.column_stack([*z, (z[0] + z[1]) / 2]), -30, 30)))
+
+    def score(self, x: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
         if self.views is None:
             return np.full((len(x[0][0]), 3), 0.5)
-        z = [a * v.logit(v.ids(*part)) + b for v, part, (a, b) in zip(self.views, x, self.scales)]
-        return 1 / (1 + np.exp(-np.clip(np.column_stack([*z, (z[0] + z[1]) / 2]), -30, 30)))
+        return self.score_ids([v.ids(*part) for v, part in zip(self.views, x)])
 
 
 def _features(rows: list[tuple]) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -140,42 +153,101 @@ def _normal(docs: DataFrame, id_col: str) -> DataFrame:
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("n_chars").cast("long").alias("n_chars"), F.col("lang").cast("string").alias("lang"), F.col("source").cast("string").alias("source"))
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id") -> CoTrained:
-    """A model from bounded samples of labelled and unlabelled documents. Labels of one kind only: a model that keeps all."""
+def binned(docs: DataFrame, views: list[View], id_col: str = "doc_id") -> DataFrame:
+    """doc_id, t, p (the weights that a row adds up in the text and the page view) of every row of docs: whole texts, one pass."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            x = _features(list(zip(*(b.column(i).to_pylist() for i in range(1, 5)))))
+            ids = [v.ids(*part).astype(np.int16) for v, part in zip(views, x)]
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(list(i), pa.list_(pa.int16())) for i in ids)], names=["doc_id", "t", "p"])
+
+    return _normal(docs, id_col).mapInArrow(run, "doc_id long, t array<short>, p array<short>")
+
+
+def _matrix(column: pa.Array) -> np.ndarray:
+    return column.flatten().to_numpy().astype(np.int64).reshape(len(column), -1)
+
+
+def _taught(pool: DataFrame, views: list[View], teachers: list[View], scales: list[tuple[float, float]]) -> list[tuple[float, np.ndarray]]:
+    """For each view the number of rows that the other, as it was when the round began, is sure of, and the slopes over them.
+
+    Every unlabelled row is looked at. A task leaves one array a view; PARTS tasks add these up, the driver adds theirs.
+    """
+    schema, names = "part int, view int, n double, sums array<double>", ["part", "view", "n", "sums"]
+
+    def out(part: int, n: list[float], sums: list[np.ndarray]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([part] * 2, pa.int32()), pa.array([0, 1], pa.int32()), pa.array(n, pa.float64()), pa.array([s.tolist() for s in sums], pa.list_(pa.float64()))], names=names)
+
+    def empty():
+        return [0.0, 0.0], [np.zeros(v.size + v.size**2) for v in views]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n, sums = empty()
+        for b in batches:
+            ids = [_matrix(b.column(1)), _matrix(b.column(2))] if b.num_rows else []
+            for k in (0, 1) if ids else ():
+                a, shift = scales[1 - k]
+                p = 1 / (1 + np.exp(-np.clip(a * teachers[1 - k].logit(ids[1 - k]) + shift, -30, 30)))
+                sure = (p >= CONFIDENT) | (p <= 1 - CONFIDENT)
+                n[k] += float(sure.sum())
+                sums[k] += views[k].slopes(ids[k][sure], (p[sure] >= 0.5) * 1.0)
+        yield out(zlib.crc32(np.concatenate(sums).tobytes()) % PARTS, n, sums)
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n, sums = empty()
+        for b in batches:
+            for view, rows, s in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), b.column(3)):
+                n[view] += rows
+                sums[view] += s.values.to_numpy()
+        yield out(0, n, sums)
+
+    got = pool.mapInArrow(run, schema).repartition(PARTS, "part").mapInArrow(add, schema).orderBy("view", "n", "sums").collect()
+    return [(sum(r["n"] for r in got if r["view"] == k), sum((np.array(r["sums"]) for r in got if r["view"] == k), np.zeros(views[k].size + views[k].size ** 2))) for k in (0, 1)]
+
+
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", found: list | None = None) -> CoTrained:
+    """A model from a bounded sample of the labelled documents (toxicity.FIT_ROWS) and all unlabelled ones.
+
+    Views are fitted on the labels first. In each round a view names labels for the unlabelled rows that it is sure of,
+    and the other takes Newton steps on the labels and these. Of the sample eight tenths fit, one calibrates the views
+    and one sets the cut. Labels of one kind only: a model that keeps all. found: a list that gets the table of `binned`.
+    """
     base = _normal(docs, id_col)
-    known = sample(docs, labels, "quality", id_col).select("doc_id", "y", "held")
-    rows = _measured(base.join(F.broadcast(known), "doc_id").dropDuplicates(["doc_id"]), "y", "held").collect()
-    y, held = np.array([r["y"] > 0 for r in rows], float), np.array([r["held"] for r in rows], bool)
-    if not len(rows) or y[~held].min(initial=1) == y[~held].max(initial=0):
+    known = sample(base, labels, "quality", columns=("text", "n_chars", "lang", "source"))
+    rows = sorted(_measured(known, "doc_id", "y", "fold").collect())
+    y, fold = np.array([r["y"] > 0 for r in rows], float), np.array([r["fold"] for r in rows], np.int64)
+    train = fold > 1
+    if not len(rows) or y[train].min(initial=1) == y[train].max(initial=0):
         return CoTrained()
-    ids = base.where("doc_id is not null").select("doc_id").join(labels.select("doc_id").where("doc_id is not null").distinct(), "doc_id", "left_anti").distinct()
-    few = cut(ids.orderBy(F.md5(F.col("doc_id").cast("string").cast("binary")), "doc_id").limit(POOL_ROWS))
-    pool = _measured(base.join(F.broadcast(few), "doc_id").dropDuplicates(["doc_id"])).collect()
 
-    def parts(found, mask=None):
-        pick = [r for i, r in enumerate(found) if mask is None or mask[i]]
+    def parts(mask):
+        pick = [r for i, r in enumerate(rows) if mask[i]]
         b = np.array([r["b"] for r in pick], np.int64).reshape(len(pick), 2)
         return [(np.array([r["t"] for r in pick]).reshape(len(pick), -1), b * 0 + [0, BUCKETS]), (np.array([r["p"] for r in pick]).reshape(len(pick), -1), b)]
 
-    train, rest, test = parts(rows, ~held), parts(pool), parts(rows, held if held.any() else None)
-    y_train, y_test = y[~held], y[held] if held.any() else y
-    weights = np.ones(len(y_train))
-    views = [View().fit(*x, y_train, weights) for x in train]
-    for _ in range(ROUNDS if len(pool) else 0):
-        taught = []
-        for teacher, other in ((0, 1), (1, 0)):
-            a, b = platt(views[teacher].logit(views[teacher].ids(*test[teacher])), y_test)
-            p = 1 / (1 + np.exp(-np.clip(a * views[teacher].logit(views[teacher].ids(*rest[teacher])) + b, -30, 30)))
-            sure = (p >= CONFIDENT) | (p <= 1 - CONFIDENT)
-            both = [np.concatenate((train[other][k], rest[other][k][sure])) for k in (0, 1)]
-            taught.append((other, View().fit(*both, np.concatenate((y_train, (p[sure] >= 0.5) * 1.0)), np.concatenate((weights, np.full(int(sure.sum()), PSEUDO_WEIGHT))))))
-        for other, view in taught:
-            views[other] = view
-    scales = [platt(v.logit(v.ids(*x)), y_test) for v, x in zip(views, test)]
+    views = [View(numbers) for numbers, _ in parts(train)]
+    ids = [v.ids(*x) for v, x in zip(views, parts(train))]
+    calibrate, last = (m if m.any() else train for m in (fold == 0, fold == 1))
+    test = [v.ids(*x) for v, x in zip(views, parts(calibrate))]
+    for v, x in zip(views, ids):
+        for _ in range(STEPS):
+            v.step(v.slopes(x, y[train]))
+    every = cut(binned(docs, views, id_col))
+    if found is not None:
+        found.append(every)
+    pool = every.join(labels.where(F.col("doc_id").isNotNull()).select("doc_id").distinct(), "doc_id", "left_anti")
+    for _ in range(ROUNDS):
+        scales = [platt(v.logit(x), y[calibrate]) for v, x in zip(views, test)]
+        teachers = [copy(v) for v in views]
+        for _ in range(ROUND_STEPS):
+            for v, x, (n, sums) in zip(views, ids, _taught(pool, views, teachers, scales)):
+                v.step(v.slopes(x, y[train]) + sums * (PSEUDO_WEIGHT * train.sum() / max(n, 1.0)))
+    scales = [platt(v.logit(x), y[calibrate]) for v, x in zip(views, test)]
     model = CoTrained(views, scales)
-    s = model.score(test)[:, 2]
-    good = np.sort(s[y_test > 0])
-    best = _best_cut(s, y_test > 0)
+    s = model.score(parts(last))[:, 2]
+    good = np.sort(s[y[last] > 0])
+    best = _best_cut(s, y[last] > 0)
     model.cut_at = min(best, float(good[int(MOST_LOST * len(good))])) if len(good) else best
     return model
 
@@ -193,21 +265,40 @@ def _best_cut(s: np.ndarray, good: np.ndarray) -> float:
     return float((top + above.min()) / 2) if len(above) else float(top) + 1e-9
 
 
+_SCORED, _NAMES = "doc_id long, p_text double, p_page double, score double, kept boolean", ["doc_id", "p_text", "p_page", "score", "kept"]
+
+
 def score(docs: DataFrame, model: CoTrained, id_col: str = "doc_id") -> DataFrame:
     """One row for each row of docs: doc_id, p_text, p_page, score, kept (score at or above the model's cut).
 
     Null text counts as empty, null metadata as unknown; a null doc_id stays null, repeated rows each get a row, an empty
-    table gives no rows, other columns are ignored. One pass over whole texts, no shuffle.
+    table gives no rows, other columns are ignored; rows with equal features get the same score. One pass over whole
+    texts of any length, no shuffle.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             p = model.score(_features(list(zip(*(b.column(i).to_pylist() for i in range(1, 5))))))
-            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(p[:, k]) for k in range(3)), pa.array(p[:, 2] >= model.cut_at)], names=["doc_id", "p_text", "p_page", "score", "kept"])
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(p[:, k]) for k in range(3)), pa.array(p[:, 2] >= model.cut_at)], names=_NAMES)
+
+    return _normal(docs, id_col).mapInArrow(run, _SCORED)
+
+
+def co_train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """fit() and score() of the same documents with their texts measured once."""
+    found: list[DataFrame] = []
+    model = fit(docs, labels, id_col, found)
+    if not found:
+        return score(docs, model, id_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                p = model.score_ids([_matrix(b.column(1)), _matrix(b.column(2))])
+                yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(p[:, k]) for k in range(3)), pa.array(p[:, 2] >= model.cut_at)], names=_NAMES)
 
-    return _normal(docs, id_col).mapInArrow(run, "doc_id long, p_text double, p_page double, score double, kept boolean")
+    return found[0].mapInArrow(run, _SCORED)
 
 
 def op7_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    return score(docs, fit(docs, table(spark, sf_dir, "labels")))
+    return co_train(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))

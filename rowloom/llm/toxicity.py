@@ -17,8 +17,8 @@ from rowloom.llm.common import cut, table
 FIT_ROWS = 20_000
 #: Lengths of the word beginnings that are features beside whole words.
 PREFIXES = (4, 5, 6)
-#: A feature needs so many documents and so many standard errors of log odds; so many features at most, strongest first.
-LEAST_DOCS, LEAST_Z, MOST_FEATURES = 3, 4.0, 20_000
+#: A feature needs so many documents and so many standard errors of log odds; a strong one also has such log odds.
+LEAST_DOCS, LEAST_Z, STRONG = 3, 4.0, 3.0
 #: Severity grades above 0 (not toxic), steps of the fit, weight penalty.
 GRADES, STEPS, PENALTY = 3, 200, 1e-4
 
@@ -35,42 +35,60 @@ def _ids(text: str | None, vocabulary: list[dict]) -> list[int]:
     return [v[f] for found, v in zip(features(text), vocabulary) for f in found & v.keys()]
 
 
-def sample(docs: DataFrame, labels: DataFrame, label_col: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, y, held, text of at most FIT_ROWS labelled documents; a fifth is held for calibration. Written once."""
+def sample(docs: DataFrame, labels: DataFrame, label_col: str, id_col: str = "doc_id", columns: tuple[str, ...] = ("text",)) -> DataFrame:
+    """doc_id, y, fold (0 to 9, by a hash of the id), columns of at most FIT_ROWS labelled documents, written once.
+
+    Of rows that repeat an id the least counts, of labels that do the greatest, so that reruns agree.
+    """
     by_id = labels.where(F.col("doc_id").isNotNull() & F.col(label_col).isNotNull()).groupBy("doc_id").agg(F.max(label_col).cast("int").alias("y"))
     few = by_id.orderBy(F.md5(F.col("doc_id").cast("string").cast("binary")), "doc_id").limit(FIT_ROWS)
-    picked = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    both = picked.join(F.broadcast(few), "doc_id").dropDuplicates(["doc_id"])
-    return cut(both.select("doc_id", "y", (F.pmod(F.xxhash64("doc_id"), F.lit(5)) == 0).alias("held"), "text"))
+    picked = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.struct(*[F.col(c) for c in columns]).alias("row"))
+    both = picked.join(F.broadcast(few), "doc_id").groupBy("doc_id", "y").agg(F.min("row").alias("row"))
+    return cut(both.select("doc_id", "y", F.pmod(F.xxhash64("doc_id"), F.lit(10)).cast("int").alias("fold"), *[F.col("row")[c].alias(c) for c in columns]))
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        seen = [Counter(), Counter()]
-        for y, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+        seen: dict[tuple[int, int], Counter] = {(half, y): Counter() for half in (0, 1) for y in (0, 1)}
+        for y, half, text in zip(*(c.to_pylist() for c in batch.columns)):
             for kind, found in enumerate(features(text)):
-                seen[min(1, max(0, y))].update((kind, f) for f in found)
-        for y in (0, 1):
-            kinds, names = zip(*seen[y]) if seen[y] else ((), ())
-            n = list(seen[y].values())
-            yield pa.RecordBatch.from_arrays([pa.array(kinds, pa.int32()), pa.array(names, pa.string()), pa.array(n if y else [0] * len(n), pa.int64()), pa.array([0] * len(n) if y else n, pa.int64())], names=["kind", "name", "pos", "neg"])
+                seen[half, min(1, max(0, y))].update((kind, f) for f in found)
+        for (half, y), counts in seen.items():
+            kinds, names = zip(*counts) if counts else ((), ())
+            n = list(counts.values())
+            cols = [n if (h, t) == (half, y) else [0] * len(n) for h in (0, 1) for t in (0, 1)]
+            yield pa.RecordBatch.from_arrays([pa.array(kinds, pa.int32()), pa.array(names, pa.string()), *(pa.array(c, pa.int64()) for c in cols)], names=["kind", "name", "n00", "n01", "n10", "n11"])
 
 
 def vocabulary(fit_rows: DataFrame) -> list[tuple]:
-    """(kind, name, log odds) of the features that tell toxic documents from others, strongest first; bounded."""
-    n = fit_rows.agg(F.count_if(F.col("y") > 0).alias("pos"), F.count_if(F.col("y") <= 0).alias("neg")).first()
-    if not n["pos"] or not n["neg"]:
+    """(kind, name, strong in half 0, strong in half 1) of the features that tell toxic documents from others, strongest first.
+
+    fit_rows: y, half, text of the labelled rows of the fit, a bounded sample. A half's marks come from its rows alone.
+    """
+    totals = fit_rows.groupBy("half", (F.col("y") > 0).cast("int").alias("t")).agg(F.count("*").alias("n")).collect()
+    n = {(r["half"], r["t"]): r["n"] for r in totals}
+    size = lambda half, t: n.get((half, t), 0)
+    if not all(size(0, t) + size(1, t) for t in (0, 1)):
         return []
-    counts = fit_rows.select("y", "text").mapInArrow(_count, "kind int, name string, pos long, neg long").groupBy("kind", "name").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
-    p, q = F.col("pos") + 0.5, F.col("neg") + 0.5
-    odds = F.log(p / (n["pos"] + 1.0)) - F.log(q / (n["neg"] + 1.0))
-    z = F.abs(odds) / F.sqrt(1 / p + 1 / q)
-    top = counts.where(F.col("pos") + F.col("neg") >= LEAST_DOCS).select("kind", "name", odds.alias("odds"), z.alias("z")).where(F.col("z") >= LEAST_Z)
-    return [(r["kind"], r["name"], r["odds"]) for r in top.orderBy(F.col("z").desc(), "kind", "name").limit(MOST_FEATURES).collect()]
+    counts = fit_rows.select("y", "half", "text").mapInArrow(_count, "kind int, name string, n00 long, n01 long, n10 long, n11 long")
+    counts = counts.groupBy("kind", "name").agg(*[F.sum(c).alias(c) for c in ("n00", "n01", "n10", "n11")])
+
+    def told(pos, neg, n_pos: int, n_neg: int):
+        p, q = pos + 0.5, neg + 0.5
+        odds = F.log(p / (n_pos + 1.0)) - F.log(q / (n_neg + 1.0))
+        return odds, F.abs(odds) / F.sqrt(1 / p + 1 / q)
+
+    c = F.col
+    _, z = told(c("n01") + c("n11"), c("n00") + c("n10"), size(0, 1) + size(1, 1), size(0, 0) + size(1, 0))
+    halves = [told(c(f"n{h}1"), c(f"n{h}0"), size(h, 1), size(h, 0)) for h in (0, 1)]
+    strong = [(odds >= STRONG) & (zh >= LEAST_Z / 2) for odds, zh in halves]
+    enough = c("n00") + c("n01") + c("n10") + c("n11") >= LEAST_DOCS
+    top = counts.where(enough).select("kind", "name", z.alias("z"), strong[0].alias("s0"), strong[1].alias("s1")).where(c("z") >= LEAST_Z)
+    return [(r["kind"], r["name"], r["s0"], r["s1"]) for r in top.orderBy(c("z").desc(), "kind", "name").collect()]
 
 
 def grade(y: np.ndarray, marks: np.ndarray) -> np.ndarray:
-    """Severity 0 to GRADES: 0 if not toxic, else by how many toxic features a text holds, in equal parts of the toxic rows."""
+    """Severity 0 to GRADES: 0 if not toxic, else by a text's marks, in equal parts of the toxic rows."""
     out = np.zeros(len(y), np.int64)
     toxic = y > 0
     if toxic.any():
@@ -89,7 +107,7 @@ class Ordinal:
         return (1 / (1 + np.exp(-np.clip(eta[:, None] - self.cuts[None, :], -30, 30)))).sum(1)
 
     def eta(self, text: str | None) -> float:
-        found = _ids(text, self.vocabulary)
+        found = sorted(_ids(text, self.vocabulary))  # one order of summation, so that reruns agree
         return float(self.weights[found].sum()) if found else 0.0
 
 
@@ -137,23 +155,28 @@ def best_cut(scores: np.ndarray, toxic: np.ndarray) -> float:
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Ordinal:
-    """A model from a bounded labelled sample. No labelled toxic rows: a model that rejects nothing."""
-    rows = sample(docs, labels, "toxic", id_col, text_col)
+    """A model from a bounded labelled sample. No labelled toxic rows: a model that rejects nothing.
+
+    Labels are binary, so grades above 0 need a signal that the model's own weights don't make: a toxic row is graded by
+    the words that mark toxic texts in the half of the sample that it isn't in. A fifth of the rows is held for the cut.
+    """
+    picked = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    rows = sample(picked, labels, "toxic").withColumn("half", F.col("fold") % 2).withColumn("held", F.col("fold") < 2)
     names = vocabulary(rows.where(~F.col("held")))
     kinds: list[dict] = [{} for _ in range(1 + len(PREFIXES))]
-    for i, (kind, name, _) in enumerate(names):
+    for i, (kind, name, _, _) in enumerate(names):
         kinds[kind][name] = i
     if not names:
         return Ordinal(kinds, np.zeros(0), np.full(GRADES, 30.0), float("inf"))
-    strong = np.array([o >= 3 for _, _, o in names])
+    strong = np.array([[s0, s1] for _, _, s0, s1 in names])
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([_ids(t, kinds) for t in b.column(2).to_pylist()], pa.list_(pa.int32()))], names=["y", "held", "ids"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), b.column(3), pa.array([_ids(t, kinds) for t in b.column(4).to_pylist()], pa.list_(pa.int32()))], names=["doc_id", "y", "held", "half", "ids"])
 
-    got = rows.select("y", "held", "text").mapInArrow(encode, "y int, held boolean, ids array<int>").collect()
-    ids, y, held = [r["ids"] for r in got], np.array([r["y"] for r in got]), np.array([r["held"] for r in got], bool)
-    marks = np.array([int(strong[i].sum()) if i else 0 for i in ids])
+    got = rows.select("doc_id", "y", "held", "half", "text").mapInArrow(encode, "doc_id long, y int, held boolean, half int, ids array<int>").orderBy("doc_id").collect()
+    ids, y, held = [sorted(r["ids"]) for r in got], np.array([r["y"] for r in got]), np.array([r["held"] for r in got], bool)
+    marks = np.array([int(strong[i, 1 - r["half"]].sum()) if i else 0 for i, r in zip(ids, got)])
     train = np.flatnonzero(~held)
     w, cuts = fit_ordinal([ids[i] for i in train], grade(y[train], marks[train]), len(names))
     model = Ordinal(kinds, w, cuts, float("inf"))
@@ -167,7 +190,8 @@ def score(docs: DataFrame, model: Ordinal, id_col: str = "doc_id", text_col: str
     """One row for each row of docs: doc_id, severity (expected grade, 0 to GRADES), kept (severity below the model's cut).
 
     Null or blank text has no features and gets the severity of a text without any. A null doc_id stays null, repeated
-    rows each get a row, an empty table gives no rows, other columns are ignored. One pass over whole texts, no shuffle.
+    rows each get a row, an empty table gives no rows, other columns are ignored. Rows with as many signs get the same
+    severity. One pass over whole texts of any length, no shuffle.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
