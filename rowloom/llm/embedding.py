@@ -13,8 +13,8 @@ from rowloom.llm.common import components, cut, table
 
 #: Vectors with this cosine or more are linked.
 LEAST_COSINE = 0.95
-#: Vectors that the cells are fitted on at most, vectors a cell is meant for, cells at most, rounds of the fit.
-FIT_ROWS, CELL_ROWS, MOST_CELLS, ROUNDS = 20_000, 2_000, 4_096, 8
+#: Vectors that the cells are fitted on at most, vectors a cell is meant for, cells of one length at least and at most, rounds of the fit.
+FIT_ROWS, CELL_ROWS, LEAST_CELLS, MOST_CELLS, ROUNDS = 65_536, 8_192, 16, 16_384, 8
 #: Home rows of a block, and rows multiplied at a time.
 BLOCK, STRIP = 4_096, 256
 
@@ -48,7 +48,7 @@ def fit_cells(x: np.ndarray, k: int, rounds: int = ROUNDS) -> np.ndarray:
     """Centres of k cells by spherical k-means on unit vectors x, begun at evenly spaced rows."""
     centres = x[np.linspace(0, len(x) - 1, k).astype(int)].copy()
     for _ in range(rounds):
-        at = (x @ centres.T).argmax(1)
+        at = np.concatenate([(x[lo : lo + 4096] @ centres.T).argmax(1) for lo in range(0, len(x), 4096)])
         sums = np.zeros_like(centres)
         np.add.at(sums, at, x)
         norm = np.sqrt((sums * sums).sum(1))
@@ -57,37 +57,39 @@ def fit_cells(x: np.ndarray, k: int, rounds: int = ROUNDS) -> np.ndarray:
     return centres
 
 
-def _assign(centres: np.ndarray):
+def _assign(spaces: dict[int, np.ndarray]):
     """Each vector to its home cell and to every cell whose border it is within half the linking angle of.
 
     Between two linked vectors of different cells the border of their cells passes; one of them is within half their
-    angle of it, so the pair meets in a cell where the other is at home.
+    angle of it, so the pair meets in a cell where the other is at home. spaces: centres by length; a length without any
+    is one cell around its first axis. Cells are numbered through all lengths.
     """
-    apart = np.sqrt(np.maximum(2 - 2 * centres @ centres.T, 1e-18))
     near = np.sin(_THETA / 2) + _SLACK
+    names = ["cell", "home", "band", "rep", "n", "cells", "vec"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for lo in range(0, b.num_rows, 1024):
-                part = b.slice(lo, 1024)
-                raw = part.column(2).to_pylist()
-                if not raw:
-                    continue
-                x = unit(raw)
-                dots = x @ centres.T
-                home = dots.argmax(1)
-                margin = (dots[np.arange(len(x)), home][:, None] - dots) / apart[home]
-                also = margin <= near
-                also[np.arange(len(x)), home] = True
-                row, cell = np.nonzero(also)
-                lists = [np.flatnonzero(a).tolist() for a in also]
-                angle = np.arccos(np.clip(dots[row, cell], -1, 1))
-                core = (angle <= _THETA / 2 - _SLACK) & (home[row] == cell)
-                band = np.where(core, 0, 1 + np.floor(angle / (_THETA / 2)).astype(np.int64))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(cell, pa.int32()), pa.array(home[row], pa.int32()), pa.array(band, pa.int32()), part.column(0).take(pa.array(row)), part.column(1).take(pa.array(row)), pa.array([lists[r] for r in row], pa.list_(pa.int32())), part.column(2).take(pa.array(row))],
-                    names=["cell", "home", "band", "rep", "n", "cells", "vec"],
-                )
+            all_raw = b.column(2).to_pylist()
+            lengths = np.fromiter((len(r) // 8 for r in all_raw), np.int64, len(all_raw))
+            for length in np.unique(lengths).tolist():
+                rows = np.flatnonzero(lengths == length)
+                centres = spaces.get(length, np.eye(1, length))
+                apart = np.sqrt(np.maximum(2 - 2 * centres @ centres.T, 1e-18))
+                for lo in range(0, len(rows), 1024):
+                    part = b.take(pa.array(rows[lo : lo + 1024]))
+                    x = unit([all_raw[r] for r in rows[lo : lo + 1024]])
+                    dots = x @ centres.T
+                    home = dots.argmax(1)
+                    margin = (dots[np.arange(len(x)), home][:, None] - dots) / apart[home]
+                    also = margin <= near
+                    also[np.arange(len(x)), home] = True
+                    row, cell = np.nonzero(also)
+                    lists = [(np.flatnonzero(a) + length * MOST_CELLS).tolist() for a in also]
+                    angle = np.arccos(np.clip(dots[row, cell], -1, 1))
+                    core = (angle <= _THETA / 2 - _SLACK) & (home[row] == cell)
+                    band = np.where(core, 0, 1 + np.floor(angle / (_THETA / 2)).astype(np.int64))
+                    at, first = pa.array(row), length * MOST_CELLS
+                    yield pa.RecordBatch.from_arrays([pa.array(cell + first), pa.array(home[row] + first), pa.array(band, pa.int32()), part.column(0).take(at), part.column(1).take(at), pa.array([lists[r] for r in row], pa.list_(pa.int64())), part.column(2).take(at)], names=names)
 
     return run
 
@@ -199,48 +201,69 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def near_duplicates(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """One row for each row of df: vec_id, n_links, component_id, kept.
 
-    Vectors that are null, empty, zero or hold null or non-finite components link with nothing, nor do those of another
-    length than the most frequent one and rows with a null id (component_id null, kept false). Equal vectors become one
-    row with a count first. Rows that share an id count as one vector. An empty table gives no rows; other columns are
-    ignored. Exact: every pair of linked vectors meets in a cell.
+    A vector is an id with its components: rows that repeat both are one vector, an id with different components holds
+    several, which are in one component. n_links counts the other vectors linked directly. Vectors that are null, empty,
+    zero or hold null or non-finite components link with nothing, nor do rows with a null id (component_id null, kept
+    false); vectors of different lengths have no cosine and don't link. An empty table gives no rows; other columns are
+    ignored; vectors may be of any length. Equal vectors become one row with a count first. Exact: every pair of linked
+    vectors meets in a cell. Cells of up to BLOCK rows are compared as they are, larger ones by bands of angle and blocks.
     """
     spark = df.sparkSession
-    rows = cut(vectors(df, id_col, vec_col).withColumn("size", F.length("vec")))
+    rows = cut(vectors(df, id_col, vec_col))
     valid = rows.where("vec is not null and vec_id is not null")
-    top = valid.groupBy("size").agg(F.count("*").alias("n")).orderBy(F.col("n").desc(), "size").first()
-    alone = F.struct(F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.coalesce(F.col("vec_id").isNotNull(), F.lit(False)).alias("kept"))
-    if not top:
-        return rows.select("vec_id", alone.alias("x")).select("vec_id", "x.*")
-    groups = cut(valid.where(F.col("size") == top["size"]).groupBy("key").agg(F.min("vec_id").alias("rep"), F.count("*").alias("n"), F.first("vec").alias("vec")))
-    n_groups = groups.count()
-    sample = groups.orderBy("key").limit(FIT_ROWS).select("vec").collect()
-    k = int(min(MOST_CELLS, max(1, n_groups // CELL_ROWS), len(sample)))
-    centres = fit_cells(unit([bytes(r["vec"]) for r in sample]), k)
-    placed = cut(groups.select("rep", "n", "vec").mapInArrow(_assign(centres), "cell int, home int, band int, rep long, n long, cells array<int>, vec binary"))
-    # one row a cell and band, a few for each of MOST_CELLS cells at most: broadcast
-    bands = placed.where("cell = home").groupBy("cell", F.col("band").alias("part")).agg(F.count("*").alias("rows"), F.sum("n").alias("core_n"), F.min("rep").alias("core_rep"))
+    held = valid.groupBy("key", "vec_id").agg(F.first("vec").alias("vec"))
+    groups = cut(held.groupBy("key").agg(F.min("vec_id").alias("low"), F.count("*").alias("n"), F.first("vec").alias("vec")).withColumn("rep", F.monotonically_increasing_id()))
+    spaces = fit_spaces(groups)
+    placed = cut(groups.select("rep", "n", "vec").mapInArrow(_assign(spaces), "cell long, home long, band int, rep long, n long, cells array<long>, vec binary"))
+    at_home = F.col("cell") == F.col("home")
+    sizes = placed.where(at_home).groupBy("cell").agg(F.count("*").alias("rows"))
+    placed = placed.join(sizes.where(F.col("rows") > BLOCK).select("cell", F.lit(True).alias("hot")), "cell", "left").withColumn("hot", F.coalesce("hot", F.lit(False)))
+    placed = placed.withColumn("band", F.when(F.col("hot"), F.col("band")).otherwise(1))
+    # one row a cell and band
+    bands = placed.where(at_home).groupBy("cell", F.col("band").alias("part")).agg(F.count("*").alias("rows"), F.sum("n").alias("core_n"), F.min("rep").alias("core_rep"))
     bands = cut(bands.withColumn("subs", F.ceil(F.col("rows") / BLOCK).cast("int")))
     own_sub = F.pmod(F.xxhash64("rep"), F.col("subs")).cast("int")
     # A link's angles to a centre differ by the linking angle at most: two bands of half that width, one more after the core.
-    low, high = F.greatest(F.col("band") - 3, F.lit(0)), F.col("band") + 3
+    low, high = F.when(F.col("hot"), F.greatest(F.col("band") - 3, F.lit(0))).otherwise(1), F.when(F.col("hot"), F.col("band") + 3).otherwise(1)
     sent = placed.withColumn("part", F.explode(F.sequence(low, high))).where("not (part = 0 and band = 0 and home <> cell)")
-    sent = sent.join(F.broadcast(bands.select("cell", "part", "subs")), ["cell", "part"])
-    at_home = sent.where("cell = home and band = part").withColumn("sub", own_sub).withColumn("role", F.lit(0))
+    sent = sent.join(bands.select("cell", "part", "subs"), ["cell", "part"])
+    inside = sent.where("cell = home and band = part").withColumn("sub", own_sub).withColumn("role", F.lit(0))
     meeting = sent.where("not (part = 0 and band = 0)").withColumn("sub", F.explode(F.sequence(F.lit(0), F.col("subs") - 1))).withColumn("role", F.lit(1))
-    meeting = meeting.where(~((F.col("cell") == F.col("home")) & (F.col("band") == F.col("part")) & (F.col("sub") == own_sub)))
+    meeting = meeting.where(~(at_home & (F.col("band") == F.col("part")) & (F.col("sub") == own_sub)))
     names = ["cell", "part", "sub", "role", "home", "rep", "n", "cells", "vec"]
-    dealt = at_home.select(*names).unionByName(meeting.select(*names)).repartition("cell", "part", "sub").sortWithinPartitions("cell", "part", "sub", "role")
+    dealt = inside.select(*names).unionByName(meeting.select(*names)).repartition("cell", "part", "sub").sortWithinPartitions("cell", "part", "sub", "role")
     found = cut(dealt.mapInArrow(_compare, "kind int, a long, b long"))
-    core = placed.where("cell = home and band = 0").select("cell", "rep", "n").join(F.broadcast(bands.where("part = 0").select("cell", "core_n", "core_rep")), "cell")
-    linked = cut(components(found.where("kind = 1").select("a", "b").union(core.select("rep", "core_rep"))))
+    core = placed.where(at_home & (F.col("band") == 0)).select("cell", "rep", "n").join(bands.where("part = 0").select("cell", "core_n", "core_rep"), "cell")
+    # an id with several vectors links them
+    by_id = valid.select("key", "vec_id").distinct().join(groups.select("key", "rep"), "key")
+    firsts = by_id.groupBy("vec_id").agg(F.min("rep").alias("first"), F.count("*").alias("many")).where("many > 1")
+    same = by_id.join(firsts, "vec_id").where("rep <> first").select("rep", "first")
+    linked = cut(components(found.where("kind = 1").select("a", "b").union(core.select("rep", "core_rep")).union(same)))
     counts = found.where("kind = 0").select(F.col("a").alias("rep"), F.col("b").alias("links")).union(core.select("rep", F.col("core_n") - F.col("n")))
     counts = counts.groupBy("rep").agg(F.sum("links").alias("links"))
-    named = groups.select("key", "rep", "n").join(counts, "rep", "left").join(linked.withColumnRenamed("node", "rep"), "rep", "left")
-    named = named.select("key", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("links"), F.coalesce("root", "rep").alias("root"))
-    good = valid.where(F.col("size") == top["size"]).join(named, "key").select("vec_id", F.col("links").alias("n_links"), F.col("root").alias("component_id"), (F.col("vec_id") == F.col("root")).alias("kept"))
-    rest = rows.where(F.col("vec").isNull() | F.col("vec_id").isNull() | (F.col("size") != top["size"])).select("vec_id", alone.alias("x")).select("vec_id", "x.*")
+    rooted = cut(groups.select("key", "rep", "n", "low").join(counts, "rep", "left").join(linked.withColumnRenamed("node", "rep"), "rep", "left").select("key", "low", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("links"), F.coalesce("root", "rep").alias("root")))
+    least = rooted.groupBy("root").agg(F.min("low").alias("component_id"))
+    named = rooted.join(least, "root").select("key", "links", "component_id")
+    good = valid.join(named, "key").select("vec_id", F.col("links").alias("n_links"), "component_id", (F.col("vec_id") == F.col("component_id")).alias("kept"))
+    alone = F.struct(F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.col("vec_id").isNotNull().alias("kept"))
+    rest = rows.where(F.col("vec").isNull() | F.col("vec_id").isNull()).select("vec_id", alone.alias("x")).select("vec_id", "x.*")
     return good.unionByName(rest)
 
 
+def fit_spaces(groups: DataFrame) -> dict[int, np.ndarray]:
+    """Centres by vector length, fitted on FIT_ROWS vectors at most in the order of their digests. It shapes cells, no result."""
+    n_groups = groups.count()
+    sample = groups.orderBy("key").limit(FIT_ROWS).select("vec").collect()
+    by_length: dict[int, list[bytes]] = {}
+    for r in sample:
+        by_length.setdefault(len(r["vec"]) // 8, []).append(bytes(r["vec"]))
+    out = {}
+    for length, raw in by_length.items():
+        k = int(min(MOST_CELLS, max(LEAST_CELLS, n_groups * len(raw) // len(sample) // CELL_ROWS), len(raw)))
+        if k > 1:
+            out[length] = fit_cells(unit(raw), k)
+    return out
+
+
 def op1_embedding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "embeddings"))

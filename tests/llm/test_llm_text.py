@@ -202,15 +202,70 @@ def test_pii_base(spark, docs):
 
 def test_pii_redaction_and_digest(spark):
     df = spark.createDataFrame([(1, "é a.b@c.de and 10.0.0.1 x"), (2, None), (3, "nothing here"), (4, "a@b.cc")], "doc_id long, text string")
-    none = pii.Model(0.0, [], [float("inf")] * 3)
+    none = pii.Model(0.0, [], [float("inf")] * len(pii.GENERATORS))
     assert [r.text for r in pii.redact(df, none).orderBy("doc_id").collect()] == ["é [EMAIL] and [IP] x", None, "nothing here", "[EMAIL]"]
     row = pii.find(df, none).where("doc_id = 1").select(F.sha2(pii.written(F.col("base")), 256).alias("h")).first()
     assert row.h == hashlib.sha256(b"email:2:10,ip:15:23").hexdigest()
 
 
+def brute_candidates(text):
+    """Spans of the generators with their features, one by one."""
+    import regex
+
+    def at(x, *edges):
+        return next((k for k, e in enumerate(edges) if x < e), len(edges))
+
+    out, secret = [], f"(?i)(?:{pii.SECRET_WORDS})"
+    for g, (name, pattern) in enumerate(pii.GENERATORS.items()):
+        last = 0
+        for m in regex.finditer(pattern, text):
+            body, before, after = m.group(), text[last : m.start()][-16:], text[m.end() : m.end() + 1]
+            last = m.end()
+            after = "" if any(n.start() == m.end() for n in regex.finditer(pattern, text)) else after
+            plain = re.sub("[ ().+-]", "", body)
+            if (g == 1 and len(plain) < 6) or (g == 2 and not (re.search("[0-9]", body) and re.search("[A-Za-z]", body))):
+                continue
+            digits, seps, dots = len(re.sub("[^0-9]", "", body)), len(body) - len(plain), body.count(".")
+            row = {
+                "generator": g, "length": at(len(body), 8, 12, 16, 20, 32), "digits": at(digits, 1, 4, 9, 13, 20), "share": at(digits * 4 / len(body), 1, 2, 3, 4), "separators": at(seps, 1, 2, 4),
+                "opening": 1 if body[0] == "+" else 2 if body[0] == "(" else 0, "hexes": 1 if re.fullmatch("[0-9a-f]+", body) else 2 if re.search("[A-Z]", body) and re.search("[a-z]", body) else 0,
+                "before": 1 if re.search("[=:\"']\\s?$", before) else 2 if re.search(pii.CONTACT_WORDS, before.lower()) else 0, "after": int(bool(regex.match("[\\p{L}\\p{N}]", after))), "at_dot": int(bool(re.search("@.*\\.", body))), "dots": at(dots, 1, 2, 3, 4),
+            }
+            out.append((name, m.start(), m.end(), row))
+    return out if re.search("[0-9@]", text) or re.search(secret, text) else []
+
+
+def test_pii_method_spans(spark):
+    """Spans that the trees add, against every candidate scored and compared with every base span one by one."""
+    rng = np.random.default_rng(7)
+    parts = ["mail", "a.b@c.de", "10.0.0.1", "password: hunter2x", "token = 'ZmFrZS1zZWNyZXQtdmFsdWU'", 'secret="4f3a9c0d17be55aa61"', "call (269) 555 3296 now", "x@y", "2024-01-02 10:11", "4111 1111 1111 1111", "abcdefghijklmnop1", "é😀", "+1 269 555 3296.", "1.2.3.4.5.6.7.8", "API_KEY: qwertzuiop"]
+    df = spark.createDataFrame([(i, " ".join(rng.choice(parts, rng.integers(1, 12)))) for i in range(300)], "doc_id long, text string").repartition(3)
+    model = pii.fit(df)
+    assert any(np.isfinite(t) for t in model.thresholds)
+    added = 0
+    for r in pii.find(df, model).join(df, "doc_id").collect():
+        base = [(s.start, s.end) for s in r.base]
+        want = sorted((k, a, b) for k, a, b, row in brute_candidates(r.text) if model.score(row) >= model.thresholds[row["generator"]] - 1e-12 and not any(s <= a and b <= e for s, e in base))
+        assert [(s.kind, s.start, s.end) for s in r.added] == want, r.text
+        added += len(want)
+    assert added > 100
+
+
+def test_pii_of_a_log(spark):
+    """Many matches in one text: offsets, redaction and time that grows with the matches."""
+    line = "10.0.0.1 GET /x a@b.cc\n"
+    df = spark.createDataFrame([(1, "é" + line * 20_000)], "doc_id long, text string")
+    none = pii.Model(0.0, [], [float("inf")] * len(pii.GENERATORS))
+    row = pii.find(df, none).first()
+    n = len(line)
+    assert (row.n_ip, row.n_email) == (20_000, 20_000)
+    assert [(s.kind, s.start, s.end) for s in row.base] == [("email", 1 + n * i + 16, 1 + n * i + 22) for i in range(20_000)] + [("ip", 1 + n * i, 9 + n * i) for i in range(20_000)]
+    assert pii.redact(df, none).first().text == "é" + "[IP] GET /x [EMAIL]\n" * 20_000
+
+
 def test_pii_model_scores_agree(spark):
     rng = np.random.default_rng(1)
-    rows = [{f: int(rng.integers(0, 3)) for f in pii.FEATURES} for _ in range(200)]
+    rows = [{f: int(rng.integers(0, 3)) for f in pii.FEATURES} | {"generator": int(rng.integers(0, len(pii.GENERATORS)))} for _ in range(200)]
     for r in rows:
         y = int(r["digits"] > 1) * 20
         r.update(n_pos=y, n_neg=20 - y, c_pos=y // 4, c_neg=(20 - y) // 4)
