@@ -186,7 +186,7 @@ def test_quality_rounds_look_at_every_row(spark, corpus):
     docs, labels = corpus
     found = []
     model = quality_model.fit(docs, labels, found=found)
-    scales = [(1.0, 0.1), (0.9, -0.1)]
+    scales, seen = [(6.0, 0.1), (12.0, -0.1)], 0
     rows = found[0].collect()
     ids = [np.array([r[k] for r in rows], np.int64) for k in ("t", "p")]
     assert len(rows) == docs.count()
@@ -194,7 +194,9 @@ def test_quality_rounds_look_at_every_row(spark, corpus):
         a, b = scales[1 - k]
         p = 1 / (1 + np.exp(-np.clip(a * model.views[1 - k].logit(ids[1 - k]) + b, -30, 30)))
         sure = (p >= quality_model.CONFIDENT) | (p <= 1 - quality_model.CONFIDENT)
-        assert n == sure.sum() > 0 and np.allclose(sums, model.views[k].slopes(ids[k][sure], (p[sure] >= 0.5) * 1.0))
+        seen += n
+        assert n == sure.sum() and np.allclose(sums, model.views[k].slopes(ids[k][sure], (p[sure] >= 0.5) * 1.0))
+    assert seen > 0
     one, two = ({(r.doc_id, round(r.score, 6)) for r in df.collect()} for df in (quality_model.co_train(docs, labels), quality_model.score(docs, model)))
     assert one == two
 
