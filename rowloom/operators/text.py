@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from decimal import Decimal
+from itertools import repeat
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rowloom.plans.lexer import SYMBOLS, tokenize
+from rowloom.plans.lexer import SYMBOLS, columns, tokenize
 
 #: The token classes of plans.lexer for Java's matcher: possessive groups neither recurse nor backtrack on long tokens.
 _JAVA = (
@@ -17,35 +20,73 @@ _JAVA = (
 )
 
 TOKENS = "id long, idx int, kind string, start int, end int, text string, int_value long, decimal_value string, string_value string, bool_value boolean"
+#: Tokens of a batch that a task hands on.
+BATCH = 100_000
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """df in as many partitions as there are cores, if it has fewer: one small file must not keep one core busy alone."""
+    """df dealt out over the cores if it has no shuffle to do so anyway: one small file must not keep one core busy alone."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
-
-
-def tokens(df: DataFrame, id_col: str, text_col: str, keywords: dict[str, str] | None = None) -> DataFrame:
-    """One row for each token of each text: id, idx from 0, kind, byte offsets, text and the literal's value. No shuffle."""
+    return df.repartition(cores) if len(df.inputFiles()) < cores else df
+
+
+class _Table:
+    """Token columns of several texts, handed on as one batch."""
+
+    def __init__(self, places: bool):
+        self.places, self.names = places, [c.split()[0] for c in TOKENS.split(", ")] + (["line", "column"] if places else [])
+        self.clear()
+
+    def clear(self) -> None:
+        self.lists: list[list] = [[] for _ in range(10)]
+        self.at: list[list] = [[], []]
+
+    def add(self, key: int | None, text: str, known: dict[str, str]) -> None:
+        kinds, starts, ends, texts, values = columns(text, known)
+        raw = text.encode("utf-8", "surrogatepass") if self.places or not text.isascii() else text
+        n, size = len(kinds) + 1, len(raw)
+        types = set(map(type, values))
+        pick = lambda kind: [v if type(v) is kind else None for v in values] if kind in types else [None] * (n - 1)
+        decimals = [None if v is None else str(v) for v in pick(Decimal)]
+        for out, column in zip(self.lists, (repeat(key, n), range(n), kinds, starts, ends, texts, pick(int), decimals, pick(str), pick(bool))):
+            out.extend(column)
+        for out, end in zip(self.lists[2:], ("Eof", size, size, "", None, None, None, None)):
+            out.append(end)
+        if self.places:  # a token's line is one more than the line feeds before it, its column counts bytes from the last
+            feeds = np.flatnonzero(np.frombuffer(raw, np.uint8) == 10)
+            begins = np.concatenate(([0], feeds + 1))
+            at = np.array([*starts, size], np.int64)
+            line = np.searchsorted(feeds, at, side="left")
+            self.at[0].extend((line + 1).tolist())
+            self.at[1].extend((at - begins[line] + 1).tolist())
+
+    def batch(self) -> pa.RecordBatch:
+        kinds = (pa.int64(), pa.int32(), pa.string(), pa.int32(), pa.int32(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.bool_())
+        cols = [pa.array(c, k) for c, k in zip(self.lists, kinds)] + ([pa.array(c, pa.int32()) for c in self.at] if self.places else [])
+        self.clear()
+        return pa.RecordBatch.from_arrays(cols, names=self.names)
+
+
+def tokens(df: DataFrame, id_col: str, text_col: str, keywords: dict[str, str] | None = None, places: bool = False) -> DataFrame:
+    """One row for each token of each text: id, idx from 0, kind, byte offsets, text and the literal's value. No shuffle.
+
+    places: also line and column (bytes, from 1) of each token's start, counted while the text is at hand.
+    """
     from rowloom.operators.keywords import builtin_spellings
 
     known = keywords if keywords is not None else builtin_spellings()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = _Table(places)
         for b in batches:
-            for row in range(b.num_rows):
-                key, text = b.column(0)[row].as_py(), b.column(1)[row].as_py()
-                found = tokenize(text or "", known)
-                n, values = len(found), [t.value for t in found]
-                numbers = [v if isinstance(v, int) and not isinstance(v, bool) else None for v in values]
-                cols = [
-                    pa.array([key] * n, pa.int64()), pa.array(range(n), pa.int32()), pa.array([t.kind for t in found], pa.string()), pa.array([t.start for t in found], pa.int32()), pa.array([t.end for t in found], pa.int32()),
-                    pa.array([t.text for t in found], pa.string()), pa.array(numbers, pa.int64()), pa.array([str(v) if t.kind == "DecimalLiteral" else None for t, v in zip(found, values)], pa.string()),
-                    pa.array([v if isinstance(v, str) else None for v in values], pa.string()), pa.array([v if isinstance(v, bool) else None for v in values], pa.bool_()),
-                ]
-                yield pa.RecordBatch.from_arrays(cols, names=[c.split()[0] for c in TOKENS.split(", ")])
+            for key, text in zip(b.column(0).to_pylist(), b.column(1)):
+                out.add(key, text.as_py() or "", known)
+                if len(out.lists[0]) >= BATCH:
+                    yield out.batch()
+        yield out.batch()
 
-    return spread(df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))).mapInArrow(run, TOKENS)
+    schema = f"{TOKENS}, line int, column int" if places else TOKENS
+    return spread(df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))).mapInArrow(run, schema)
 
 
 def register(spark: SparkSession, keywords: dict[str, str] | None = None) -> None:
@@ -148,10 +189,9 @@ def as_of(left: DataFrame, right: DataFrame, key: str, at: str, start: str) -> D
     return both.select("_l.*", *[F.col("_r")[c].alias(c) for c in (start, *rest)])
 
 
-def dump(found: DataFrame, sources: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """The token listing: id, idx, kind, line, column, shown (40 characters at most, line ends escaped), flagged."""
-    with_text = found.join(sources.select(F.col(id_col).alias("id"), F.col(text_col).alias("_source")), "id")
-    at = lookup(with_text, "_source", "start")
+def dump(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """The token listing of texts: id, idx, kind, line, column, shown (40 characters at most, line ends escaped), flagged. No shuffle."""
+    found = tokens(df, id_col, text_col, places=True)
     shown = F.when(F.octet_length("text") > 40, F.concat(F.substring("text", 1, 40), F.lit("..."))).otherwise(F.replace("text", F.lit("\n"), F.lit("\\n")))
     odd = F.col("kind").isin("IntegerLiteral", "BigIntLiteral", "DecimalLiteral") & F.col("int_value").isNull() & F.col("decimal_value").isNull() & ~F.col("text").rlike("^[0-9]")
-    return at.select("id", "idx", "kind", "line", "column", shown.alias("shown"), odd.alias("flagged"))
+    return found.select("id", "idx", "kind", "line", "column", shown.alias("shown"), odd.alias("flagged"))

@@ -46,7 +46,7 @@ def test_as_of(spark):
 
 def test_dump(spark):
     df = spark.createDataFrame([(1, "x\n'" + "y" * 50 + "'")], "id long, text string")
-    rows = T.dump(T.tokens(df, "id", "text"), df, "id", "text").orderBy("idx").collect()
+    rows = T.dump(df, "id", "text").orderBy("idx").collect()
     assert [(r.line, r.column) for r in rows] == [(1, 1), (2, 1), (2, 53)] and rows[1].shown.endswith("...") and not any(r.flagged for r in rows)
 
 

@@ -54,12 +54,12 @@ def test_columns_are_pruned(spark):
     assert "l_comment" not in plan and "ReadSchema: struct<l_orderkey:bigint,l_partkey:bigint,l_quantity:double>" in plan
 
 
-@pytest.mark.parametrize(("name", "driving"), [("running_total_whole", "customer"), ("find_unique_join_whole", "orders"), ("order_by_whole", "customer")])
+@pytest.mark.parametrize(("name", "driving"), [("running_total", "customer"), ("find_unique_join", "orders"), ("order_by", "customer")])
 def test_whole_tables_drive(spark, name, driving):
     assert registry.queries()[name](spark, str(DATA)).count() == spark.read.parquet(f"{DATA}/{driving}.parquet").count()
 
 
-@pytest.mark.parametrize("name", ["leave_inner_whole", "foreach_of_where_whole"])
+@pytest.mark.parametrize("name", ["leave_inner", "foreach_of_where"])
 def test_whole_joins_pass_the_prefix(spark, name):
     assert registry.queries()[name](spark, str(DATA)).where("c_custkey > 100").count() > 0
 
