@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+import time
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -105,6 +108,30 @@ def _logical(x: Column, *_: Column) -> Column:
     return F.when(F.lower(_text(x)).isin("yes", "true"), True).when(F.lower(_text(x)).isin("no", "false"), False)
 
 
+_BEGAN = time.monotonic()
+
+
+def formatted(x: Column, form: str, kind: str) -> Column:
+    """A value as a DISPLAY format shows it: x(n) cuts texts, 9, > and commas shape numbers, 99 and 9999 dates, a/b logicals."""
+    if kind == "boolean" and "/" in form:
+        yes, no = form.split("/", 1)
+        return F.when(x, yes).when(~x, no)
+    if kind.startswith(("date", "timestamp")):
+        parts = re.findall("9+", form)
+        first = form[len(parts[0])] if len(parts) > 1 else "/"
+        names = ("yyyy", "MM", "dd") if len(parts[0]) == 4 else ("MM", "dd", "yyyy" if len(parts) > 2 and len(parts[2]) == 4 else "yy")
+        return F.date_format(x, first.join(names[: len(parts)]))
+    if kind == "string":
+        m = re.fullmatch(r"[xX]\((\d+)\)|([xX]+)", form)
+        if m is None:
+            raise UnknownFunction(f"format {form!r} of a text")
+        return F.left(x, F.lit(int(m[1]) if m[1] else len(m[2])))
+    whole, _, part = re.sub(r"(.)\((\d+)\)", lambda m: m[1] * int(m[2]), form).partition(".")
+    if "," in whole:
+        return F.format_number(x, len(part))
+    return F.format_string(f"%0{max(1, whole.count('9')) + (len(part) + 1 if part else 0)}.{len(part)}f", x.cast("double"))
+
+
 #: Name, with both long and short spellings, to builder.
 FUNCTIONS = {
     # text
@@ -119,7 +146,7 @@ FUNCTIONS = {
     "random": _random, "integer": lambda x: x.cast("int"), "int": lambda x: x.cast("int"), "int64": lambda x: x.cast("long"), "decimal": lambda x: x.cast("decimal(38,10)"), "dec": lambda x: x.cast("decimal(38,10)"),
     "logical": _logical, "to-rowid": lambda x: x.cast("long"),
     # dates
-    "today": F.current_date, "now": F.localtimestamp, "year": F.year, "month": F.month, "day": F.day, "weekday": F.dayofweek, "mtime": _mtime,
+    "today": F.current_date, "now": F.localtimestamp, "year": F.year, "month": F.month, "day": F.day, "weekday": F.dayofweek, "mtime": _mtime, "etime": lambda *_: F.lit(int((time.monotonic() - _BEGAN) * 1000)),
     "time": lambda: (_mtime() / 1000).cast("int"), "date": _date, "datetime": _datetime, "add-interval": _add_interval, "interval": _interval,
     # session
     "userid": F.current_user, "dbname": F.current_database, "ldbname": lambda *_: F.current_database(), "pdbname": lambda *_: F.current_database(), "dbversion": lambda *_: F.version(), "proversion": F.version,

@@ -6,25 +6,78 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-#: Ranges of the first order column that a running sum over a whole table is dealt out by.
+#: Ranges of the first order column that work along an order of a whole table is dealt out by.
 RANGES = 256
 
 
+def reversed_key(kind: str, c: Column) -> Column:
+    """A key of a column of a Spark type that sorts the other way round, nulls last, as a descending sort does.
+
+    Texts sort by the complement of their bytes' digits, an end mark above all digits putting longer ones first.
+    """
+    base = kind.split("(")[0]
+    if base in ("tinyint", "smallint", "int", "bigint"):
+        out = F.bitwise_not(c)
+    elif base == "decimal":
+        out = -c
+    elif base in ("float", "double"):
+        return F.struct(c.isNull().alias("n"), (~F.isnan(c)).alias("f"), (-F.nanvl(c, F.lit(0.0))).alias("k"))
+    elif base == "boolean":
+        out = ~c
+    elif base == "date":
+        out = F.bitwise_not(F.unix_date(c))
+    elif base == "timestamp":
+        out = F.bitwise_not(F.unix_micros(c))
+    elif base == "timestamp_ntz":
+        out = F.bitwise_not(F.timestamp_diff("MICROSECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), c))
+    elif base in ("string", "binary"):
+        out = F.concat(F.translate(F.hex(c), "0123456789ABCDEF", "FEDCBA9876543210"), F.lit("G"))
+    else:
+        raise TypeError(f"no descending order of {kind}")
+    return F.struct(c.isNull().alias("n"), out.alias("k"))
+
+
+def order_key(df: DataFrame, order: list[tuple[Column, bool]]) -> Column:
+    """One struct that sorts as an order of (column, descending) over df does."""
+    kinds = df.select(*[c.alias(f"c{i}") for i, (c, _) in enumerate(order)]).dtypes
+    return F.struct(*[(reversed_key(t, c) if down else c).alias(f"s{i}") for i, ((c, down), (_, t)) in enumerate(zip(order, kinds))])
+
+
+def _number(kind: str, c: Column) -> Column | None:
+    """A number that never falls where a column of a type rises; None if there is none. Of texts, what the first bytes tell."""
+    if kind.startswith(("tinyint", "smallint", "int", "bigint", "float", "double", "decimal", "date", "timestamp")) and not kind.startswith("interval"):
+        return c
+    if kind == "boolean":
+        return c.cast("int")
+    if kind == "string":
+        return F.conv(F.rpad(F.hex(F.substring(F.encode(c, "UTF-8"), 1, 7)), 14, "0"), 16, 10).cast("long")
+    return None
+
+
+def ranged(df: DataFrame, first: Column, ranges: int = RANGES) -> DataFrame | None:
+    """df with __range, which rises with a column: quantiles of it cut the rows into ranges, found by one aggregate and joined
+    as one row. None if the column's type has no quantiles. Equal values stay in one range.
+    """
+    key = _number(df.select(first.alias("k")).dtypes[0][1], first)
+    if key is None:
+        return None
+    shares = F.array(*[F.lit(i / ranges) for i in range(1, ranges)])
+    bounds = df.agg(F.array_distinct(F.percentile_approx(key, shares, 1000)).alias("__bounds"))
+    place = F.when(key.isNull(), -1).otherwise(F.size(F.filter(F.coalesce("__bounds", F.array()), lambda b: b < key)))
+    return df.crossJoin(F.broadcast(bounds)).withColumn("__range", place).drop("__bounds")
+
+
 def running_sum(df: DataFrame, value: Column, order: list[tuple[Column, bool]], name: str, ranges: int = RANGES) -> DataFrame:
     """df with the sum of value over all rows up to and with each, along an order of (column, descending); null values add nothing.
 
-    A window over a whole table would run in one task. Quantiles of the first order column cut it into ranges instead
-    (one aggregate, joined as one row); each range has its own window, and the sums of the ranges before it, a few rows,
-    are added. Order columns that have no quantiles (texts) take the plain window.
+    A window over a whole table would run in one task: each range of the first order column has its own window, and the
+    sums of the ranges before it, a few rows, are added.
     """
     first, down = order[0]
-    kind = df.select(first.alias("k")).dtypes[0][1]
     own = [c.desc() if d else c.asc() for c, d in order]
-    if not kind.startswith(("tinyint", "smallint", "int", "bigint", "float", "double", "decimal", "date", "timestamp")) or kind.startswith("interval"):
+    dealt = ranged(df, first, ranges)
+    if dealt is None:
         return df.withColumn(name, F.sum(F.coalesce(value, F.lit(0))).over(Window.orderBy(*own).rowsBetween(Window.unboundedPreceding, 0)))
-    shares = F.array(*[F.lit(i / ranges) for i in range(1, ranges)])
-    bounds = df.agg(F.array_distinct(F.percentile_approx(first, shares, 1000)).alias("__bounds"))
-    dealt = df.crossJoin(F.broadcast(bounds)).withColumn("__range", F.size(F.filter(F.coalesce("__bounds", F.array()), lambda b: b < first))).drop("__bounds")
     dealt = dealt.withColumn("__value", F.coalesce(value, F.lit(0)))
     sums = dealt.groupBy("__range").agg(F.sum("__value").alias("__sum"))
     before = Window.orderBy(F.col("__range").desc() if down else F.col("__range")).rowsBetween(Window.unboundedPreceding, -1)
@@ -34,10 +87,32 @@ def running_sum(df: DataFrame, value: Column, order: list[tuple[Column, bool]],
     return out.withColumn(name, F.col("__start") + F.col("__inside")).drop("__range", "__r", "__value", "__start", "__inside")
 
 
+def beside(df: DataFrame, order: list[str], value: Column, following: bool, name: str, ranges: int = RANGES) -> DataFrame:
+    """df with the value (a struct) of the next row along an ascending order of the whole table, or of the one before.
+
+    Each range of the first order column has its own window; a range's outermost row, found by one aggregate, is carried
+    over its border.
+    """
+    move, w = (F.lead if following else F.lag), Window.orderBy(*order)
+    dealt = ranged(df, F.col(order[0]), ranges)
+    if dealt is None:
+        return df.withColumn(name, move(value).over(w))
+    pick = F.min_by if following else F.max_by
+    edges = dealt.groupBy("__range").agg(pick(value, F.struct(*order)).alias("__edge"))
+    over = edges.select(F.col("__range").alias("__r"), move("__edge").over(Window.orderBy("__range")).alias("__over"))
+    inside = move(value).over(Window.partitionBy("__range").orderBy(*order))
+    out = dealt.withColumn("__inside", inside).join(F.broadcast(over), F.col("__range") == F.col("__r"))
+    return out.withColumn(name, F.coalesce("__inside", "__over")).drop("__range", "__r", "__inside", "__over")
+
+
 def neighbours(df: DataFrame, order: list[str], columns: list[str], partition: list[str] | None = None) -> DataFrame:
-    """df with next_<c> and prev_<c> of the given columns along an order."""
-    w = Window.partitionBy(*(partition or [])).orderBy(*order)
-    return df.select("*", *[F.lead(c).over(w).alias(f"next_{c}") for c in columns], *[F.lag(c).over(w).alias(f"prev_{c}") for c in columns])
+    """df with next_<c> and prev_<c> of the given columns along an order, of the whole table or within a partition."""
+    if partition:
+        w = Window.partitionBy(*partition).orderBy(*order)
+        return df.select("*", *[F.lead(c).over(w).alias(f"next_{c}") for c in columns], *[F.lag(c).over(w).alias(f"prev_{c}") for c in columns])
+    value = F.struct(*columns)
+    out = beside(beside(df, order, value, True, "__next"), order, value, False, "__prev")
+    return out.select(*df.columns, *[F.col("__next")[c].alias(f"next_{c}") for c in columns], *[F.col("__prev")[c].alias(f"prev_{c}") for c in columns])
 
 
 def first_match(left: DataFrame, right: DataFrame, on: list[tuple[str, str]], order: list[str], keep_all: bool = False) -> DataFrame:
@@ -96,10 +171,24 @@ def break_totals(df: DataFrame, breaks: list[str], value: str) -> DataFrame:
     return df.rollup(*breaks).agg(F.sum(v).alias("total"), F.count(v).alias("count"), F.avg(v).alias("average"), F.min(v).alias("minimum"), F.max(v).alias("maximum"))
 
 
+def marked(df: DataFrame, by: list[Column], order: Column, first: str, last: str) -> DataFrame:
+    """df with whether a row is the first, and the last, of its group along an order without ties.
+
+    The groups' outermost rows come from one aggregate, combined before its shuffle, and are joined back: a large group
+    is no window of one task.
+    """
+    keys = [c.alias(f"__b{i}") for i, c in enumerate(by)]
+    ends = df.groupBy(*keys).agg(F.min(order).alias("__low"), F.max(order).alias("__high"))
+    cond = F.lit(True)
+    for i, c in enumerate(by):
+        cond = cond & c.eqNullSafe(F.col(f"__b{i}"))
+    out = df.join(ends, cond).withColumn(first, order.eqNullSafe(F.col("__low"))).withColumn(last, order.eqNullSafe(F.col("__high")))
+    return out.drop("__low", "__high", *[f"__b{i}" for i in range(len(by))])
+
+
 def break_marks(df: DataFrame, by: str, order: list[str]) -> DataFrame:
-    """df with first_of and last_of of a break field along an order."""
-    w = Window.partitionBy(by).orderBy(*order)
-    return df.withColumn("first_of", F.row_number().over(w) == 1).withColumn("last_of", F.lead(F.lit(1)).over(w).isNull())
+    """df with first_of and last_of of a break field along an order without ties."""
+    return marked(df, [F.col(by)], F.struct(*order), "first_of", "last_of")
 
 
 def current_changed(before: DataFrame, now: DataFrame, keys: list[str]) -> DataFrame:

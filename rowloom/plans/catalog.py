@@ -17,6 +17,15 @@ class Catalog:
     order: dict[str, tuple[str, ...]] = field(default_factory=dict)
     relations: dict[tuple[str, str], tuple[tuple[str, str], ...]] = field(default_factory=dict)
     buffers: dict[str, str] = field(default_factory=dict)
+    temps: set[str] = field(default_factory=set)
+
+    def key(self, name: str) -> str:
+        """The table that a name or buffer stands for."""
+        return self.buffers.get(name.lower(), name.lower())
+
+    def replace(self, name: str, df: DataFrame) -> None:
+        """What a table holds from now on: a changed table is a new plan, nothing is written."""
+        self.tables[self.key(name)] = df
 
     def table(self, name: str) -> DataFrame:
         key = self.buffers.get(name.lower(), name.lower())

@@ -17,7 +17,9 @@ from rowloom.functions import scalar
 from rowloom.operators import records
 from rowloom.plans import syntax as S
 from rowloom.plans.catalog import Catalog
+from rowloom.plans.lexer import unescaped
 from rowloom.plans.parser import parse, parse_expression
+from rowloom.sources import files
 
 #: Spark types of the declared types that columns can have.
 TYPES = {
@@ -57,6 +59,9 @@ class Env:
     rows: list[DataFrame] = field(default_factory=list)
     records: dict[str, DataFrame] = field(default_factory=dict)
     returned: object = None
+    functions: dict[str, S.Function] = field(default_factory=dict)
+    pending: dict[str, dict[str, str]] = field(default_factory=dict)  # buffer of a created record: field -> variable
+    paths: dict[str, str] = field(default_factory=dict)  # open streams
 
     def value(self, *names: str) -> DataFrame:
         """One row with the named variables."""
@@ -180,6 +185,8 @@ class Scope:
             return self.special[e.name, e.args[0]]
         if e.name == "in":
             return self.expr(e.args[0]).isin(*map(self.expr, e.args[1:]))
+        if e.name == "ambiguous":  # whether the last FIND of a buffer met several rows
+            return self.special.get(("ambiguous", e.args[0].name.lower()), F.lit(False))
         if e.name == "locked":  # a query reads a snapshot: nothing is locked
             return F.lit(False)
         if e.name == "accum":  # what an earlier ACCUMULATE has left
@@ -187,6 +194,10 @@ class Scope:
         if e.name == "available":
             b = e.args[0].name.lower()
             return F.col(self.buffers[b][self.env.catalog.order_of(b)[0].lower()]).isNotNull()
+        if e.name in self.env.functions:
+            f = self.env.functions[e.name]
+            out = self.expr(_called(f, e.args))
+            return out.cast(TYPES[f.type]) if f.type in TYPES else out
         if e.name in scalar.WORD_LAST and isinstance(e.args[-1], S.Literal):
             return scalar.call(e.name, [self.expr(a) for a in e.args[:-1]], e.args[-1].value)
         return scalar.call(e.name, [self.expr(a) for a in e.args])
@@ -231,6 +242,24 @@ class Scope:
             return self.type_of(e) == "string"
         return False
 
+    def read(self, e) -> set[str]:
+        """The buffers that a tree reads; variables, unknown names and calls on records count as "?"."""
+        if isinstance(e, S.Field):
+            q = e.qualifier.split(".")[-1].lower()
+            return {q} if q in self.buffers else {"?"}
+        if isinstance(e, S.Name):
+            low = e.name.lower()
+            if low in self.locals or low in self.env.vars or low in self.blocked:
+                return {"?"}
+            return next(({b} for b in reversed(list(self.buffers)) if low in self.buffers[b]), {"?"})
+        if isinstance(e, S.CanFind):
+            return {"?"}
+        if isinstance(e, (list, tuple)):
+            return set().union(*map(self.read, e)) if e else set()
+        if hasattr(e, "__dataclass_fields__"):
+            return set().union(set(), *(self.read(getattr(e, f)) for f in e.__dataclass_fields__))
+        return set()
+
     def type_of(self, e) -> str | None:
         q = e.qualifier.split(".")[-1].lower() if isinstance(e, S.Field) else None
         for b in [q] if q else reversed(list(self.buffers)):
@@ -244,6 +273,12 @@ class Scope:
         return "string" if isinstance(v, Scalar) and isinstance(v.value, str) else None
 
 
+def _conjuncts(where) -> list:
+    if where is None:
+        return []
+    return _conjuncts(where.left) + _conjuncts(where.right) if isinstance(where, S.Binary) and where.op == "and" else [where]
+
+
 def _names(e) -> set[str]:
     """Variable or field names read by a tree, lower case, unqualified."""
     if isinstance(e, S.Name):
@@ -288,6 +323,10 @@ class Loop:
         self.columns: list[str] = []
         self.breaks: list = []
         self.how: dict[str, str] = {}
+        self.created: list[tuple[str, Column | None, dict[str, Column]]] = []
+        self.deleted: list[tuple[str, Column | None]] = []
+        self.exported: str | None = None
+        self.skip = 0
 
     # -- rows
     def prefixed(self, buffer: str) -> tuple[DataFrame, dict[str, str]]:
@@ -304,6 +343,18 @@ class Loop:
         self.scope.buffers[b] = names
         cond = self.of(s, b)
         plain, exists = self.split(s.where)
+        if self.rows is not None and s.which != "each" and not exists:  # a lookup for each row so far
+            find = S.Find(s.buffer, s.which, of=s.of, where=s.where)
+            self.rows = self.with_lazies(self.rows)
+            keys = self.lookup_keys(find, b)
+            if keys:
+                own = [names[c.lower()] for c in self.env.catalog.order_of(b)]
+                self.reduced(find, b, right, own, *keys)
+                self.keys = self.keys + own
+                self.levels.append(len(self.keys))
+                self.columns += list(names.values())
+                self.sort += [(self.scope.expr(e), down) for e, down in s.by]
+                return
         for e in plain:
             c = self.scope.expr(e)
             cond = c if cond is None else cond & c
@@ -327,6 +378,7 @@ class Loop:
         self.levels.append(len(self.keys))
         self.columns += list(names.values())
         self.sort += [(self.scope.expr(e), down) for e, down in s.by]
+        self.skip += s.skip
         if s.breaks:
             self.breaks = [e for e, _ in s.by]
             self.break_by(s.by)
@@ -399,38 +451,91 @@ class Loop:
         return right, cond
 
     def find(self, s: S.Find) -> None:
-        """A lookup for each row: the first or last match in the table's order, or the only one; NO-ERROR keeps unmatched rows."""
+        """A lookup for each row: the first or last match in the table's order, or the only one; NO-ERROR keeps unmatched rows.
+
+        If the condition compares fields of the table for equality, the table is first reduced to one row a key, so that
+        nothing multiplies; else all matches are joined and the wanted one is picked among them.
+        """
         if s.which in ("next", "prev"):
             return self.neighbour(s)
         right, cond = self.matching(s)
         if cond is None:
             raise LoweringError("FIND in a loop needs a condition")
         b = s.buffer.lower()
-        own = [self.scope.buffers[b][c.lower()] for c in self.env.catalog.order_of(b)]
-        joined = self.rows.join(right, cond, "left" if s.no_error else "inner")
-        order = [F.col(c).desc() if s.which == "last" else F.col(c) for c in own]
-        w = Window.partitionBy(*self.keys)
-        if s.which == "unique":
-            n = F.count(F.lit(1)).over(w)
-            many = F.lit(False) if s.no_error else n > 1
-            joined = joined.withColumn("__n", n).withColumn("__many", F.assert_true(~many, F.lit(f"more than one {s.buffer}")))
-            joined = joined.where("__n = 1 or __many is not null" if s.no_error else "__many is null").drop("__n", "__many")
+        names = self.scope.buffers[b]
+        own = [names[c.lower()] for c in self.env.catalog.order_of(b)]
+        self.rows = self.with_lazies(self.rows)
+        keys = self.lookup_keys(s, b)
+        if keys:
+            self.reduced(s, b, right, own, *keys)
         else:
-            joined = joined.withColumn("__nth", F.row_number().over(w.orderBy(*order))).where("__nth = 1").drop("__nth")
-        self.rows = joined
-        self.columns += list(self.scope.buffers[b].values())
+            joined = self.rows.join(right, cond, "left" if s.no_error else "inner")
+            order = [F.col(c).desc() if s.which == "last" else F.col(c) for c in own]
+            w = Window.partitionBy(*self.keys)
+            if s.which == "unique":
+                joined = joined.withColumn(f"__many_{b}", F.count(F.lit(1)).over(w) > 1)
+                joined = joined.withColumn("__nth", F.row_number().over(w.orderBy(*order))).where("__nth = 1").drop("__nth")
+                self.rows = self.one_only(s, b, joined)
+            else:
+                self.rows = joined.withColumn("__nth", F.row_number().over(w.orderBy(*order))).where("__nth = 1").drop("__nth")
+        self.columns += list(names.values())
+
+    def one_only(self, s: S.Find, b: str, joined: DataFrame) -> DataFrame:
+        """A FIND of the only match: several raise, or with NO-ERROR leave the record unavailable and AMBIGUOUS."""
+        many = F.col(f"__many_{b}")
+        if not s.no_error:
+            return joined.where(F.assert_true(~many, F.lit(f"more than one {s.buffer}")).isNull())
+        self.scope.special["ambiguous", b] = F.coalesce(many, F.lit(False))
+        return joined.withColumns({c: F.when(~F.coalesce(many, F.lit(False)), F.col(c)) for c in self.scope.buffers[b].values()})
+
+    def lookup_keys(self, s: S.Find, b: str):
+        """(pairs of equal columns of the table and of the rows, conditions on the table alone) of a FIND's conditions; None if others are among them."""
+        table, pairs, alone = {b}, [], []
+        if s.of:
+            if s.of.lower() not in self.scope.buffers:
+                return None
+            pairs += [(self.scope.column(b, mine), self.scope.column(s.of.lower(), theirs)) for mine, theirs in self.env.catalog.keys(s.buffer, s.of)]
+        if s.key is not None:
+            pairs.append((self.scope.column(b, self.env.catalog.order_of(b)[0]), self.scope.expr(s.key)))
+        for e in _conjuncts(s.where):
+            read = self.scope.read(e)
+            if read == table:
+                alone.append(self.scope.expr(e))
+            elif isinstance(e, S.Binary) and e.op == "=" and not isinstance(e.right, S.Unknown):
+                sides = [self.scope.read(x) for x in (e.left, e.right)]
+                if sides[0] == table and b not in sides[1]:
+                    pairs.append((self.scope.expr(e.left), self.scope.expr(e.right)))
+                elif sides[1] == table and b not in sides[0]:
+                    pairs.append((self.scope.expr(e.right), self.scope.expr(e.left)))
+                else:
+                    return None
+            else:
+                return None
+        return (pairs, alone) if pairs else None
+
+    def reduced(self, s: S.Find, b: str, right: DataFrame, own: list[str], pairs: list, alone: list) -> None:
+        names = list(self.scope.buffers[b].values())
+        for c in alone:
+            right = right.where(c)
+        pick = F.max_by if s.which == "last" else F.min_by
+        best = right.groupBy(*[mine.alias(f"__k{i}_{b}") for i, (mine, _) in enumerate(pairs)]).agg(pick(F.struct(*names), F.struct(*own)).alias(f"__r_{b}"), (F.count(F.lit(1)) > 1).alias(f"__many_{b}"))
+        cond = None
+        for i, (_, theirs) in enumerate(pairs):
+            c = F.col(f"__k{i}_{b}") == theirs
+            cond = c if cond is None else cond & c
+        joined = self.rows.join(best, cond, "left" if s.no_error else "inner")
+        joined = joined.withColumns({c: F.col(f"__r_{b}")[c] for c in names}).drop(f"__r_{b}", *[f"__k{i}_{b}" for i in range(len(pairs))])
+        self.rows = self.one_only(s, b, joined) if s.which == "unique" else joined
 
     def neighbour(self, s: S.Find) -> None:
-        """FIND NEXT or PREV of a second buffer of the looped table: lead or lag over the table's order."""
+        """FIND NEXT or PREV of a second buffer of the looped table: the row beside along the table's order, found by ranges."""
         base = self.env.catalog.buffers.get(s.buffer.lower())
         if base not in self.scope.buffers or s.where is not None:
             raise LoweringError("FIND NEXT or PREV in a loop needs a second buffer of the looped table and no condition")
         b, names = s.buffer.lower(), {}
         own = [self.scope.buffers[base][c.lower()] for c in self.env.catalog.order_of(base)]
-        move = F.lead if s.which == "next" else F.lag
-        w = Window.orderBy(*own)
         whole = F.struct(*[F.col(c).alias(k) for k, c in self.scope.buffers[base].items()])
-        self.rows = self.rows.withColumn("__move", move(whole).over(w))
+        self.rows = records.beside(self.with_lazies(self.rows), own, whole, s.which == "next", "__move")
         for k in self.scope.buffers[base]:
             names[k] = f"{b}__{k}"
             self.rows = self.rows.withColumn(names[k], F.col("__move")[k])
@@ -441,13 +546,12 @@ class Loop:
         self.columns += list(names.values())
 
     def break_by(self, by: list) -> None:
-        """FIRST-OF and LAST-OF of each break field: the row numbers in its groups."""
+        """FIRST-OF and LAST-OF of each break field: whether a row is the outermost of its group."""
         cols = [self.scope.expr(e) for e, _ in by]
+        self.rows = self.with_lazies(self.rows)
         for i, (e, _) in enumerate(by):
-            rest = [c.desc() if d else c.asc() for c, (_, d) in zip(cols[i + 1 :], by[i + 1 :])] + [F.col(k) for k in self.keys]
-            w = Window.partitionBy(*cols[: i + 1]).orderBy(*rest)
-            self.rows = self.rows.withColumn(f"__first_of_{i}", F.row_number().over(w) == 1)
-            self.rows = self.rows.withColumn(f"__last_of_{i}", F.lead(F.lit(1)).over(w).isNull())
+            order = records.order_key(self.rows, [*zip(cols[i + 1 :], [d for _, d in by[i + 1 :]]), *((F.col(k), False) for k in self.keys)])
+            self.rows = records.marked(self.rows, cols[: i + 1], order, f"__first_of_{i}", f"__last_of_{i}")
             self.scope.special["first-of", e] = F.col(f"__first_of_{i}")
             self.scope.special["last-of", e] = F.col(f"__last_of_{i}")
 
@@ -502,7 +606,21 @@ class Loop:
         elif isinstance(s, S.Display):
             if guard is not None:
                 self.rows = self.with_lazies(self.rows).where(self.condition(guard))
-            self.shown = s.items
+            self.shown = self.listed(s)
+        elif isinstance(s, S.Export):
+            if "output" not in self.env.paths:
+                raise LoweringError("EXPORT needs OUTPUT TO")
+            if guard is not None:
+                self.rows = self.with_lazies(self.rows).where(self.condition(guard))
+            self.shown, self.exported = self.listed(S.Display(s.items)), s.delimiter
+        elif isinstance(s, S.Create):
+            self.created.append((s.buffer.lower(), self.condition(guard), {}))
+        elif isinstance(s, S.Delete):
+            if s.buffer.lower() not in self.scope.buffers:
+                raise LoweringError(f"DELETE of {s.buffer}, which isn't looped over")
+            self.deleted.append((s.buffer.lower(), self.condition(guard)))
+        elif isinstance(s, S.Release):
+            pass
         elif isinstance(s, S.Accumulate):
             self.accumulated.append(s)
         elif isinstance(s, (S.Leave, S.Return)):
@@ -520,6 +638,16 @@ class Loop:
             raise LoweringError(f"{type(s).__name__} in a record loop has no plan")
         return guard
 
+    def listed(self, s: S.Display) -> list:
+        """Items of a DISPLAY with a record's name replaced by its fields."""
+        gone, out = {e.name.lower() for e in s.besides}, []
+        for e, label, form in s.items:
+            if isinstance(e, S.Name) and e.name.lower() in self.scope.buffers and not self.owner(e.name):
+                out += [(S.Field(e.name, c), None, None) for c in self.env.catalog.table(e.name).columns if c.lower() not in gone]
+            elif not (isinstance(e, (S.Name, S.Field)) and e.name.lower() in gone):
+                out.append((e, label, form))
+        return out
+
     def condition(self, guard) -> Column | None:
         """A guard tree as a condition that is never null."""
         if guard is None:
@@ -532,6 +660,12 @@ class Loop:
         return out
 
     def assign(self, s: S.Assign, guard) -> None:
+        made = isinstance(s.target, S.Field) and next((c for c in reversed(self.created) if c[0] == s.target.qualifier.split(".")[-1].lower()), None)
+        if made:  # a field of the record that this iteration creates
+            new, g = self.scope.expr(self.with_running(s.value, guard)), self.condition(guard)
+            low = s.target.name.lower()
+            made[2][low] = new if g is None else F.when(g, new).otherwise(made[2].get(low, F.lit(None)))
+            return
         if isinstance(s.target, S.Field) or (isinstance(s.target, S.Name) and s.target.name.lower() not in self.env.vars and self.owner(s.target.name)):
             b = s.target.qualifier.split(".")[-1].lower() if isinstance(s.target, S.Field) else self.owner(s.target.name)
             if b not in self.scope.buffers:
@@ -613,6 +747,10 @@ class Loop:
         g = self.condition(guard)
         self.leaves.append((c if g is None else c & g, len(self.leaves), list(self.keys)))
 
+    def order(self, keys: list[str]) -> Column:
+        """The loop's order as one value to compare by, whatever the types of its BY keys."""
+        return records.order_key(self.rows, [*self.sort, *((F.col(k), False) for k in keys)])
+
     def cut(self) -> None:
         """Rows up to the first that leaves, in the loop's order: rows before a LEAVE in the body also run for that row.
 
@@ -620,7 +758,7 @@ class Loop:
         outer rows' keys. Adds __live_k: whether the row runs what follows the k-th LEAVE.
         """
         for k, (cond, _, keys) in enumerate(self.leaves):
-            order = F.struct(*[(c if not d else -c).alias(f"s{i}") for i, (c, d) in enumerate(self.sort)], *[F.col(x) for x in keys])
+            order = self.order(keys)
             outer = keys[: self.levels[-2]] if len(self.levels) > 1 else []
             first = F.min(F.when(cond, order))
             if outer:
@@ -639,6 +777,7 @@ class Loop:
         self.cut()
         if self.leaves and not names:
             self.rows = self.rows.where(f"__live_{len(self.leaves)}")
+        self.change()
         if names:
             flat = self.rows
             aggs = [plans[n]().alias(n) for n in names]
@@ -655,14 +794,46 @@ class Loop:
                 for a in self.accumulated:
                     env.vars |= {_accum_name(k, a.value): Lazy(env.rows[-1], f"{_label(a.value, 0)}_{k.replace('-', '_')}") for k in a.kinds}
         if self.shown is not None:
-            cols = [self.scope.expr(e).alias(label or _label(e, i)) for i, (e, label) in enumerate(self.shown)]
             out = self.with_lazies(self.rows)
-            if self.sort:
+            if self.sort or self.skip:
                 out = out.orderBy(*[c.desc() if d else c.asc() for c, d in self.sort], *self.keys)
-            env.rows.append(out.select(*cols))
-        elif not names and not self.accumulated:
+            out = out.offset(self.skip) if self.skip else out
+            out = out.select(*[self.scope.expr(e).alias(label or _label(e, i)) for i, (e, label, _) in enumerate(self.shown)])
+            forms = {out.columns[i]: form for i, (_, _, form) in enumerate(self.shown) if form}
+            out = out.select(*[scalar.formatted(F.col(f"`{c}`"), forms[c], t).alias(c) if c in forms else F.col(f"`{c}`") for c, t in out.dtypes])
+            if self.exported is not None:
+                files.export(out, env.paths["output"], self.exported)
+            else:
+                env.rows.append(out)
+        elif not names and not self.accumulated and not self.created and not self.deleted:
             env.rows.append(self.result())
 
+    def change(self) -> None:
+        """Records created, deleted or, in temp-tables, assigned by the loop: the tables become new plans, set-wise."""
+        catalog, rows = self.env.catalog, self.with_lazies(self.rows)
+        live = F.col(f"__live_{len(self.leaves)}") if self.leaves else F.lit(True)
+        for b, guard, fields in self.created:
+            old = catalog.table(b)
+            picked = rows.where(live if guard is None else live & guard)
+            new = picked.select(*[fields.get(c.lower(), F.lit(None)).cast(t).alias(c) for c, t in old.dtypes])
+            catalog.replace(b, old.unionByName(new))
+        for b, guard in self.deleted:
+            catalog.replace(b, self.without(b, rows.where(live if guard is None else live & guard)))
+        if self.assigned and len(self.scope.buffers) == 1 and not self.created:
+            b = next(iter(self.scope.buffers))
+            if catalog.key(b) in catalog.temps:
+                cols = [self.scope.fields.get((b, c.lower()), F.col(self.scope.buffers[b][c.lower()])).cast(t).alias(c) for c, t in catalog.table(b).dtypes]
+                catalog.replace(b, self.without(b, rows.where(live)).unionByName(rows.where(live).select(*cols)))
+
+    def without(self, b: str, rows: DataFrame) -> DataFrame:
+        """A buffer's table without the records of some rows, told by its order's columns."""
+        table, own = self.env.catalog.table(b), self.env.catalog.order_of(b)
+        gone = rows.select(*[F.col(self.scope.buffers[b][c.lower()]).alias(f"__gone_{c}") for c in own]).distinct()
+        cond = F.lit(True)
+        for c in own:
+            cond = cond & F.col(c).eqNullSafe(F.col(f"__gone_{c}"))
+        return table.join(gone, cond, "left_anti")
+
     def result(self) -> DataFrame:
         """All buffers' columns in buffer order; a name that two buffers share is prefixed by its buffer."""
         seen: dict[str, int] = {}
@@ -670,8 +841,9 @@ class Loop:
             plain = c.split("__", 1)[1]
             seen[plain] = seen.get(plain, 0) + 1
         out = self.rows
-        if self.sort:
+        if self.sort or self.skip:
             out = out.orderBy(*[c.desc() if d else c.asc() for c, d in self.sort], *self.keys)
+        out = out.offset(self.skip) if self.skip else out
         cols = []
         for c in self.columns:
             b, plain = c.split("__", 1)
@@ -727,7 +899,7 @@ class Loop:
                 g = self.guarded(u)
                 value = u.column if g is None else F.when(g, u.column) if value is None else F.when(g, u.column).otherwise(value)
                 hit = F.lit(True) if g is None else g if hit is None else hit | g
-            order = F.struct(*[(c if not d else -c).alias(f"s{i}") for i, (c, d) in enumerate(self.sort)], *[F.col(k) for k in self.keys])
+            order = self.order(self.keys)
             return F.max_by(F.struct(value.alias("v")), F.when(hit, order))
 
         return {"sum": total, "last": last}.get(kind, best)
@@ -810,6 +982,40 @@ def _inlined(proc: S.Procedure, args: list) -> list:
     return [_replaced(s, by) for s in proc.body if not isinstance(s, S.Parameter)]
 
 
+def _called(f: S.Function, args: tuple):
+    """A function's result as one expression of its arguments: its statements are followed, an IF becomes a choice."""
+    if len(args) != len(f.params):
+        raise LoweringError(f"{f.name} takes {len(f.params)} arguments")
+    return _returned(f.body, {p.name.lower(): a for p, a in zip(f.params, args)})
+
+
+def _returned(statements: list, by: dict):
+    for i, s in enumerate(statements):
+        rest = statements[i + 1 :]
+        if isinstance(s, S.Return):
+            return S.Unknown() if s.value is None else _replaced(s.value, by)
+        if isinstance(s, S.Declare):
+            by = by | {s.name.lower(): S.Literal(_DEFAULTS.get(s.type)) if s.initial is None else _replaced(s.initial, by)}
+        elif isinstance(s, S.Assign) and isinstance(s.target, S.Name):
+            by = by | {s.target.name.lower(): _replaced(s.value, by)}
+        elif isinstance(s, S.If):
+            return S.Choice(_replaced(s.cond, by), _returned([*s.yes, *rest], by), _returned([*s.no, *rest], by))
+        elif isinstance(s, S.Case):
+            out = _returned([*s.otherwise, *rest], by)
+            for values, then in reversed(s.branches):
+                cond = None
+                for v in values:
+                    one = S.Binary("=", s.value, v)
+                    cond = one if cond is None else S.Binary("or", cond, one)
+                out = S.Choice(_replaced(cond, by), _returned([*then, *rest], by), out)
+            return out
+        elif isinstance(s, S.Do) and s.var is None and s.cond is None:
+            return _returned([*s.body, *rest], by)
+        elif not isinstance(s, (S.Empty, S.Parameter)):
+            raise LoweringError(f"{type(s).__name__} in a function has no plan")
+    return S.Unknown()
+
+
 def _replaced(e, by: dict):
     if isinstance(e, S.Name):
         return by.get(e.name.lower(), e)
@@ -840,6 +1046,8 @@ def constant(env: Env, e):
         return None if v is None else (not v if e.op == "not" else -v)
     if isinstance(e, S.Binary):
         return _constant_binary(env, e)
+    if isinstance(e, S.Call) and e.name in env.functions:
+        return constant(env, _called(env.functions[e.name], e.args))
     raise LoweringError(f"{type(e).__name__} isn't a constant")
 
 
@@ -901,6 +1109,11 @@ def store(env: Env, s: S.Assign, kind: str | None = None) -> None:
         items[int(constant(env, s.target.index)) - 1] = constant(env, s.value)
         env.vars[s.target.value.name.lower()] = Scalar(items, v.type)
         return
+    if isinstance(s.target, S.Field) and s.target.qualifier.lower() in env.pending:
+        var = f"__new_{s.target.qualifier}_{s.target.name}".lower()
+        store(env, S.Assign(S.Name(var), s.value))
+        env.pending[s.target.qualifier.lower()][s.target.name.lower()] = var
+        return
     if not isinstance(s.target, S.Name):
         raise LoweringError("field assignment outside a record loop has no plan")
     low = s.target.name.lower()
@@ -943,16 +1156,154 @@ class _Done(Exception):
     pass
 
 
+class _Undone(Exception):
+    pass
+
+
+def flush(env: Env) -> None:
+    """Records created outside of loops join their tables."""
+    pending, env.pending = env.pending, {}
+    for b, fields in pending.items():
+        old = env.catalog.table(b)
+        one = env.value(*fields.values())
+        new = one.select(*[(F.col(fields[c.lower()]) if c.lower() in fields else F.lit(None)).cast(t).alias(c) for c, t in old.dtypes])
+        env.catalog.replace(b, old.unionByName(new))
+
+
+def define(env: Env, s: S.TempTable) -> None:
+    """An empty table with an order: its primary index, else all its columns."""
+    like = env.catalog.table(s.like).schema.fields if s.like else []
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in like), *(f"`{n}` {TYPES[t]}" for n, t in s.fields)])
+    low = s.name.lower()
+    env.catalog.tables[low] = env.catalog.spark.createDataFrame([], schema)
+    env.catalog.temps.add(low)
+    if s.order or s.like:
+        env.catalog.order[low] = s.order or env.catalog.order_of(s.like)
+
+
+_SQL_WORDS = {"eq": "=", "ne": "<>", "lt": "<", "le": "<=", "gt": ">", "ge": ">=", "mod": "%", "modulo": "%", "?": "NULL"}
+_AFTER_FROM = {"where", "group", "having", "order", "union", "except", "intersect", "limit", "offset", "window", "on", "using", ")", "select"}
+
+
+def select(env: Env, s: S.Select) -> DataFrame:
+    """A query over tables, buffers and temp-tables, planned by Spark SQL: joins, groups, sets, subqueries, windows.
+
+    Names of driver-side variables stand for their values; tables are handed over as frames under their own names.
+    """
+    out, frames, inside, expects = [], {}, False, False
+    for i, t in enumerate(s.tokens):
+        word = t.text.lower()
+        if t.kind in ("NoLock", "ShareLock", "ExclusiveLock"):
+            continue
+        if word in ("any", "some", "all") and i and (_SQL_WORDS.get(s.tokens[i - 1].text.lower(), s.tokens[i - 1].text)) in ("=", "<>", "<", "<=", ">", ">="):
+            sign = out.pop().strip()
+            if (sign, word == "all") not in (("=", False), ("<>", True)):
+                raise LoweringError(f"{sign} {t.text} has no plan; compare with the least or the greatest")
+            out.append(" NOT IN" if word == "all" else " IN")
+            continue
+        if t.kind == "StringLiteral":
+            text = "'" + unescaped(t.value).replace("\\", "\\\\").replace("'", "\\'") + "'"
+        elif expects and (word in env.catalog.buffers or word in env.catalog.tables):
+            frames[f"t{len(frames)}"] = env.catalog.table(word)
+            after = s.tokens[i + 1] if i + 1 < len(s.tokens) else None
+            own = after is not None and (after.text.lower() == "as" or (after.kind == "Identifier" and after.text.lower() not in _AFTER_FROM | {"left", "right", "full", "inner", "cross", "join", "natural"}))
+            out.append(f" \0t{len(frames) - 1}\1" + ("" if own else f" AS {t.text}"))
+            expects = False
+            continue
+        elif isinstance(env.vars.get(word), Scalar) and (i == 0 or s.tokens[i - 1].text != "."):
+            v = env.vars[word].value
+            text = "NULL" if v is None else "'" + v.replace("\\", "\\\\").replace("'", "\\'") + "'" if isinstance(v, str) else str(v)
+        else:
+            text = _SQL_WORDS.get(word, t.text)
+        inside = (inside or word == "from") and word not in _AFTER_FROM or word == "from"
+        expects = word in ("from", "join") or (inside and word == ",")
+        near = out and i and s.tokens[i - 1].end == t.start
+        out.append(text if near else " " + text)
+    sql = "SELECT" + "".join(out).replace("{", "{{").replace("}", "}}").replace("\0", "{").replace("\1", "}")
+    return env.catalog.spark.sql(sql, **frames)
+
+
+def transaction(env: Env, s: S.Transaction) -> None:
+    """A body whose variables and tables an UNDO or a caught error takes back. Plans are lazy: only errors of planning are caught."""
+    tables = env.catalog.tables
+    before = dict(env.vars), dict(tables), list(env.rows), dict(env.pending), dict(env.records)
+
+    def back() -> None:
+        env.vars, env.rows, env.pending, env.records = dict(before[0]), list(before[2]), dict(before[3]), dict(before[4])
+        tables.clear()
+        tables.update(before[1])
+
+    try:
+        try:
+            execute(env, s.body)
+        except _Undone:
+            back()
+        except (LoweringError, scalar.UnknownFunction, LookupError):
+            if not s.catches:
+                raise
+            back()
+            execute(env, s.catches[0])
+    finally:
+        execute(env, s.finally_)
+
+
 def execute(env: Env, statements: list) -> None:
     for s in statements:
         _execute(env, s)
 
 
 def _execute(env: Env, s) -> None:  # noqa: C901
+    if env.pending and isinstance(s, (S.ForEach, S.Find, S.Select, S.Create, S.Delete, S.Release, S.EmptyTable, S.Do, S.Repeat, S.Import)):
+        flush(env)
     if isinstance(s, S.Declare):
         declare(env, s)
     elif isinstance(s, S.Assign):
         store(env, s)
+    elif isinstance(s, S.TempTable):
+        define(env, s)
+    elif isinstance(s, S.BufferFor):
+        env.catalog.define_buffer(s.name, s.table)
+    elif isinstance(s, S.DataSet):
+        for parent, child, pairs in s.relations:
+            env.catalog.relations[env.catalog.key(child), env.catalog.key(parent)] = tuple((c, p) for p, c in pairs)
+    elif isinstance(s, S.Create):
+        env.pending[s.buffer.lower()] = {}
+    elif isinstance(s, S.Delete):
+        found = env.records.pop(s.buffer.lower(), None)
+        if found is None:
+            raise LoweringError(f"DELETE of {s.buffer} before a FIND")
+        loop = Loop(env)
+        rows, names = loop.prefixed(s.buffer)
+        loop.scope.buffers[s.buffer.lower()] = names
+        env.catalog.replace(s.buffer, loop.without(s.buffer.lower(), found.select(*[F.col(c).alias(names[c.lower()]) for c in found.columns])))
+    elif isinstance(s, S.EmptyTable):
+        env.catalog.replace(s.name, env.catalog.table(s.name).limit(0))
+    elif isinstance(s, S.Function):
+        env.functions[s.name.lower()] = s
+    elif isinstance(s, S.Select):
+        out = select(env, s)
+        if s.into:
+            for name, column in zip(s.into, out.columns):
+                env.vars[name.lower()] = Lazy(out, column)
+        else:
+            env.rows.append(out)
+    elif isinstance(s, S.Transaction):
+        transaction(env, s)
+    elif isinstance(s, S.Undo):
+        raise _Undone
+    elif isinstance(s, S.Stream):
+        env.paths.pop(s.direction, None)
+        if s.path is not None:
+            env.paths[s.direction] = str(constant(env, s.path))
+    elif isinstance(s, S.Import) or (isinstance(s, S.Repeat) and any(isinstance(x, S.Import) for x in s.body)):
+        one = s if isinstance(s, S.Import) else next(x for x in s.body if isinstance(x, S.Import))
+        if "input" not in env.paths:
+            raise LoweringError("IMPORT needs INPUT FROM")
+        old = env.catalog.table(one.buffer)
+        schema = ", ".join(f"`{c}` {t}" for c, t in old.dtypes)
+        env.catalog.replace(one.buffer, old.unionByName(files.csv(env.catalog.spark, env.paths["input"], schema, one.delimiter)))
+    elif isinstance(s, S.Release):
+        pass
     elif isinstance(s, S.ForEach):
         loop = Loop(env)
         loop.enter(s)
@@ -984,10 +1335,10 @@ def _execute(env: Env, s) -> None:  # noqa: C901
             env.returned = env.vars["__returned"]
         raise _Done
     elif isinstance(s, S.Display):
-        for i, (e, label) in enumerate(s.items):
+        for i, (e, _, _) in enumerate(s.items):
             store(env, S.Assign(S.Name(f"__shown_{i}"), e))
         names = [f"__shown_{i}" for i in range(len(s.items))]
-        env.rows.append(env.value(*names).toDF(*[label or _label(e, i) for i, (e, label) in enumerate(s.items)]))
+        env.rows.append(env.value(*names).toDF(*[label or _label(e, i) for i, (e, label, _) in enumerate(s.items)]))
     elif isinstance(s, S.Evaluate):
         Scope(env).expr(s.value)
     elif not isinstance(s, S.Empty):
@@ -1016,7 +1367,7 @@ def count(env: Env, s: S.Do) -> None:
             return
         except LoweringError:
             env.vars, env.rows = before
-    i = start
+    i, turns = start, 0
     while (i <= stop if step > 0 else i >= stop) and (s.cond is None or constant(env, S.Choice(S.Literal(True), s.cond, s.cond))):
         env.vars[low] = Scalar(i, "integer")
         try:
@@ -1025,7 +1376,9 @@ def count(env: Env, s: S.Do) -> None:
             pass
         except _Stop:
             return
-        i = constant(env, S.Name(s.var)) + step
+        i, turns = constant(env, S.Name(s.var)) + step, turns + 1
+        if turns > MOST_ITERATIONS:
+            raise LoweringError(f"a loop took more than {MOST_ITERATIONS} iterations")
     env.vars[low] = Scalar(i, "integer")
 
 
@@ -1084,12 +1437,12 @@ def run_procedure(env: Env, s: S.Run) -> None:
     params = [p for p in proc.body if isinstance(p, S.Parameter)]
     if len(params) != len(s.args):
         raise LoweringError(f"{name} takes {len(params)} arguments")
-    inner = Env(env.catalog, dict(env.vars), dict(env.types), env.procedures, env.rows, dict(env.records))
+    inner = Env(env.catalog, dict(env.vars), dict(env.types), env.procedures, env.rows, dict(env.records), None, env.functions, env.pending, env.paths)
     for p, (_, arg) in zip(params, s.args):
         inner.types[p.name.lower()] = p.type
         inner.vars[p.name.lower()] = Scalar(_DEFAULTS.get(p.type), p.type)
         if p.direction != "output":
-            outside = Env(env.catalog, dict(env.vars), dict(env.types), env.procedures, [], env.records)
+            outside = Env(env.catalog, dict(env.vars), dict(env.types), env.procedures, [], env.records, None, env.functions)
             store(outside, S.Assign(S.Name("__arg"), arg), p.type)
             inner.vars[p.name.lower()] = outside.vars["__arg"]
     own = {p.name.lower() for p in params} | {d.name.lower() for d in proc.body if isinstance(d, S.Declare)}
@@ -1114,10 +1467,13 @@ def run(catalog: Catalog | SparkSession, text: str) -> Env:
     for s in statements:
         if isinstance(s, S.Procedure):
             env.procedures[s.name.lower()] = s
+        elif isinstance(s, S.Function):
+            env.functions[s.name.lower()] = s
     try:
         execute(env, statements)
     except _Done:
         pass
+    flush(env)
     return env
 
 

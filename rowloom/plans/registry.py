@@ -179,25 +179,59 @@ values("array_variable", "DEFINE VARIABLE a AS INTEGER EXTENT 3 INITIAL [4, 5, 6
 rows("break_by_first_last", "FOR EACH orders BREAK BY o_custkey: IF NOT (FIRST-OF(o_custkey) OR LAST-OF(o_custkey)) THEN NEXT. DISPLAY o_custkey o_orderkey. END.",
      "SELECT o_custkey, o_orderkey FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) = 1 OR row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey DESC) = 1")
 
-
-@frame("distinct", "SELECT DISTINCT c_mktsegment, c_nationkey FROM customer")
-def _distinct(spark, sf):
-    return _table(spark, sf, "customer").select("c_mktsegment", "c_nationkey").distinct()
-
-
-@frame("union", "SELECT c_nationkey AS k FROM customer UNION SELECT s_nationkey FROM supplier")
-def _union(spark, sf):
-    return _table(spark, sf, "customer").select(F.col("c_nationkey").alias("k")).union(_table(spark, sf, "supplier").select("s_nationkey")).distinct()
-
-
-@frame("except", "SELECT c_custkey AS k FROM customer EXCEPT SELECT o_custkey FROM orders")
-def _except(spark, sf):
-    return _table(spark, sf, "customer").select(F.col("c_custkey").alias("k")).subtract(_table(spark, sf, "orders").select("o_custkey"))
-
-
-@frame("group_having", "SELECT o_custkey, count(*) AS n, round(sum(o_totalprice), 0) AS total FROM orders GROUP BY 1 HAVING count(*) > 12")
-def _group_having(spark, sf):
-    return _table(spark, sf, "orders").groupBy("o_custkey").agg(F.count("*").alias("n"), F.round(F.sum("o_totalprice"), 0).alias("total")).where("n > 12")
+# -- queries in SQL form: groups, sets, subqueries, joins of all kinds, windows
+rows("distinct", "SELECT DISTINCT c_mktsegment, c_nationkey FROM customer.", "SELECT DISTINCT c_mktsegment, c_nationkey FROM customer")
+rows("union", "SELECT c_nationkey AS k FROM customer UNION SELECT s_nationkey FROM supplier.", "SELECT c_nationkey AS k FROM customer UNION SELECT s_nationkey FROM supplier")
+rows("except", "SELECT c_custkey AS k FROM customer EXCEPT SELECT o_custkey FROM orders.", "SELECT c_custkey AS k FROM customer EXCEPT SELECT o_custkey FROM orders")
+rows("intersect", "SELECT c_nationkey AS k FROM customer WHERE c_acctbal LT 0 INTERSECT SELECT s_nationkey FROM supplier.", "SELECT c_nationkey AS k FROM customer WHERE c_acctbal < 0 INTERSECT SELECT s_nationkey FROM supplier")
+rows("group_having", "VAR INT least = 12. SELECT o_custkey, COUNT(*) AS n, ROUND(SUM(o_totalprice), 0) AS total FROM orders NO-LOCK GROUP BY o_custkey HAVING COUNT(*) GT least.",
+     "SELECT o_custkey, count(*) AS n, round(sum(o_totalprice), 0) AS total FROM orders GROUP BY 1 HAVING count(*) > 12")
+rows("select_exists", "SELECT c_custkey FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE orders.o_custkey = customer.c_custkey AND o_totalprice > 180000) AND NOT EXISTS (SELECT 1 FROM nation WHERE n_nationkey = c_nationkey AND n_regionkey = 2).",
+     "SELECT c_custkey FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 180000) AND NOT EXISTS (SELECT 1 FROM nation WHERE n_nationkey = c_nationkey AND n_regionkey = 2)")
+rows("select_in_like", 'SELECT p_partkey FROM part WHERE p_size IN (SELECT s_nationkey FROM supplier) AND p_brand LIKE "%2_" AND p_retailprice BETWEEN 100 AND 1500 AND p_name IS NOT NULL.', "SELECT p_partkey FROM part WHERE p_size IN (SELECT s_nationkey FROM supplier) AND p_brand LIKE '%2_' AND p_retailprice BETWEEN 100 AND 1500 AND p_name IS NOT NULL")
+rows("select_outer_join", "SELECT c.c_custkey, o.o_orderkey FROM customer c LEFT OUTER JOIN orders o ON o.o_custkey = c.c_custkey AND o.o_totalprice > 150000.", "SELECT c_custkey, o_orderkey FROM customer LEFT JOIN orders ON o_custkey = c_custkey AND o_totalprice > 150000")
+rows("select_full_join", "SELECT s.s_suppkey, n.n_nationkey FROM supplier AS s FULL OUTER JOIN nation AS n ON s.s_nationkey = n.n_nationkey AND s.s_acctbal > 5000.", "SELECT s_suppkey, n_nationkey FROM supplier FULL JOIN nation ON s_nationkey = n_nationkey AND s_acctbal > 5000")
+rows("select_cross_join", "SELECT region.r_name, nation.n_name FROM region CROSS JOIN nation.", "SELECT r_name, n_name FROM region CROSS JOIN nation")
+rows("select_interval_join", "SELECT a.event_id AS a, b.event_id AS b FROM events a JOIN events b ON a.user_id = b.user_id AND b.ts > a.ts AND b.ts <= a.ts + INTERVAL 2 HOURS.", "SELECT a.event_id AS a, b.event_id AS b FROM events a JOIN events b ON a.user_id = b.user_id AND b.ts > a.ts AND b.ts <= a.ts + INTERVAL 2 HOUR")
+rows("select_cube", "SELECT o_orderstatus, o_orderpriority, COUNT(*) AS n, COUNT(DISTINCT o_custkey) AS custs FROM orders GROUP BY CUBE (o_orderstatus, o_orderpriority).", "SELECT o_orderstatus, o_orderpriority, count(*) AS n, count(DISTINCT o_custkey) AS custs FROM orders GROUP BY CUBE (o_orderstatus, o_orderpriority)")
+rows("select_grouping_sets", "SELECT l_returnflag, l_linestatus, SUM(l_quantity) AS q FROM lineitem GROUP BY GROUPING SETS ((l_returnflag), (l_linestatus), ()).", "SELECT l_returnflag, l_linestatus, sum(l_quantity) AS q FROM lineitem GROUP BY GROUPING SETS ((l_returnflag), (l_linestatus), ())")
+rows("select_rank", "SELECT o_orderkey, RANK() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC) AS r, DENSE_RANK() OVER (PARTITION BY o_orderstatus ORDER BY o_orderpriority) AS d, NTILE(4) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS q, SUM(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderkey ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING) AS s FROM orders.",
+     "SELECT o_orderkey, CAST(rank() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC) AS INT) AS r, CAST(dense_rank() OVER (PARTITION BY o_orderstatus ORDER BY o_orderpriority) AS INT) AS d, CAST(ntile(4) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS INT) AS q, round(sum(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderkey ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING), 4) AS s FROM orders",
+     post=lambda d: d.withColumn("s", F.round("s", 4)))
+rows("select_any_all", "SELECT n_name FROM nation WHERE n_nationkey >= (SELECT MAX(s_nationkey) FROM supplier) OR n_regionkey = ANY (SELECT r_regionkey FROM region WHERE r_regionkey < 2).", "SELECT n_name FROM nation WHERE n_nationkey >= (SELECT max(s_nationkey) FROM supplier) OR n_regionkey = ANY (SELECT r_regionkey FROM region WHERE r_regionkey < 2)")
+values("select_into", "VAR INT n. VAR DECIMAL top. SELECT COUNT(*), MAX(o_totalprice) INTO n, top FROM orders WHERE o_orderstatus = 'F'.", {"n": "long", "top": "double"}, "SELECT count(*) AS n, max(o_totalprice) AS top FROM orders WHERE o_orderstatus = 'F'")
+
+# -- temp-tables, buffers, datasets, records made, changed and deleted, functions
+_RICH = "DEFINE TEMP-TABLE rich NO-UNDO FIELD k AS INT64 FIELD nm AS CHARACTER FIELD bal AS DECIMAL INDEX pk IS PRIMARY UNIQUE k. FOR EACH customer WHERE c_acctbal > 5000: CREATE rich. ASSIGN rich.k = c_custkey rich.nm = CAPS(c_mktsegment). rich.bal = c_acctbal * 2. END."
+rows("temp_table", _RICH + " FOR EACH rich WHERE rich.k > 3, EACH orders WHERE orders.o_custkey = rich.k: DISPLAY k nm o_orderkey. END.", "SELECT c_custkey AS k, upper(c_mktsegment) AS nm, o_orderkey FROM customer JOIN orders ON o_custkey = c_custkey WHERE c_acctbal > 5000 AND c_custkey > 3")
+rows("create_records", _RICH + " CREATE rich. rich.k = -1. rich.nm = 'one' + 'more'. RELEASE rich. DO i = 1 TO 3: CREATE rich. rich.k = - 10 * i. END. SELECT k, nm FROM rich.",
+     "SELECT c_custkey AS k, upper(c_mktsegment) AS nm FROM customer WHERE c_acctbal > 5000 UNION ALL VALUES (-1, 'onemore'), (-10, NULL), (-20, NULL), (-30, NULL)")
+rows("delete_records", _RICH + " FOR EACH rich, FIRST orders WHERE o_custkey = k: IF o_totalprice > 100000 THEN DELETE rich. END. FIND FIRST rich. DELETE rich. SELECT k FROM rich.",
+     "WITH d AS (SELECT c_custkey AS k, arg_min(o_totalprice, o_orderkey) AS p FROM customer LEFT JOIN orders ON o_custkey = c_custkey WHERE c_acctbal > 5000 GROUP BY 1), r AS (SELECT k FROM d WHERE p IS NULL OR p <= 100000) SELECT k FROM r WHERE k > (SELECT min(k) FROM r)")
+rows("update_records", _RICH + " FOR EACH rich WHERE bal > 15000: rich.nm = 'top'. IF k MOD 2 = 0 THEN rich.bal = 0. END. SELECT k, nm, CAST(bal AS DOUBLE) AS bal FROM rich.",
+     "SELECT c_custkey AS k, CASE WHEN c_acctbal * 2 > 15000 THEN 'top' ELSE upper(c_mktsegment) END AS nm, CASE WHEN c_acctbal * 2 > 15000 AND c_custkey % 2 = 0 THEN 0.0 ELSE CAST(CAST(c_acctbal * 2 AS DECIMAL(18, 4)) AS DOUBLE) END AS bal FROM customer WHERE c_acctbal > 5000")
+rows("undo_changes", _RICH + " DO TRANSACTION: FOR EACH rich: DELETE rich. END. UNDO, LEAVE. END. SELECT COUNT(*) AS n FROM rich.", "SELECT count(*) AS n FROM customer WHERE c_acctbal > 5000")
+rows("catch_errors", "VAR INT n = 1. DO ON ERROR UNDO, LEAVE: n = 2. FOR EACH customer: n = nosuchname. END. CATCH e AS Progress.Lang.Error: n = n + 10. END CATCH. FINALLY: n = n + 100. END FINALLY. END. DISPLAY n.", "SELECT 111 AS n")
+rows("dataset_relation", "DEFINE BUFFER big FOR orders. DEFINE DATASET ds FOR part, supplier DATA-RELATION r FOR part, supplier RELATION-FIELDS (p_size, s_nationkey). FOR EACH part WHERE p_size < 12, EACH supplier OF part: DISPLAY p_partkey s_suppkey. END.",
+     "SELECT p_partkey, s_suppkey FROM part JOIN supplier ON s_nationkey = p_size WHERE p_size < 12")
+rows("function_returns", "FUNCTION band RETURNS CHARACTER (INPUT x AS DECIMAL, INPUT lim AS DECIMAL): VAR DECIMAL y = 0. y = x - lim. IF y < 0 THEN RETURN 'under'. CASE lim: WHEN 1000 THEN RETURN 'over'. END CASE. RETURN 'far'. END FUNCTION. FOR EACH customer: DISPLAY c_custkey band(c_acctbal, 1000) LABEL 'b'. END.",
+     "SELECT c_custkey, CASE WHEN c_acctbal < 1000 THEN 'under' ELSE 'over' END AS b FROM customer")
+rows("display_except", "FOR EACH customer WHERE c_acctbal < 0: DISPLAY customer EXCEPT c_name c_mktsegment. END.", "SELECT c_custkey, c_nationkey, c_acctbal FROM customer WHERE c_acctbal < 0")
+rows("display_format", "FOR EACH orders: DISPLAY o_orderkey o_orderdate FORMAT '99/99/9999' LABEL 'd' o_orderpriority FORMAT 'x(3)' LABEL 'p' o_orderkey FORMAT '999999' LABEL 'z' (o_totalprice > 50000) FORMAT 'yes/no' LABEL 'y'. END.",
+     "SELECT o_orderkey, strftime(o_orderdate, '%m/%d/%Y') AS d, left(o_orderpriority, 3) AS p, printf('%06d', o_orderkey) AS z, CASE WHEN o_totalprice > 50000 THEN 'yes' ELSE 'no' END AS y FROM orders")
+rows("skip_rows", "FOR EACH nation BY n_name SKIP 20: DISPLAY n_name. END.", "SELECT n_name FROM nation ORDER BY n_name OFFSET 20")
+rows("ambiguous_find", "FOR EACH nation: FIND supplier WHERE supplier.s_nationkey = nation.n_nationkey NO-ERROR. DISPLAY (AMBIGUOUS supplier) LABEL 'many' n_nationkey s_suppkey. END.",
+     "SELECT n_nationkey, CASE WHEN count(s_suppkey) = 1 THEN any_value(s_suppkey) END AS s_suppkey, count(s_suppkey) > 1 AS many FROM nation LEFT JOIN supplier ON s_nationkey = n_nationkey GROUP BY 1")
+
+# -- descending orders of any type
+rows("leave_descending_text", "FOR EACH customer BY c_name DESCENDING: IF c_acctbal < 0 THEN LEAVE. DISPLAY c_custkey. END.",
+     "WITH r AS (SELECT *, row_number() OVER (ORDER BY c_name DESC, c_custkey) AS k FROM customer) SELECT c_custkey FROM r WHERE k < coalesce((SELECT min(k) FROM r WHERE c_acctbal < 0), 1e18)")
+values("last_by_date_descending", "VAR INT n. VAR CHARACTER who. FOR EACH orders BY o_orderdate DESCENDING: n = o_orderkey. END. FOR EACH nation BY n_name DESCENDING: who = n_name. END.", {"n": "long", "who": "string"},
+       "SELECT (SELECT o_orderkey FROM orders ORDER BY o_orderdate, o_orderkey DESC LIMIT 1) AS n, (SELECT min(n_name) FROM nation) AS who")
+rows("running_total_by_text", "VAR DECIMAL seen. FOR EACH supplier BY s_name DESCENDING: seen = seen + s_nationkey. supplier.s_acctbal = seen. DISPLAY s_suppkey s_acctbal. END.", "SELECT s_suppkey, CAST(sum(s_nationkey) OVER (ORDER BY s_name DESC, s_suppkey) AS DOUBLE) AS s_acctbal FROM supplier", post=lambda d: d.withColumn("s_acctbal", F.col("s_acctbal").cast("double")))
+rows("next_of_all", "FOR EACH orders: FIND NEXT after NO-ERROR. FIND PREV before NO-ERROR. DISPLAY orders.o_orderkey after.o_custkey LABEL 'n' before.o_custkey LABEL 'p'. END.",
+     "SELECT o_orderkey, lead(o_custkey) OVER (ORDER BY o_orderkey) AS n, lag(o_custkey) OVER (ORDER BY o_orderkey) AS p FROM orders", {"after": "orders", "before": "orders"})
+rows("break_by_text_descending", "FOR EACH customer BREAK BY c_mktsegment BY c_name DESCENDING: IF FIRST-OF(c_mktsegment) THEN DISPLAY c_mktsegment c_custkey. END.", "SELECT c_mktsegment, c_custkey FROM customer QUALIFY row_number() OVER (PARTITION BY c_mktsegment ORDER BY c_name DESC, c_custkey) = 1")
 
 
 @frame("neighbours", "SELECT o_orderkey, o_custkey, lead(o_orderkey) OVER w AS next_o_orderkey, lag(o_orderkey) OVER w AS prev_o_orderkey FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderkey)")

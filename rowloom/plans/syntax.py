@@ -114,6 +114,97 @@ class If:
     no: list = field(default_factory=list)
 
 
+@dataclass
+class Transaction:
+    """DO TRANSACTION, or ON ERROR UNDO: a body whose changes of variables and tables an UNDO takes back; handlers for errors."""
+
+    body: list
+    catches: list = field(default_factory=list)
+    finally_: list = field(default_factory=list)
+
+
+@dataclass
+class Undo:
+    leave: bool = True
+
+
+@dataclass
+class TempTable:
+    name: str
+    fields: list
+    order: tuple = ()
+    like: str | None = None
+
+
+@dataclass
+class BufferFor:
+    name: str
+    table: str
+
+
+@dataclass
+class DataSet:
+    name: str
+    tables: list
+    relations: list
+
+
+@dataclass
+class Create:
+    buffer: str
+
+
+@dataclass
+class Delete:
+    buffer: str
+
+
+@dataclass
+class Release:
+    buffer: str
+
+
+@dataclass
+class EmptyTable:
+    name: str
+
+
+@dataclass
+class Function:
+    name: str
+    type: str
+    params: list
+    body: list
+
+
+@dataclass
+class Select:
+    """A query as the texts of its tokens; into: variables that take its only row."""
+
+    tokens: list
+    into: list
+
+
+@dataclass
+class Stream:
+    """INPUT FROM or OUTPUT TO a path, or its close (None)."""
+
+    direction: str
+    path: object
+
+
+@dataclass
+class Export:
+    items: list
+    delimiter: str = " "
+
+
+@dataclass
+class Import:
+    buffer: str
+    delimiter: str = " "
+
+
 @dataclass
 class Repeat:
     body: list
@@ -130,6 +221,7 @@ class ForEach:
     by: list = field(default_factory=list)
     breaks: bool = False
     which: str = "each"
+    skip: int = 0
 
 
 @dataclass
@@ -191,9 +283,10 @@ class Empty:
 
 @dataclass
 class Display:
-    """Projection: (expression, label) each."""
+    """Projection: (expression, label, format) each; a record's name stands for its fields but those of besides."""
 
     items: list
+    besides: tuple = ()
 
 
 @dataclass

@@ -142,3 +142,33 @@ def test_lock_words_change_nothing(catalog):
 def test_temp_views_are_tables(spark):
     spark.range(3).select(F.col("id").alias("k")).createOrReplaceTempView("tt_person")
     assert got(run(spark, "VAR INT n. FOR EACH tt_person: n = n + k. END.").value("n")) == [(3,)]
+
+
+def test_export_and_import(spark, tmp_path):
+    """EXPORT writes a loop's rows, IMPORT reads them into a temp-table."""
+    catalog = Catalog(spark, {"t": spark.createDataFrame([(1, 'a "b" c'), (2, None), (3, "é, x")], "k int, v string")}, {"t": ("k",)})
+    path = str(tmp_path / "out")
+    run(catalog, f"OUTPUT TO '{path}'. FOR EACH t WHERE k > 1 OR v <> '': EXPORT DELIMITER ',' k v. END. OUTPUT CLOSE.")
+    env = run(catalog, f"DEFINE TEMP-TABLE back FIELD k AS INTEGER FIELD v AS CHARACTER INDEX i IS PRIMARY k. INPUT FROM '{path}'. REPEAT: CREATE back. IMPORT DELIMITER ',' back. END. INPUT CLOSE. FOR EACH back WHERE k > 0: DISPLAY back. END.")
+    assert sorted(map(tuple, env.rows[-1].collect())) == [(1, 'a "b" c'), (2, None), (3, "é, x")]
+    with pytest.raises(LoweringError):
+        run(catalog, "FOR EACH t: EXPORT k. END.")
+
+
+def test_created_records_hold_what_they_are_given(spark):
+    catalog = Catalog(spark, {"t": spark.createDataFrame([(i, i % 3) for i in range(9)], "k int, g int")}, {"t": ("k",)})
+    env = run(catalog, "DEFINE TEMP-TABLE s LIKE t FIELD n AS CHARACTER. FOR EACH t: IF g = 0 THEN NEXT. CREATE s. s.k = k * 2. IF g = 1 THEN s.n = 'one'. END. CREATE s. s.k = 99. EMPTY TEMP-TABLE t. FOR EACH s: END. FOR EACH t: END.")
+    assert sorted(map(tuple, env.rows[0].collect())) == [(2, None, "one"), (4, None, None), (8, None, "one"), (10, None, None), (14, None, "one"), (16, None, None), (99, None, None)]
+    assert env.rows[1].count() == 0
+
+
+@pytest.mark.parametrize("fault", ["VAR INT n. FOR EACH t: n = f(k, 1). END.", "SELECT k FROM t WHERE k > ALL (SELECT k FROM t).", "DELETE t.", "FOR EACH t: DELETE u. END.", "IMPORT t."])
+def test_faults_of_statements(spark, fault):
+    catalog = Catalog(spark, {"t": spark.createDataFrame([(1,)], "k int")}, {"t": ("k",)})
+    with pytest.raises((LoweringError, LookupError)):
+        run(catalog, "FUNCTION f RETURNS INTEGER (x AS INTEGER): RETURN x + 1. END FUNCTION. " + fault)
+
+
+def test_functions_and_transactions_on_the_driver(spark):
+    env = run(Catalog(spark), "FUNCTION twice RETURNS INTEGER (INPUT x AS INTEGER): VAR INT y. y = x * 2. RETURN y. END FUNCTION. VAR INT a = 3. VAR INT b. b = twice(twice(a)). DO TRANSACTION: b = 0. UNDO. END. DO ON ERROR UNDO, LEAVE: a = 5. END.")
+    assert (env.vars["a"].value, env.vars["b"].value) == (5, 12)

@@ -131,3 +131,35 @@ def test_streams(spark, tmp_path):
     stream = E.read(spark, str(tmp_path / "e"), df.schema.simpleString()[7:-1].replace(":", " "))
     assert got(E.drain(E.windowed(stream), "w")) == got(E.windowed(df))
     assert E.windowed(df).count() == 2 and E.sessions(df).count() == 3
+
+
+def test_reversed_keys(spark):
+    """Descending order by an ascending sort of the key, for every type, nulls last."""
+    import datetime as dt
+    from decimal import Decimal
+
+    cases = {
+        "int": [3, -(2**31), 2**31 - 1, 0, None], "bigint": [2**63 - 1, -(2**63), 5, None], "decimal(38,2)": [Decimal("1.50"), Decimal("-9.25"), None], "double": [1.5, -2.0, float("inf"), float("-inf"), float("nan"), None],
+        "boolean": [True, False, None], "date": [dt.date(2020, 1, 2), dt.date(1969, 1, 1), None], "timestamp_ntz": [dt.datetime(2020, 1, 1), dt.datetime(1900, 5, 5, 1, 2, 3, 4), None], "timestamp": [dt.datetime(2020, 1, 1), dt.datetime(1990, 5, 5, 1, 2, 3, 4), None],
+        "string": ["", "a", "ab", "abc", "b", "é", "é\x00", "z", "日", None], "binary": [b"", b"\x00", b"\x00\x01", b"\xff", None],
+    }
+    for kind, values in cases.items():
+        df = spark.createDataFrame([(i, v) for i, v in enumerate(values)], f"i int, v {kind}")
+        want = [r.i for r in df.orderBy(F.col("v").desc(), "i").collect()]
+        assert [r.i for r in df.orderBy(R.order_key(df, [(F.col("v"), True)]), "i").collect()] == want, kind
+
+
+def test_rows_beside(spark):
+    """Next and previous rows over the borders of ranges, with hot values, texts and nulls as first keys."""
+    rows = [(None if i % 17 == 0 else 5 if i % 3 else i % 40, i, f"w{i * 7 % 60:02d}" if i % 5 else "hot") for i in range(300)]
+    df = spark.createDataFrame(rows, "k int, i int, s string").repartition(4)
+    for order in (["k", "i"], ["s", "i"]):
+        out = R.beside(R.beside(df, order, F.struct("i", "k"), True, "n", ranges=8), order, F.struct("i", "k"), False, "p", ranges=8).collect()
+        at = {r.i: r for r in out}
+        by = [r.i for r in df.orderBy(*order).collect()]
+        assert len(out) == 300
+        for before, here, after in zip([None, *by], by, [*by[1:], None]):
+            assert (at[here].n and at[here].n.i) == after and (at[here].p and at[here].p.i) == before
+    assert R.neighbours(df.limit(0), ["k"], ["i"]).count() == 0
+    both = {r.i: (r.next_i, r.prev_i) for r in R.neighbours(df, ["i"], ["i"]).collect()}
+    assert both == {i: (i + 1 if i < 299 else None, i - 1 if i else None) for i in range(300)}
