@@ -143,6 +143,8 @@ class Scope:
             return F.current_date()
         if low == "now":
             return F.localtimestamp()
+        if low in ("etime", "time", "mtime"):
+            return scalar.call(low, [])
         raise LoweringError(f"unknown name {name}")
 
     def field(self, e: S.Field) -> Column:

@@ -11,7 +11,7 @@ from rowloom.operators import keywords as K
 from rowloom.operators import records as R
 from rowloom.operators import text as T
 from rowloom.plans import lowering
-from rowloom.plans.catalog import star
+from rowloom.plans.catalog import Catalog, star
 from rowloom.plans.token_sql import TOKENS
 from rowloom.streaming import events as E
 
@@ -113,6 +113,27 @@ rows("field_assignment", "FOR EACH customer WHERE c_nationkey < 5 EXCLUSIVE-LOCK
      "SELECT c_custkey, c_name, c_nationkey, CASE WHEN c_acctbal < 0 THEN 0 ELSE c_acctbal END AS c_acctbal, upper(substr(c_mktsegment, 1, 3)) AS c_mktsegment FROM customer WHERE c_nationkey < 5")
 rows("multi_assign", "FOR EACH supplier: ASSIGN supplier.s_acctbal = s_acctbal * 2 supplier.s_name = 'S' + STRING(s_suppkey). END.", "SELECT s_suppkey, 'S' || s_suppkey AS s_name, s_nationkey, s_acctbal * 2 AS s_acctbal FROM supplier")
 
+# -- conversions, the clock, members and methods
+projection("conversions", "orders", "SELECT o_orderkey, CAST(trunc(o_totalprice) AS INT) AS i, o_totalprice AS d, CAST(o_orderkey AS VARCHAR) AS s, o_orderkey % 2 = 0 AS b FROM orders",
+           types={"d": "double"}, o_orderkey="o_orderkey", i="INTEGER(o_totalprice)", d="DECIMAL(o_totalprice)", s="STRING(o_orderkey)", b="LOGICAL(IF o_orderkey MOD 2 = 0 THEN 'yes' ELSE 'no')")
+projection("clock_functions", "orders", "SELECT o_orderkey, true AS t, true AS n, true AS r, CAST((hour(o_orderdate) * 3600 + minute(o_orderdate) * 60 + second(o_orderdate)) * 1000 AS INT) AS ms, true AS e FROM orders",
+           o_orderkey="o_orderkey", t="TODAY > DATE(1, 1, 2020)", n="NOW > DATETIME(1, 1, 2020, 0, 0, 0)", r="RANDOM(2, 4) BETWEEN 2 AND 4", ms="MTIME(o_orderdate)", e="ETIME >= 0")
+projection("method_calls", "customer", "SELECT c_custkey, substr(c_name, 2, 5) AS s, CAST(length(c_mktsegment) AS INT) AS n FROM customer", c_custkey="c_custkey", s="c_name:SUBSTRING(2, 5)", n="c_mktsegment:LENGTH()")
+
+
+@frame("member_access", "SELECT o_orderkey, o_custkey AS who, upper(o_orderpriority) AS p FROM orders WHERE o_totalprice > 50000")
+def _member_access(spark, sf):
+    packed = _table(spark, sf, "orders").select("o_orderkey", F.struct(F.col("o_custkey").alias("cust"), F.col("o_totalprice").alias("price"), F.struct(F.col("o_orderpriority").alias("level")).alias("more")).alias("info"))
+    catalog = Catalog(spark, {"packed": packed}, {"packed": ("o_orderkey",)})
+    return lowering.run(catalog, "FOR EACH packed WHERE info:price > 50000: DISPLAY o_orderkey info:cust LABEL 'who' CAPS(info:more:level) LABEL 'p'. END.").rows[0]
+
+
+@frame("current_changed", "SELECT c_custkey FROM customer WHERE c_acctbal < 0")
+def _current_changed(spark, sf):
+    customer = _table(spark, sf, "customer")
+    return R.current_changed(customer, R.update(customer, F.col("c_acctbal") < 0, c_mktsegment=F.lit("NONE")), ["c_custkey"])
+
+
 # -- joins
 rows("foreach_of", "FOR EACH nation: FOR EACH customer OF nation: END. END.", "SELECT n.*, c.* FROM nation n JOIN customer c ON c_nationkey = n_nationkey")
 rows("nested_foreach_two", "FOR EACH region WHERE r_regionkey > 0: FOR EACH nation OF region: DISPLAY r_name n_name. END. END.", "SELECT r_name, n_name FROM region JOIN nation ON n_regionkey = r_regionkey WHERE r_regionkey > 0")
@@ -440,6 +461,20 @@ def _event_windows(spark, sf):
     return E.windowed(_table(spark, sf, "events")).select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), "event_type", "n", F.round("total", 3).alias("total"))
 
 
+@frame("event_sliding_windows", """SELECT time_bucket(INTERVAL 30 MINUTE, ts) - INTERVAL 30 MINUTE * k AS window_start, event_type, count(*) AS n, round(sum(value), 3) AS total
+FROM events, (VALUES (0), (1)) t(k) GROUP BY ALL""")
+def _event_sliding_windows(spark, sf):
+    return E.windowed(_table(spark, sf, "events"), "1 hour", "30 minutes").select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), "event_type", "n", F.round("total", 3).alias("total"))
+
+
+@frame("event_sessions", """WITH g AS (SELECT *, CASE WHEN ts < lag(ts) OVER w + INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS fresh FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
+s AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g)
+SELECT min(ts) AS session_start, max(ts) + INTERVAL 30 MINUTE AS session_end, user_id, count(*) AS n FROM s GROUP BY user_id, k""")
+def _event_sessions(spark, sf):
+    found = E.sessions(_table(spark, sf, "events"))
+    return found.select(F.col("session_start").cast("timestamp_ntz").alias("session_start"), F.col("session_end").cast("timestamp_ntz").alias("session_end"), "user_id", "n")
+
+
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Flagship: a three-level nested loop as one join."""
     return _QUERIES["nested_foreach_three"](spark, sf_dir)
