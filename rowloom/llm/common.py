@@ -65,12 +65,32 @@ class Cut:
         with setting(self.spark, "spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true"):
             df.write.parquet(self.path)
         self.df = self.spark.read.schema(df.schema).parquet(self.path)
-        atexit.register(_delete, self.spark, self.path)
+        if not _MADE:
+            atexit.register(drop_since, 0)
+        _MADE.append(self)
 
     def drop(self) -> None:
+        if self in _MADE:
+            _MADE.remove(self)
         _delete(self.spark, self.path)
 
 
+#: The tables that are still there, oldest first; what is left goes when the driver ends.
+_MADE: list[Cut] = []
+
+
+def made() -> int:
+    """How many tables there are: a mark for `drop_since`."""
+    return len(_MADE)
+
+
+def drop_since(mark: int, keep: Cut | None = None) -> None:
+    """Delete the tables written since a mark but one: once a result is written, nothing reads those it was made from."""
+    for one in _MADE[mark:]:
+        if one is not keep:
+            one.drop()
+
+
 def cut(df: DataFrame) -> DataFrame:
     return Cut(df).df
 
