@@ -13,6 +13,7 @@ from rowloom.operators import text as T
 from rowloom.plans import lowering
 from rowloom.plans.catalog import Catalog, star
 from rowloom.plans.token_sql import TOKENS
+from rowloom.sources import files
 from rowloom.streaming import events as E
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -455,6 +456,51 @@ def _callable_kinds(spark, sf):
     return K.callable_kinds(_names(spark, sf).withColumn("keyword_type", F.when(F.col("seq") % 3 == 0, "Function")))
 
 
+# -- files: written to the shared folder and read again
+@frame("csv_round_trip", "SELECT p_partkey, p_name, p_brand FROM part")
+def _csv_round_trip(spark, sf):
+    """EXPORT of all parts by a program, IMPORT into a temp-table."""
+    path, catalog = files.scratch(spark, "parts"), star(spark, sf)
+    lowering.run(catalog, f"OUTPUT TO '{path}'. FOR EACH part: EXPORT DELIMITER ',' p_partkey p_name p_brand. END. OUTPUT CLOSE.")
+    return lowering.run(catalog, f"DEFINE TEMP-TABLE back FIELD p_partkey AS INT64 FIELD p_name AS CHARACTER FIELD p_brand AS CHARACTER. INPUT FROM '{path}'. IMPORT DELIMITER ',' back. FOR EACH back: END.").rows[-1]
+
+
+@frame("orc_round_trip", "SELECT * FROM supplier")
+def _orc_round_trip(spark, sf):
+    path = files.scratch(spark, "suppliers")
+    _table(spark, sf, "supplier").write.orc(path)
+    return files.orc(spark, path)
+
+
+@frame("source_text_tokens", "SELECT n_name AS text, CAST(0 AS INT) AS idx FROM nation")
+def _source_text_tokens(spark, sf):
+    """Source files read whole and cut into tokens: the names of nations, a line each."""
+    path = files.scratch(spark, "source")
+    files.write_lines(_table(spark, sf, "nation").select(F.col("n_name").alias("line")), path)
+    found = T.tokens(files.source_texts(spark, f"{path}/*.txt").select(F.lit(1).alias("id"), "source"), "id", "source")
+    return found.where("kind <> 'Eof'").select("text", F.lit(0).alias("idx"))
+
+
+@frame("json_index_entries", "SELECT 'all' AS title, '/' AS url UNION ALL SELECT r_name, 'r' || r_regionkey FROM region UNION ALL SELECT n_name, 'n' || n_nationkey FROM nation")
+def _json_index_entries(spark, sf):
+    """A nested index of regions and their nations, written as JSON and flattened."""
+    nation = _table(spark, sf, "nation").groupBy("n_regionkey").agg(F.collect_list(F.struct(F.col("n_name").alias("title"), F.concat(F.lit("n"), "n_nationkey").alias("url"))).alias("childEntries"))
+    region = _table(spark, sf, "region").join(nation, F.col("r_regionkey") == F.col("n_regionkey")).select(F.col("r_name").alias("title"), F.concat(F.lit("r"), "r_regionkey").alias("url"), "childEntries")
+    whole = region.agg(F.to_json(F.struct(F.lit("all").alias("title"), F.lit("/").alias("url"), F.collect_list(F.struct("title", "url", "childEntries")).alias("childEntries"))).alias("line"))
+    path = files.scratch(spark, "index")
+    files.write_lines(whole, path)
+    return files.json_index(spark, f"{path}/*.txt")
+
+
+@frame("keyword_list_file", "SELECT s_name AS name, CASE WHEN s_suppkey % 2 = 0 THEN left(s_name, 4) END AS min_abbreviation FROM supplier")
+def _keyword_list_file(spark, sf):
+    """An aligned list with a header line, written as text and read as keyword rows."""
+    lines = _table(spark, sf, "supplier").select(F.concat(F.lit("  "), "s_name", F.lit("     "), F.when(F.col("s_suppkey") % 2 == 0, F.left("s_name", F.lit(4))).otherwise("")).alias("line"), F.col("s_suppkey").alias("k"))
+    path = files.scratch(spark, "keywords")
+    files.write_lines(_table(spark, sf, "region").where("r_regionkey = 0").select(F.lit("  Name     Short").alias("line"), F.lit(-1).cast("long").alias("k")).union(lines).coalesce(1).sortWithinPartitions("k").select("line"), path)
+    return files.keyword_list(spark, f"{path}/*.txt").select("name", "min_abbreviation")
+
+
 # -- beyond the language: event-time windows
 @frame("event_windows", "SELECT time_bucket(INTERVAL 1 HOUR, ts) AS window_start, event_type, count(*) AS n, round(sum(value), 3) AS total FROM events GROUP BY ALL")
 def _event_windows(spark, sf):

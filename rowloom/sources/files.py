@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
+import tempfile
 import tomllib
+import uuid
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-
-#: Nesting of a JSON index that its schema holds; entries below are an error of the reader, not lost.
-DEPTH = 12
 
 
 def source_texts(spark: SparkSession, path: str) -> DataFrame:
@@ -26,22 +24,21 @@ def keyword_list(spark: SparkSession, path: str) -> DataFrame:
     return lines.select("seq", F.trim(F.get(parts, F.lit(0))).alias("name"), F.lit(True).alias("reserved"), F.when(short != "", short).alias("min_abbreviation"), F.lit(None).cast("string").alias("keyword_type"), F.lit(None).cast("string").alias("doc_url"))
 
 
-def _entry(depth: int) -> T.StructType:
-    fields = [T.StructField("title", T.StringType()), T.StructField("url", T.StringType())]
-    return T.StructType([*fields, T.StructField("childEntries", T.ArrayType(_entry(depth - 1) if depth else T.StringType()))])
+_ENTRY = "title string, url string, childEntries array<string>"
 
 
 def json_index(spark: SparkSession, path: str) -> DataFrame:
-    """title, url of every entry of a nested index (childEntries), one level of explode after the other."""
-    level = spark.read.schema(_entry(DEPTH)).json(path, multiLine=True)
-    out = None
-    for depth in range(DEPTH + 1):
-        own = level.where("title is not null").select("title", "url")
-        out = own if out is None else out.union(own)
-        if depth < DEPTH:
-            level = level.select(F.explode("childEntries").alias("e")).select("e.*")
-    deeper = level.where(F.size("childEntries") > 0).select(F.raise_error(F.lit(f"an index deeper than {DEPTH} levels")).alias("title"), F.lit("").alias("url"))
-    return out.union(deeper)
+    """title, url of every entry of a nested index (childEntries), of any depth: one level of explode after the other.
+
+    An entry's children stay JSON texts until their level is reached.
+    """
+    whole = spark.read.text(path, wholetext=True).select(F.from_json("value", f"array<struct<{_ENTRY}>>").alias("a"))
+    level = whole.select(F.explode("a").alias("e")).select("e.*")
+    out = level.where("title is not null").select("title", "url")
+    while not (children := level.select(F.explode("childEntries").alias("c"))).isEmpty():
+        level = children.select(F.from_json("c", _ENTRY).alias("e")).select("e.*")
+        out = out.union(level.where("title is not null").select("title", "url"))
+    return out
 
 
 _CHANGES = "seq long, action string, name string, reserved boolean, keyword_type string, min_abbreviation string, doc_url string"
@@ -88,6 +85,22 @@ def show(df: DataFrame, n: int = 20) -> None:
     df.show(n, truncate=False)
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A path in the folder that driver and executors share; in local mode without one, in a temporary folder."""
+    where = spark.conf.get("spark.checkpoint.dir", None)
+    if not where:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        where = f"{tempfile.gettempdir()}/rowloom-{spark.sparkContext.applicationId}"
+    folder = f"{where}/files/{name}-{uuid.uuid4().hex}"
+    if hasattr(spark, "_jvm"):  # the folder goes when the session's process ends
+        p = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
+        fs.mkdirs(p)
+        fs.deleteOnExit(p)
+    return f"{folder}/data"
+
+
 def temp_table(df: DataFrame, name: str) -> None:
     """A named view that programs can loop over."""
     df.createOrReplaceTempView(name)

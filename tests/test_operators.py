@@ -163,3 +163,18 @@ def test_rows_beside(spark):
     assert R.neighbours(df.limit(0), ["k"], ["i"]).count() == 0
     both = {r.i: (r.next_i, r.prev_i) for r in R.neighbours(df, ["i"], ["i"]).collect()}
     assert both == {i: (i + 1 if i < 299 else None, i - 1 if i else None) for i in range(300)}
+
+
+def test_database_tables(spark):
+    """A table written to and read from a database in memory, by JDBC; ORC files."""
+    url = "jdbc:derby:memory:rowloom;create=true"
+    spark.range(5).selectExpr("cast(id as int) as k", "concat('v', id) as v").write.format("jdbc").options(url=url, dbtable="t", driver="org.apache.derby.iapi.jdbc.AutoloadedDriver").mode("overwrite").save()
+    assert got(files.jdbc(spark, url, "t", driver="org.apache.derby.iapi.jdbc.AutoloadedDriver").where("K > 2")) == [(3, "v3"), (4, "v4")]
+
+
+def test_deep_index(spark, tmp_path):
+    entry = {"title": "leaf", "url": "u40"}
+    for i in range(39, -1, -1):
+        entry = {"title": f"t{i}", "url": f"u{i}", "childEntries": [entry, {"title": None, "url": "none"}]}
+    (tmp_path / "i.json").write_text(json.dumps([entry, {"title": "second", "url": "s", "childEntries": []}]))
+    assert {r.url for r in files.json_index(spark, str(tmp_path / "i.json")).collect()} == {f"u{i}" for i in range(41)} | {"s"}
