@@ -16,7 +16,7 @@ from rowloom.llm.common import table
 #: Half width of the alignment band, least share of a template's words that must match.
 BAND, LEAST_COVERAGE = 8, 0.8
 #: Words of little use as anchors, offsets that are counted at once.
-_COMMON, _PART = frozenset("a and any are be by can distributed for form free from in into is it not of on or that the this to under use version with without work you".split()), 50_000
+_COMMON, _PART = frozenset("a and any are be by can distributed for form free from in into is it not of on or that the this to under use version with without work you was at do all no nor may such".split()), 50_000
 
 #: Elements of a Creative Commons license: short and long form.
 _ELEMENTS = {"NC": "NonCommercial", "SA": "ShareAlike", "ND": "NoDerivatives"}
@@ -142,7 +142,7 @@ _WORD = re.compile(r"[a-z0-9]+")
 
 def _lower(text: str) -> str:
     """Lower case of A-Z alone, so that offsets stay."""
-    return text.translate(_ASCII)
+    return text.lower() if text.isascii() else text.translate(_ASCII)
 
 
 _ASCII = {c: c + 32 for c in range(65, 91)}
@@ -175,6 +175,10 @@ class Index:
         self.anchors = np.zeros(len(self.words) + 1, bool)
         self.anchors[list(self.at)] = True
 
+    def near(self, words: np.ndarray) -> list[int]:
+        """The templates that hold some of these anchor words."""
+        return sorted({t for w in words.tolist() for t, _ in self.at[w]})
+
     def offsets(self, t: int, diagonals: np.ndarray, doc: np.ndarray) -> np.ndarray:
         """The offsets within BAND of a diagonal at which enough template words, and all that decide, occur within the band."""
         ids = self.ids[t]
@@ -232,10 +236,16 @@ def scan(text: str, index: Index) -> list[tuple]:
     hits = np.flatnonzero(index.anchors[ids])
     if not len(hits):
         return []
-    by_template: dict[int, list[int]] = {}
+    present = np.zeros(len(index.words) + 1, bool)
+    present[ids[ids > 0]] = True
+    possible = [t for t in index.near(np.unique(ids[hits])) if present[index.ids[t]].sum() >= index.least[t] and present[index.ids[t][index.decides[t]]].all()]
+    if not possible:
+        return []
+    by_template: dict[int, list[int]] = {t: [] for t in possible}
     for j in hits.tolist():
         for t, p in index.at[int(ids[j])]:
-            by_template.setdefault(t, []).append(j - p)
+            if t in by_template:
+                by_template[t].append(j - p)
     found = set()
     for t, diagonals in by_template.items():
         for offset in index.offsets(t, np.array(diagonals), ids).tolist():
