@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from rowloom.functions import aggregates
 from rowloom.operators import keywords as K
 from rowloom.operators import records as R
 from rowloom.operators import text as T
@@ -223,6 +224,14 @@ rows("select_rank", "SELECT o_orderkey, RANK() OVER (PARTITION BY o_custkey ORDE
 rows("select_any_all", "SELECT n_name FROM nation WHERE n_nationkey >= (SELECT MAX(s_nationkey) FROM supplier) OR n_regionkey = ANY (SELECT r_regionkey FROM region WHERE r_regionkey < 2).", "SELECT n_name FROM nation WHERE n_nationkey >= (SELECT max(s_nationkey) FROM supplier) OR n_regionkey = ANY (SELECT r_regionkey FROM region WHERE r_regionkey < 2)")
 values("select_into", "VAR INT n. VAR DECIMAL top. SELECT COUNT(*), MAX(o_totalprice) INTO n, top FROM orders WHERE o_orderstatus = 'F'.", {"n": "long", "top": "double"}, "SELECT count(*) AS n, max(o_totalprice) AS top FROM orders WHERE o_orderstatus = 'F'")
 
+
+@frame("user_aggregate", "SELECT o_custkey, round(max(o_totalprice) - min(o_totalprice), 2) AS spread FROM orders GROUP BY 1")
+def _user_aggregate(spark, sf):
+    """An aggregate written in Python, over groups of a few orders each."""
+    aggregates.register(spark, "value_spread", lambda v: float(v.max() - v.min()), "double")
+    return lowering.run(star(spark, sf), "SELECT o_custkey, ROUND(value_spread(o_totalprice), 2) AS spread FROM orders GROUP BY o_custkey.").rows[0]
+
+
 # -- temp-tables, buffers, datasets, records made, changed and deleted, functions
 _RICH = "DEFINE TEMP-TABLE rich NO-UNDO FIELD k AS INT64 FIELD nm AS CHARACTER FIELD bal AS DECIMAL INDEX pk IS PRIMARY UNIQUE k. FOR EACH customer WHERE c_acctbal > 5000: CREATE rich. ASSIGN rich.k = c_custkey rich.nm = CAPS(c_mktsegment). rich.bal = c_acctbal * 2. END."
 rows("temp_table", _RICH + " FOR EACH rich WHERE rich.k > 3, EACH orders WHERE orders.o_custkey = rich.k: DISPLAY k nm o_orderkey. END.", "SELECT c_custkey AS k, upper(c_mktsegment) AS nm, o_orderkey FROM customer JOIN orders ON o_custkey = c_custkey WHERE c_acctbal > 5000 AND c_custkey > 3")
