@@ -174,36 +174,39 @@ def _taught(pool: DataFrame, views: list[View], teachers: list[View], scales: li
 
     Every unlabelled row is looked at. A task leaves one array a view; PARTS tasks add these up, the driver adds theirs.
     """
-    schema, names = "part int, view int, n double, sums array<double>", ["part", "view", "n", "sums"]
+    schema, names = "part int, view int, n double, sums binary", ["part", "view", "n", "sums"]
 
-    def out(part: int, n: list[float], sums: list[np.ndarray]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array([part] * 2, pa.int32()), pa.array([0, 1], pa.int32()), pa.array(n, pa.float64()), pa.array([s.tolist() for s in sums], pa.list_(pa.float64()))], names=names)
+    def out(part: int, found: dict[int, tuple[float, np.ndarray]]) -> pa.RecordBatch:
+        rows = sorted(found.items())
+        return pa.RecordBatch.from_arrays([pa.array([part] * len(rows), pa.int32()), pa.array([k for k, _ in rows], pa.int32()), pa.array([n for _, (n, _) in rows], pa.float64()), pa.array([x.tobytes() for _, (_, x) in rows], pa.binary())], names=names)
 
-    def empty():
-        return [0.0, 0.0], [np.zeros(v.size + v.size**2) for v in views]
+    def put(found: dict, k: int, n: float, sums: np.ndarray) -> None:
+        found[k] = (found[k][0] + n, found[k][1] + sums) if k in found else (n, sums)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n, sums = empty()
+        found: dict[int, tuple[float, np.ndarray]] = {}
         for b in batches:
             ids = [_matrix(b.column(1)), _matrix(b.column(2))] if b.num_rows else []
             for k in (0, 1) if ids else ():
                 a, shift = scales[1 - k]
                 p = 1 / (1 + np.exp(-np.clip(a * teachers[1 - k].logit(ids[1 - k]) + shift, -30, 30)))
                 sure = (p >= CONFIDENT) | (p <= 1 - CONFIDENT)
-                n[k] += float(sure.sum())
-                sums[k] += views[k].slopes(ids[k][sure], (p[sure] >= 0.5) * 1.0)
-        yield out(zlib.crc32(np.concatenate(sums).tobytes()) % PARTS, n, sums)
+                if sure.any():
+                    put(found, k, float(sure.sum()), views[k].slopes(ids[k][sure], (p[sure] >= 0.5) * 1.0))
+        yield out(zlib.crc32(b"".join(x.tobytes() for _, x in found.values())) % PARTS, found)
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n, sums = empty()
+        found: dict[int, tuple[float, np.ndarray]] = {}
         for b in batches:
-            for view, rows, s in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), b.column(3)):
-                n[view] += rows
-                sums[view] += s.values.to_numpy()
-        yield out(0, n, sums)
+            for k, n, sums in zip(*(b.column(i).to_pylist() for i in (1, 2, 3))):
+                put(found, k, n, np.frombuffer(sums))
+        yield out(0, found)
 
     got = pool.mapInArrow(run, schema).repartition(PARTS, "part").mapInArrow(add, schema).orderBy("view", "n", "sums").collect()
-    return [(sum(r["n"] for r in got if r["view"] == k), sum((np.array(r["sums"]) for r in got if r["view"] == k), np.zeros(views[k].size + views[k].size ** 2))) for k in (0, 1)]
+    total: dict[int, tuple[float, np.ndarray]] = {k: (0.0, np.zeros(v.size + v.size**2)) for k, v in enumerate(views)}
+    for r in got:
+        put(total, r["view"], r["n"], np.frombuffer(r["sums"]))
+    return [total[0], total[1]]
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", found: list | None = None) -> CoTrained:
@@ -236,7 +239,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", found: list
     every = cut(binned(docs, views, id_col))
     if found is not None:
         found.append(every)
-    pool = every.join(labels.where(F.col("doc_id").isNotNull()).select("doc_id").distinct(), "doc_id", "left_anti")
+    pool = cut(every.join(labels.where(F.col("doc_id").isNotNull()).select("doc_id").distinct(), "doc_id", "left_anti").select("doc_id", "t", "p"))
     for _ in range(ROUNDS):
         scales = [platt(v.logit(x), y[calibrate]) for v, x in zip(views, test)]
         teachers = [copy(v) for v in views]
