@@ -44,6 +44,13 @@ def masks(max_bits: int = MAX_BITS, kept: int = 2) -> list[int]:
 _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
 
 
+def majority(h: np.ndarray) -> int:
+    """The bits set in over half of some hashes; of none: 0."""
+    octets = np.ascontiguousarray(h, np.uint64).view(np.uint8).reshape(len(h), 8)
+    ones = np.concatenate([np.bincount(octets[:, k], minlength=256) @ _BITS for k in range(8)])
+    return int(np.packbits(2 * ones > len(h), bitorder="little").view(np.uint64)[0])
+
+
 def fingerprint(text: str | None) -> int:
     """Of one whole text: bit j is 1 if set in over half of its shingles' hashes; no words: 0."""
     import xxhash
@@ -57,10 +64,7 @@ def fingerprint(text: str | None) -> int:
     n = max(1, len(words) - SHINGLE + 1)
     a, b = starts[:n].tolist(), ends[-n:].tolist()
     one = xxhash.xxh64_intdigest
-    h = np.fromiter((one(joined[i:j], SEED) for i, j in zip(a, b)), np.uint64, n)
-    octets = h.view(np.uint8).reshape(n, 8)
-    ones = np.concatenate([np.bincount(octets[:, k], minlength=256) @ _BITS for k in range(8)])
-    return int(np.packbits(2 * ones > n, bitorder="little").view(np.uint64)[0])
+    return majority(np.fromiter((one(joined[i:j], SEED) for i, j in zip(a, b)), np.uint64, n))
 
 
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -102,13 +102,14 @@ def brute_shingles(text):
     return {b" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
 
 
-@pytest.mark.parametrize("near", [4, 0])
-def test_near_copies_of_the_pipeline_stage(spark, monkeypatch, near):
+@pytest.mark.parametrize(("near", "group"), [(4, 50_000), (0, 3)])
+def test_near_copies_of_the_pipeline_stage(spark, monkeypatch, near, group):
     """Every pair of 5-word Jaccard 0.8 or more is linked, however far its fingerprints are, and no other pair."""
     import corpus_pipeline
     from rowloom.llm import shingles
 
     monkeypatch.setattr(shingles, "NEAR", near)
+    monkeypatch.setattr(shingles, "GROUP", group)
     rng = np.random.default_rng(11)
     rows = []
     for base in range(14):
