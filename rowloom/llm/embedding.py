@@ -61,8 +61,9 @@ def _assign(spaces: dict[int, np.ndarray]):
     """Each vector to its home cell and to every cell whose border it is within half the linking angle of.
 
     Between two linked vectors of different cells the border of their cells passes; one of them is within half their
-    angle of it, so the pair meets in a cell where the other is at home. spaces: centres by length; a length without any
-    is one cell around its first axis. Cells are numbered through all lengths.
+    angle of it, so the pair meets in a cell where the other is at home. A row at home lists the cells it is sent to.
+    spaces: centres by length; a length without any is one cell around its first axis. Cells are numbered through all
+    lengths.
     """
     near = np.sin(_THETA / 2) + _SLACK
     names = ["cell", "home", "band", "rep", "n", "cells", "vec"]
@@ -89,7 +90,7 @@ def _assign(spaces: dict[int, np.ndarray]):
                     core = (angle <= _THETA / 2 - _SLACK) & (home[row] == cell)
                     band = np.where(core, 0, 1 + np.floor(angle / (_THETA / 2)).astype(np.int64))
                     at, first = pa.array(row), length * MOST_CELLS
-                    yield pa.RecordBatch.from_arrays([pa.array(cell + first), pa.array(home[row] + first), pa.array(band, pa.int32()), part.column(0).take(at), part.column(1).take(at), pa.array([lists[r] for r in row], pa.list_(pa.int64())), part.column(2).take(at)], names=names)
+                    yield pa.RecordBatch.from_arrays([pa.array(cell + first), pa.array(home[row] + first), pa.array(band, pa.int32()), part.column(0).take(at), part.column(1).take(at), pa.array([lists[r] if home[r] == c else [] for r, c in zip(row.tolist(), cell.tolist())], pa.list_(pa.int64())), part.column(2).take(at)], names=names)
 
     return run
 
@@ -228,7 +229,7 @@ def near_duplicates(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embed
     sent = placed.withColumn("part", F.explode(F.sequence(low, high))).where("not (part = 0 and band = 0 and home <> cell)")
     sent = sent.join(bands.select("cell", "part", "subs"), ["cell", "part"])
     inside = sent.where("cell = home and band = part").withColumn("sub", own_sub).withColumn("role", F.lit(0))
-    meeting = sent.where("not (part = 0 and band = 0)").withColumn("sub", F.explode(F.sequence(F.lit(0), F.col("subs") - 1))).withColumn("role", F.lit(1))
+    meeting = sent.where("not (part = 0 and band = 0)").withColumn("sub", F.explode(F.sequence(F.lit(0), F.col("subs") - 1))).withColumn("role", F.lit(1)).withColumn("cells", F.array().cast("array<long>"))
     meeting = meeting.where(~(at_home & (F.col("band") == F.col("part")) & (F.col("sub") == own_sub)))
     names = ["cell", "part", "sub", "role", "home", "rep", "n", "cells", "vec"]
     dealt = inside.select(*names).unionByName(meeting.select(*names)).repartition("cell", "part", "sub").sortWithinPartitions("cell", "part", "sub", "role")
