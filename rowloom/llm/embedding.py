@@ -15,6 +15,8 @@ from rowloom.llm.common import components, cut, table
 LEAST_COSINE = 0.95
 #: Vectors that the cells are fitted on at most, vectors a cell is meant for, cells of one length at least and at most, rounds of the fit.
 FIT_ROWS, CELL_ROWS, LEAST_CELLS, MOST_CELLS, ROUNDS = 65_536, 8_192, 16, 16_384, 8
+#: Bytes of the vectors that the cells are fitted on, of which the centres of one length take a quarter at most.
+FIT_BYTES = 64 << 20
 #: Home rows of a block, and rows multiplied at a time.
 BLOCK, STRIP = 4_096, 256
 
@@ -252,15 +254,16 @@ def near_duplicates(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embed
 
 
 def fit_spaces(groups: DataFrame) -> dict[int, np.ndarray]:
-    """Centres by vector length, fitted on FIT_ROWS vectors at most in the order of their digests. It shapes cells, no result."""
-    n_groups = groups.count()
-    sample = groups.orderBy("key").limit(FIT_ROWS).select("vec").collect()
+    """Centres by vector length, fitted on FIT_ROWS vectors and FIT_BYTES at most in the order of their digests. It shapes cells, no result."""
+    size = groups.agg(F.count("*").alias("n"), F.max(F.length("vec")).alias("bytes")).first()
+    n_groups = size["n"]
+    sample = groups.orderBy("key").limit(max(1, min(FIT_ROWS, FIT_BYTES // (size["bytes"] or 8)))).select("vec").collect()
     by_length: dict[int, list[bytes]] = {}
     for r in sample:
         by_length.setdefault(len(r["vec"]) // 8, []).append(bytes(r["vec"]))
     out = {}
     for length, raw in by_length.items():
-        k = int(min(MOST_CELLS, max(LEAST_CELLS, n_groups * len(raw) // len(sample) // CELL_ROWS), len(raw)))
+        k = int(min(MOST_CELLS, max(LEAST_CELLS, n_groups * len(raw) // len(sample) // CELL_ROWS), len(raw), FIT_BYTES // 32 // length))
         if k > 1:
             out[length] = fit_cells(unit(raw), k)
     return out
