@@ -11,10 +11,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rowloom.llm.common import cut, table
+from rowloom.llm.common import cut, drop_since, made, table
 
 #: Labelled rows that the fit uses at most, in the order of a hash of their ids.
 FIT_ROWS = 20_000
+#: Texts whose features a task counts at a time.
+SLICE = 500
 #: Lengths of the word beginnings that are features beside whole words.
 PREFIXES = (4, 5, 6)
 #: A feature needs so many documents and so many standard errors of log odds; a strong one also has such log odds.
@@ -48,7 +50,7 @@ def sample(docs: DataFrame, labels: DataFrame, label_col: str, id_col: str = "do
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in (whole.slice(lo, SLICE) for whole in batches for lo in range(0, whole.num_rows, SLICE)):
         seen: dict[tuple[int, int], Counter] = {(half, y): Counter() for half in (0, 1) for y in (0, 1)}
         for y, half, text in zip(*(c.to_pylist() for c in batch.columns)):
             for kind, found in enumerate(features(text)):
@@ -160,6 +162,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     Labels are binary, so grades above 0 need a signal that the model's own weights don't make: a toxic row is graded by
     the words that mark toxic texts in the half of the sample that it isn't in. A fifth of the rows is held for the cut.
     """
+    mark = made()
     picked = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     rows = sample(picked, labels, "toxic").withColumn("half", F.col("fold") % 2).withColumn("held", F.col("fold") < 2)
     names = vocabulary(rows.where(~F.col("held")))
@@ -175,6 +178,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), b.column(3), pa.array([_ids(t, kinds) for t in b.column(4).to_pylist()], pa.list_(pa.int32()))], names=["doc_id", "y", "held", "half", "ids"])
 
     got = rows.select("doc_id", "y", "held", "half", "text").mapInArrow(encode, "doc_id long, y int, held boolean, half int, ids array<int>").orderBy("doc_id").collect()
+    drop_since(mark)
     ids, y, held = [sorted(r["ids"]) for r in got], np.array([r["y"] for r in got]), np.array([r["held"] for r in got], bool)
     marks = np.array([int(strong[i, 1 - r["half"]].sum()) if i else 0 for i, r in zip(ids, got)])
     train = np.flatnonzero(~held)
