@@ -79,11 +79,11 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return picked.mapInArrow(_fingerprints, "doc_id long, fp long")
 
 
-def _link(group: np.ndarray, fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Spanning links of the fingerprints that share a group and differ in MAX_BITS bits at most.
+def _link(group: np.ndarray, fp: np.ndarray, max_bits: int = MAX_BITS) -> tuple[np.ndarray, np.ndarray]:
+    """Spanning links of the fingerprints that share a group and differ in max_bits bits at most.
 
     The distance table holds each fingerprint's distances to the pivots. By the triangle inequality two fingerprints
-    within MAX_BITS differ by no more in any coordinate: rows are sorted by the first one, so that only a window is
+    within max_bits differ by no more in any coordinate: rows are sorted by the first one, so that only a window is
     compared, the other coordinates discard pairs, and survivors are verified.
     """
     dist = np.bitwise_count(fp[:, None] ^ pivots()[None, :]).astype(np.int8)
@@ -96,15 +96,15 @@ def _link(group: np.ndarray, fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         lag += 1
         at = at[at + lag < len(fp)]
         to = at + lag
-        near = (group[at] == group[to]) & (dist[to, 0] - dist[at, 0] <= MAX_BITS)
+        near = (group[at] == group[to]) & (dist[to, 0] - dist[at, 0] <= max_bits)
         at = at[near]
         i, j = at, at + lag
         for p in range(1, dist.shape[1]):
             if not len(i):
                 break
-            ok = np.abs(dist[i, p] - dist[j, p]) <= MAX_BITS
+            ok = np.abs(dist[i, p] - dist[j, p]) <= max_bits
             i, j = i[ok], j[ok]
-        ok = np.bitwise_count(fp[i] ^ fp[j]) <= MAX_BITS
+        ok = np.bitwise_count(fp[i] ^ fp[j]) <= max_bits
         i, j = i[ok], j[ok]
         while len(i):
             a, b = label[i], label[j]
@@ -119,15 +119,15 @@ def _link(group: np.ndarray, fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return fp[moved], fp[label[moved]]
 
 
-def _cells(fp: np.ndarray, axes: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray]:
-    """Rows and the pivot cells they belong to: the own cell and, within MAX_BITS of its lower edge, the cell below, on each axis.
+def _cells(fp: np.ndarray, axes: tuple[int, ...], max_bits: int = MAX_BITS) -> tuple[np.ndarray, np.ndarray]:
+    """Rows and the pivot cells they belong to: the own cell and, within max_bits of its lower edge, the cell below, on each axis.
 
-    Two fingerprints within MAX_BITS meet in the cell of the smaller coordinate on each axis.
+    Two fingerprints within max_bits, CELL at most, meet in the cell of the smaller coordinate on each axis.
     """
     row, cell = np.arange(len(fp)), np.zeros(len(fp), np.int64)
     for axis in axes:
         d = np.bitwise_count(fp[row] ^ pivots()[axis]).astype(np.int64)
-        low = (d % CELL < MAX_BITS) & (d >= CELL)
+        low = (d % CELL < max_bits) & (d >= CELL)
         row, cell = np.concatenate((row, row[low])), np.concatenate((cell * 16 + d // CELL, cell[low] * 16 + d[low] // CELL - 1))
     return row, cell
 
@@ -135,55 +135,58 @@ def _cells(fp: np.ndarray, axes: tuple[int, ...]) -> tuple[np.ndarray, np.ndarra
 _ROWS, _GROUP = "t int, k long, cell long, fp long", ["t", "k", "cell"]
 
 
-def _split(axes: tuple[int, ...]):
+def _split(axes: tuple[int, ...], max_bits: int):
     """Rows of large groups to the cells that they belong to on some axes: each row apart, so a hot group is split in many tasks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             fp = b.column(3).to_numpy().view(np.uint64)
-            row, cell = _cells(fp, axes)
+            row, cell = _cells(fp, axes, max_bits)
             at = pa.array(row)
             yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at), pa.array(b.column(2).to_numpy()[row] * 16 ** len(axes) + cell), b.column(3).take(at)], names=["t", "k", "cell", "fp"])
 
     return run
 
 
-def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _compare(max_bits: int):
     """Links of complete groups, which come sorted by (t, k, cell) and hold some GROUP_ROWS at most."""
 
     def links(t, k, c, fp):
         new = np.ones(len(fp), bool)
         new[1:] = (t[1:] != t[:-1]) | (k[1:] != k[:-1]) | (c[1:] != c[:-1])
-        a, b = _link(np.cumsum(new), fp)
+        a, b = _link(np.cumsum(new), fp, max_bits)
         return pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], names=["a", "b"])
 
-    rest: list[np.ndarray] | None = None
-    for batch in batches:
-        new = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(4)]
-        new[3] = new[3].view(np.uint64)
-        t, k, c, fp = new if rest is None else (np.concatenate(x) for x in zip(rest, new))
-        if not len(fp):
-            continue
-        last = int(np.flatnonzero((t != t[-1]) | (k != k[-1]) | (c != c[-1])).max(initial=-1)) + 1
-        if last:
-            yield links(t[:last], k[:last], c[:last], fp[:last])
-        rest = [t[last:], k[last:], c[last:], fp[last:]]
-    if rest is not None and len(rest[3]) > 1:
-        yield links(*rest)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest: list[np.ndarray] | None = None
+        for batch in batches:
+            new = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(4)]
+            new[3] = new[3].view(np.uint64)
+            t, k, c, fp = new if rest is None else (np.concatenate(x) for x in zip(rest, new))
+            if not len(fp):
+                continue
+            last = int(np.flatnonzero((t != t[-1]) | (k != k[-1]) | (c != c[-1])).max(initial=-1)) + 1
+            if last:
+                yield links(t[:last], k[:last], c[:last], fp[:last])
+            rest = [t[last:], k[last:], c[last:], fp[last:]]
+        if rest is not None and len(rest[3]) > 1:
+            yield links(*rest)
+
+    return run
 
 
-def links(fps: DataFrame) -> DataFrame:
-    """a, b: links that connect all distinct fingerprints (column fp) within MAX_BITS of each other, without all pairs of a group.
+def links(fps: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
+    """a, b: links that connect all distinct fingerprints (column fp) within max_bits of each other, without all pairs of a group.
 
     Groups share two whole blocks of bits. A group over GROUP_ROWS goes to the cells of the pivot table, those still over
     it to the cells of more pivots, and what is left is cut into blocks by hash, each pair of which meets in one task.
     Sizes are counted first, so no task ever holds or streams a large group.
     """
-    keys = F.explode(F.array(*[F.struct(F.lit(i).alias("t"), F.col("fp").bitwiseAND(F.lit(m - (1 << 64) if m >> 63 else m)).alias("k")) for i, m in enumerate(masks())])).alias("x")
+    keys = F.explode(F.array(*[F.struct(F.lit(i).alias("t"), F.col("fp").bitwiseAND(F.lit(m - (1 << 64) if m >> 63 else m)).alias("k")) for i, m in enumerate(masks(max_bits))])).alias("x")
     rows = fps.select("fp", keys).select("x.t", "x.k", F.lit(0).cast("long").alias("cell"), "fp")
 
     def compared(groups: DataFrame) -> DataFrame:
-        return groups.select(*_GROUP, "fp").repartition(*_GROUP).sortWithinPartitions(*_GROUP).mapInArrow(_compare, "a long, b long")
+        return groups.select(*_GROUP, "fp").repartition(*_GROUP).sortWithinPartitions(*_GROUP).mapInArrow(_compare(max_bits), "a long, b long")
 
     found = []
     for axes in (*CELL_AXES, None):
@@ -193,7 +196,7 @@ def links(fps: DataFrame) -> DataFrame:
             break
         found.append(compared(rows.join(large, _GROUP, "left_anti")))
         if axes:
-            rows = cut(rows.join(large, _GROUP, "left_semi").select(*_GROUP, "fp").mapInArrow(_split(axes), _ROWS))
+            rows = cut(rows.join(large, _GROUP, "left_semi").select(*_GROUP, "fp").mapInArrow(_split(axes, max_bits), _ROWS))
             continue
         blocks = rows.join(large.withColumn("blocks", F.ceil(F.col("n") / GROUP_ROWS).cast("long")), _GROUP).withColumn("own", F.pmod(F.xxhash64("fp"), "blocks"))
         met = blocks.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
