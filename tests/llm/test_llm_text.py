@@ -133,6 +133,31 @@ def test_near_copies_of_the_pipeline_stage(spark, monkeypatch, near):
     assert shingles.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_fingerprints_gather_and_links_stay_linear(spark, monkeypatch):
+    """The pivot tables meet fingerprints at any radius; a group of near copies leaves the listing with fewer links than sets."""
+    import pyarrow as pa
+
+    from rowloom.llm import shingles
+
+    rng = np.random.default_rng(5)
+    fps = [int(x) for x in rng.integers(0, 2**63, 40)]
+    fps += [f ^ sum(1 << int(b) for b in rng.choice(63, k % 8, replace=False)) for k, f in enumerate(fps)]
+    links = simhash.links(spark.createDataFrame([(f,) for f in set(fps)], "fp long"), 6).collect()
+    want = brute_components(dict.fromkeys(fps), lambda x, y: (x ^ y).bit_count() <= 6)
+    met = {(r.a, r.b) for r in links}
+    assert all((a ^ b).bit_count() <= 6 for a, b in met) and brute_components(dict.fromkeys(fps), lambda x, y: (x, y) in met or (y, x) in met) == want
+    words = [f"w{k}" for k in range(200)]
+    sets = [shingles.shingle_set(" ".join([*words[:k], f"x{k}", *words[k:]])) for k in range(10, 190, 3)]
+    rows = sorted((int(s), len(x), k, int(p), k, shingles._sketch(x)) for k, x in enumerate(sets) for p, s in enumerate(shingles._prefix(x, x[:0], x[:0].astype(np.int64), shingles.LEAST).view(np.int64)))
+    batch = pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows)], names=["s", "n", "key", "pos", "label", "sketch"])
+    out = [b for b in shingles._likely(shingles.LEAST)(iter([batch]))]
+    assert 0 < sum(b.num_rows for b in out) < len(sets)
+    monkeypatch.setattr(shingles, "GROUP", 3)
+    monkeypatch.setattr(shingles, "LOAD", 500)
+    df = spark.createDataFrame([(k, " ".join([*words[:k], f"x{k}", *words[k:]])) for k in range(10, 190, 3)], "doc_id long, text string")
+    assert {r.component_id for r in shingles.near_duplicates(df).collect()} == {10}
+
+
 def brute_rules(text):
     text = text or ""
     w = split(text)
