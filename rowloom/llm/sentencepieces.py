@@ -7,6 +7,7 @@ the merges: at each step the best edge that joins exactly two current symbols. S
 
 from __future__ import annotations
 
+import hashlib
 import heapq
 from array import array
 from collections.abc import Iterator
@@ -14,10 +15,11 @@ from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from rowloom.llm.common import Cut, cut, let, setting, table
+from rowloom.llm.common import Cut, cut, drop_since, let, made, setting, table
 
 #: Where the model file lies; a parameter of every public function.
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
@@ -29,6 +31,10 @@ CHUNK = 256
 BROADCAST_BYTES = 24 << 20
 #: Words of a task whose edges are gathered in memory; a task with more sorts them.
 GROUPED_WORDS = 50_000
+#: Symbols of the texts that are put together at a time.
+BATCH_SYMBOLS = 1 << 20
+#: What tells texts apart: the id, whether there is none, and hashes.
+_ROW = ["id", "none", "tag", "more"]
 #: The sign that stands for a space in pieces.
 SPACE = "▁"
 #: ASCII punctuation, from which `Pieces.marks` picks those that never follow a letter in a piece.
@@ -83,6 +89,7 @@ class Pieces:
         self.rows = [(s.id_to_piece(i), i, float(s.get_score(i))) for i in ids if not (s.is_control(i) or s.is_unknown(i) or s.is_byte(i) or s.is_unused(i))]
         self.bytes = [i for i in ids if s.is_byte(i)]
         self.unknown = s.unk_id()
+        self.size = len(ids)
         self.longest = max(len(p) for p, _, _ in self.rows)
         if len(self.bytes) != 256 or self.bytes != list(range(self.bytes[0], self.bytes[0] + 256)):
             raise ValueError("the model has no row of 256 byte pieces")
@@ -98,15 +105,33 @@ class Pieces:
         """rows from the best score down."""
         return sorted(self.rows, key=lambda r: (-r[2], r[1]))
 
+    @property
+    def octets(self) -> list[bytes]:
+        """What each id decodes to; a control id or the unknown one to the replacement character."""
+        out = ["\ufffd".encode()] * self.size
+        for p, i, _ in self.rows:
+            out[i] = p.replace(SPACE, " ").encode()
+        for k, i in enumerate(self.bytes):
+            out[i] = bytes([k])
+        return out
+
     @property
     def word(self) -> str:
         """The pattern of words: spaces and what follows up to a space, a line end or a mark after a letter; spaces before a
         line end or the text's end; single line ends. No piece reaches over these borders: none holds a space sign after
-        another character, a line end, or one of `marks` after a letter. So words are encoded apart from each other.
+        another character, a line end, or one of `marks` after a letter. So words are encoded apart from each other. A space
+        sign in the text is encoded like a space; `word_of_plain` is the same, and faster, for texts without one.
         """
+        return self._pattern(f" {SPACE}")
+
+    @property
+    def word_of_plain(self) -> str:
+        return self._pattern(" ")
+
+    def _pattern(self, spaces: str) -> str:
         marks = "".join(f"\\{c}" for c in self.marks)
-        more = f"(?:[^ \\n{marks}]++|(?<!\\p{{L}})[{marks}])*+" if marks else "[^ \\n]*+"
-        return f" *+[^ \\n]{more}| ++|\\n"
+        more = f"(?:[^{spaces}\\n{marks}]++|(?<!\\p{{L}})[{marks}])*+" if marks else f"[^{spaces}\\n]*+"
+        return f"[{spaces}]*+[^{spaces}\\n]{more}|[{spaces}]++|\\n"
 
     def table(self, spark: SparkSession) -> DataFrame:
         """piece, id, score, rank and h, a 64-bit hash of the piece: joins are on it, and compare the pieces of what they find."""
@@ -116,7 +141,8 @@ class Pieces:
 
 def segments(text: Column, pieces: Pieces) -> Column:
     """The words of a text in order; joined they are the text after the space that encoding puts before it. Empty: none."""
-    return F.when(F.length(text) > 0, F.regexp_extract_all(F.concat(F.lit(" "), text), F.lit(pieces.word), F.lit(0))).otherwise(F.array().cast("array<string>"))
+    cuts = [F.regexp_extract_all(F.concat(F.lit(" "), text), F.lit(pattern), F.lit(0)) for pattern in (pieces.word, pieces.word_of_plain)]
+    return F.when(text == "", F.array().cast("array<string>")).when(F.contains(text, F.lit(SPACE)), cuts[0]).otherwise(cuts[1])
 
 
 def key(word: Column) -> Column:
@@ -338,24 +364,6 @@ def dictionary(docs: DataFrame, pieces: Pieces, text_col: str = "text") -> DataF
     return found
 
 
-def summary(docs: DataFrame, pieces: Pieces, text_col: str = "text") -> DataFrame:
-    """key, n_rows, n (tokens), h (a hash of the ids), exact (whether the ids decode to the word) of every distinct word.
-
-    Short words are decoded where they are encoded, without another shuffle.
-    """
-    counts = _counted(docs, pieces, text_col)
-    brief = ["key", "n_rows", F.size("ids").alias("n"), F.xxhash64("ids").alias("h")]
-    short = _encode_short(counts.df, pieces).select("word", *brief, "ids")
-    short = decode(short, ["word", "key", "n_rows", "n", "h"], pieces)
-    long = cut(_encode_long(counts.df, pieces))
-    long = long.join(decode(long.select("key", "ids"), ["key"], pieces), "key").select("word", *brief, "text")
-    exact = F.coalesce(F.col("text") == F.col("word"), F.lit(False)).alias("exact")
-    with _grouped_by_hash(docs.sparkSession):
-        found = cut(short.select("key", "n_rows", "n", "h", exact).unionByName(long.select("key", "n_rows", "n", "h", exact)))
-    counts.drop()
-    return found
-
-
 def frequent(found: DataFrame, size: Column) -> DataFrame:
     """The rows of a dictionary that occur most often: all from a least count on, so that their sizes add up to BROADCAST_BYTES at most."""
     by_count = found.groupBy("n_rows").agg(F.sum(size + 48).alias("bytes"))
@@ -400,41 +408,157 @@ def decode(encoded: DataFrame, key: list[str], pieces: Pieces) -> DataFrame:
     return parts.select(*key, F.regexp_replace(F.decode(F.unhex(F.array_join(F.col("x.o"), "")), "UTF-8"), SPACE, " ").alias("text"))
 
 
-def token_counts(docs: DataFrame, pieces: Pieces | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row for each row of docs: doc_id, n_parts, n_tokens, ids_hash (over positions and ids), decoded (all words decode to themselves).
+def _spread(starts: np.ndarray, lens: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """The pieces values[start : start + len] one after the other."""
+    ends = np.cumsum(lens)
+    return values[np.repeat(starts - ends + lens, lens) + np.arange(ends[-1] if len(ends) else 0)]
+
+
+def _coded(top, size: int, far: bool):
+    """A pass over texts cut into words (the last column), with the ids of frequent words in hand.
 
-    Null and empty texts have no parts, a null doc_id stays null, repeated rows each get a row, an empty table gives
-    none; other columns are ignored. The texts are cut into words twice: to find the dictionary, then to sum up its
-    values. In the second pass frequent words meet it in a broadcast join and leave one row a text; the others are
-    summed by text and word, and these sums meet the dictionary in a shuffled join. A position's and a word's share of
-    the hash are multiplied, so that sums over a word's positions can be taken before its ids are known.
+    far: a row for each different word of a text that isn't among them: the text's columns of _ROW, which come first, the
+    word's place j among these words of the text by first occurrence, and its key. Else a row for each text: its other
+    columns, n_parts, the number of symbols, and the symbols: ids in order, size + j where such a word stands, as 32-bit
+    numbers laid out by byte planes and compressed.
     """
-    pieces = pieces or Pieces()
-    brief = summary(docs, pieces, text_col)
-    top = F.broadcast(frequent(brief, F.octet_length("key")).select("key", "n", "h", "exact"))
-    words = _texts(docs, id_col, text_col).select("doc_id", "tag", "more", F.posexplode_outer(segments(F.col("text"), pieces)).alias("pos", "word"))
-    met = words.select("doc_id", "tag", "more", "pos", key(F.col("word")).alias("key")).join(top, "key", "left")
-    row = ["doc_id", "tag", "more"]
-
-    def share(c: str, shift: int) -> Column:
-        return F.shiftright(F.xxhash64(c) if c == "pos" else F.col(c), shift).bitwiseAND(F.lit(0x7FFF))
-
-    sums = met.groupBy(*row, F.when(F.col("n").isNull(), F.col("key")).alias("far")).agg(
-        F.count_if(F.coalesce("pos", F.lit(0)) == 0).alias("copies"),
-        F.count("pos").alias("parts"),
-        F.coalesce(F.sum("n"), F.lit(0)).alias("tokens"),
-        *[F.sum(F.when(F.col("pos").isNotNull(), share("pos", k) * F.coalesce(share("h", k), F.lit(1).cast("long"))).otherwise(0)).alias(c) for c, k in (("a", 0), ("b", 20))],
-        F.min("exact").alias("exact"),
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, starts, lens, values = top.value
+        codec = pa.Codec("zstd", compression_level=1)
+        for b in batches:
+            lists = b.column(b.num_columns - 1)
+            counts = lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+            words = lists.flatten()
+            long = pc.greater(pc.binary_length(words), MOST_CHARS)
+            if pc.any(long).as_py() and pc.any(long := pc.greater(pc.utf8_length(words), MOST_CHARS)).as_py():
+                digests = ["\n" + hashlib.md5(w).hexdigest() for w in words.filter(long).cast(pa.binary()).to_pylist()]
+                words = pc.replace_with_mask(words, long, pa.array(digests, words.type))
+            found = pc.index_in(words, value_set=keys)
+            missing = np.flatnonzero(found.is_null().to_numpy(zero_copy_only=False))
+            row_of = np.repeat(np.arange(b.num_rows), counts)[missing]
+            away = words.take(pa.array(missing))
+            js, new, seen, last = np.zeros(len(missing), np.int32), [], {}, -1
+            for k, (r, w) in enumerate(zip(row_of.tolist(), away.to_pylist())):
+                if r != last:
+                    seen, last = {}, r
+                if w not in seen:
+                    seen[w] = len(seen)
+                    new.append(k)
+                js[k] = seen[w]
+            if far:
+                at = pa.array(row_of[new])
+                yield pa.RecordBatch.from_arrays([*[b.column(c).take(at) for c in range(len(_ROW))], pa.array(js[new]), away.take(pa.array(new, pa.int64()))], names=[*_ROW, "j", "key"])
+                continue
+            at = found.fill_null(0).to_numpy()
+            # the places of words that are away come after all ids
+            word_starts, word_lens = (starts[at], lens[at]) if len(keys) else (np.zeros(len(at), np.int64), np.ones(len(at), np.int64))
+            word_starts[missing], word_lens[missing] = len(values) + js, 1
+            most = int(js.max(initial=-1)) + 1
+            symbols = _spread(word_starts, word_lens, np.concatenate([values, np.arange(size, size + most, dtype=np.int32)]))
+            ends = np.concatenate([[0], np.cumsum(word_lens)])[np.cumsum(counts)]
+            n = np.diff(ends, prepend=0)
+            blobs = [codec.compress(np.ascontiguousarray(symbols[e - k : e].view(np.uint8).reshape(-1, 4).T), asbytes=True) if k else b"" for e, k in zip(ends.tolist(), n.tolist())]
+            names = [*b.schema.names[:-1], "n_parts", "n", "symbols"]
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(counts), pa.array(n), pa.array(blobs, pa.binary())], names=names)
+
+    return run
+
+
+def _assembled(octets: list[bytes], n_others: int):
+    """Whole texts: symbols become ids, with the ids of the words that were away (the last column) put in; ids become the text's bytes.
+
+    Columns n_others and after are n_parts, n, symbols, away: an array of (j, ids). Those before are passed on.
+    """
+    size = len(octets)
+
+    def of(b: pa.RecordBatch) -> pa.RecordBatch:
+        n, blobs, away = (b.column(n_others + k) for k in (1, 2, 3))
+        n = n.to_numpy()
+        parts = [np.frombuffer(pa.decompress(x, decompressed_size=4 * k, codec="zstd", asbytes=True), np.uint8).reshape(4, -1).T.copy().view(np.int32).ravel() for x, k in zip(blobs.to_pylist(), n.tolist()) if k]
+        symbols = np.concatenate([np.zeros(0, np.int32), *parts])
+        gaps = np.flatnonzero(symbols >= size)
+        items = away.value_lengths().fill_null(0).to_numpy().astype(np.int64)
+        inner = away.flatten()
+        js, ids = inner.field("j").to_numpy(), inner.field("ids")
+        base = np.cumsum(items) - items
+        slot = np.full(len(js) + 1, -1)
+        slot[np.repeat(base, items) + js] = np.arange(len(js))
+        places = base[np.repeat(np.arange(b.num_rows), n)[gaps]] + symbols[gaps] - size
+        item = slot[places]
+        if (item < 0).any():
+            raise ValueError("a word's ids are missing")
+        item_lens = ids.value_lengths().to_numpy().astype(np.int64)
+        starts, lens = np.arange(len(symbols)), np.ones(len(symbols), np.int64)
+        starts[gaps], lens[gaps] = len(symbols) + (np.cumsum(item_lens) - item_lens)[item], item_lens[item]
+        whole = _spread(starts, lens, np.concatenate([symbols, ids.flatten().to_numpy()]))
+        ends = np.concatenate([[0], np.concatenate([[0], np.cumsum(lens)])[np.cumsum(n)]])
+        plain = table.take(pa.array(whole))
+        at = np.frombuffer(plain.buffers()[1], np.int32, len(whole) + 1)[ends]
+        texts = pa.BinaryArray.from_buffers(pa.binary(), b.num_rows, [None, pa.py_buffer(at.tobytes()), plain.buffers()[2]])
+        lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(whole, pa.int32()))
+        return pa.RecordBatch.from_arrays([*b.columns[: n_others + 1], lists, texts], names=[*b.schema.names[: n_others + 1], "ids", "octets"])
+
+    table = pa.array(octets, pa.binary())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            upto = np.cumsum(b.column(n_others + 1).to_numpy())
+            first = 0
+            while first < b.num_rows:
+                last = max(first + 1, int(np.searchsorted(upto, (upto[first - 1] if first else 0) + BATCH_SYMBOLS, "right")))
+                yield of(b.slice(first, last - first))
+                first = last
+
+    return run
+
+
+def encode_texts(docs: DataFrame, pieces: Pieces | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row for each row of docs: doc_id, n_parts (words), ids (of the whole text in order), text (what these ids decode to),
+    decoded (whether that is the row's text, by 64-bit hashes of both).
+
+    Null and empty texts have no parts and no ids, a null doc_id stays null, repeated rows each get a row, an empty table
+    gives none; other columns are ignored. The texts are cut into words three times: to find the dictionary; to find each
+    text's words that aren't among the frequent ones, whose ids are looked up by a shuffled join; and to put each text's ids in
+    order, where frequent words are found in a table of bounded size. A text travels once, as compressed ids, to meet the rest.
+    """
+    pieces, spark = pieces or Pieces(), docs.sparkSession
+    mark = made()
+    found = dictionary(docs, pieces, text_col)
+    frequent_words = frequent(found, F.octet_length("key") + 4 * F.size("ids")).select("key", "ids").toArrow()
+    ids = frequent_words["ids"].combine_chunks()
+    lens = ids.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+    top = spark.sparkContext.broadcast((frequent_words["key"].combine_chunks(), np.cumsum(lens) - lens, lens, ids.flatten().to_numpy(zero_copy_only=False)))
+    whole = F.xxhash64(F.concat(F.lit(" "), "text")).alias("whole")  # encoding puts a space before a text
+    row = [F.coalesce("doc_id", F.lit(0)).alias("id"), F.col("doc_id").isNull().alias("none"), "tag", "more"]
+    texts, words = _texts(docs, id_col, text_col), segments(F.col("text"), pieces).alias("words")
+    kinds = "id long, none boolean, tag long, more long"
+    size = len(pieces.octets)
+    away = texts.select(*row, words).mapInArrow(_coded(top, size, True), f"{kinds}, j int, key string")
+    away = away.join(found.select("key", "ids"), "key").repartition(*_ROW)
+    away = Cut(away.groupBy(*_ROW).agg(F.collect_list(F.struct("j", "ids")).alias("away")))
+    drop_since(mark, keep=away)
+    coded = texts.select(*row, whole, words).mapInArrow(_coded(top, size, False), f"{kinds}, whole long, n_parts long, n long, symbols binary")
+    met = coded.join(away.df.hint("shuffle_hash"), _ROW, "left").select("id", "none", "whole", "n_parts", "n", "symbols", "away")
+    out = met.mapInArrow(_assembled(pieces.octets, 3), "id long, none boolean, whole long, n_parts long, ids array<int>, octets binary")
+    return out.select(
+        F.when(~F.col("none"), F.col("id")).alias("doc_id"),
+        "n_parts",
+        "ids",
+        F.decode(F.substring("octets", 2, 1 << 30), "UTF-8").alias("text"),
+        ((F.col("n_parts") == 0) | (F.xxhash64("octets") == F.col("whole"))).alias("decoded"),
     )
-    sums = cut(sums)
-    values = brief.select(F.col("key").alias("far"), "n", "h", F.col("exact").alias("known"))
-    far = sums.join(values, "far").select(*row, "copies", "parts", (F.col("n") * F.col("parts")).alias("tokens"), *[(F.col(c) * share("h", k)).alias(c) for c, k in (("a", 0), ("b", 20))], F.col("known").alias("exact"))
-    near = sums.where("far is null").select(*row, "copies", "parts", "tokens", "a", "b", "exact")
-    each = near.unionByName(far).groupBy(*row).agg(*[F.sum(c).alias(c) for c in ("copies", "parts", "tokens", "a", "b")], F.coalesce(F.min("exact"), F.lit(True)).alias("decoded"))
-    whole = [F.call_function("div", F.col(c), F.col("copies")).alias(n) for c, n in (("parts", "n_parts"), ("tokens", "n_tokens"), ("a", "a"), ("b", "b"))]
-    rows = each.select("doc_id", *whole, "decoded", F.explode(F.sequence(F.lit(1).cast("long"), "copies")))
-    return rows.select("doc_id", "n_parts", "n_tokens", F.xxhash64("a", "b").alias("ids_hash"), "decoded")
+
+
+def _digests() -> list[Column]:
+    return [F.col("doc_id"), F.col("n_parts"), F.size("ids").cast("long").alias("n_tokens"), F.xxhash64("ids").alias("ids_hash"), F.col("decoded")]
+
+
+def token_counts(docs: DataFrame, pieces: Pieces | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, n_parts, n_tokens, ids_hash (of the whole id sequence), decoded: the digests of what `encode_texts` gives for each row."""
+    return encode_texts(docs, pieces, id_col, text_col).select(*_digests())
 
 
 def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_counts(table(spark, sf_dir, "documents"))
+    """The digests and the ids of every text."""
+    return encode_texts(table(spark, sf_dir, "documents")).select(*_digests(), "ids")

@@ -374,6 +374,25 @@ def test_long_words_equal_the_library(spark):
     assert counts == {i: (len(lib.encode(t)), True) for i, t in enumerate(texts)}
 
 
+@pytest.mark.parametrize("in_hand", [24 << 20, 2_000])
+def test_whole_texts_are_encoded_and_decoded(spark, docs, tmp_path, monkeypatch, in_hand):
+    """op2 returns each text's ids, its digests are of them, with most words in hand or looked up; the space sign in a text is a space."""
+    import sentencepiece
+
+    monkeypatch.setattr(sentencepieces, "BROADCAST_BYTES", in_hand)
+    lib = sentencepiece.SentencePieceProcessor(model_file=sentencepieces.MODEL)
+    signs = [(300 + i, t) for i, t in enumerate(["\u2581 a", "a\u2581\u2581  b", "\u2581\u2581\u2581 b", " \u2581", "=" * 80 + " x " + "=" * 80])]
+    docs.select("doc_id", "text").union(spark.createDataFrame(signs, "doc_id long, text string")).write.parquet(str(tmp_path / "documents.parquet"))
+    rows = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    want = Counter((r.doc_id, tuple(lib.encode(r.text or "")), "\u2581" not in (r.text or "")) for r in rows.collect())
+    out = sentencepieces.op2_sentencepiece(spark, str(tmp_path))
+    got = out.withColumn("same", F.col("ids_hash") == F.xxhash64("ids")).collect()
+    assert Counter((r.doc_id, tuple(r.ids), r.decoded) for r in got) == want
+    assert all(r.same and r.n_tokens == len(r.ids) for r in got)
+    texts = sentencepieces.encode_texts(rows).collect()
+    assert Counter((r.doc_id, r.text) for r in texts) == Counter((r.doc_id, (r.text or "").replace("\u2581", " ")) for r in rows.collect())
+
+
 def test_texts_without_ids_stay_apart(spark):
     df = spark.range(200_000).selectExpr("cast(null as long) as doc_id", "concat('t', id) as text")
     keyed = sentencepieces._texts(df, "doc_id", "text")
