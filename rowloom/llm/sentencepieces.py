@@ -31,8 +31,9 @@ CHUNK = 256
 BROADCAST_BYTES = 24 << 20
 #: Words of a task whose edges are gathered in memory; a task with more sorts them.
 GROUPED_WORDS = 50_000
-#: Symbols of the texts that are put together at a time.
-BATCH_SYMBOLS = 1 << 20
+#: Words of the texts that are looked up, and symbols of those that are put together, at a time; one text may hold more.
+BATCH_WORDS = 1 << 18
+BATCH_SYMBOLS = 1 << 18
 #: What tells texts apart: the id, whether there is none, and hashes.
 _ROW = ["id", "none", "tag", "more"]
 #: The sign that stands for a space in pieces.
@@ -414,6 +415,16 @@ def _spread(starts: np.ndarray, lens: np.ndarray, values: np.ndarray) -> np.ndar
     return values[np.repeat(starts - ends + lens, lens) + np.arange(ends[-1] if len(ends) else 0)]
 
 
+def _slices(sizes: np.ndarray, most: int) -> list[tuple[int, int]]:
+    """First row and number of rows of slices whose sizes add up to `most` at most, or of one row."""
+    upto, out, first = np.cumsum(sizes), [], 0
+    while first < len(sizes):
+        last = max(first + 1, int(np.searchsorted(upto, (upto[first - 1] if first else 0) + most, "right")))
+        out.append((first, last - first))
+        first = last
+    return out
+
+
 def _coded(top, size: int, far: bool):
     """A pass over texts cut into words (the last column), with the ids of frequent words in hand.
 
@@ -423,44 +434,55 @@ def _coded(top, size: int, far: bool):
     numbers laid out by byte planes and compressed.
     """
 
+    def short(words: pa.Array) -> pa.Array:
+        """The words as `key` has them."""
+        long = pc.greater(pc.binary_length(words), MOST_CHARS)
+        if pc.any(long).as_py() and pc.any(long := pc.greater(pc.utf8_length(words), MOST_CHARS)).as_py():
+            digests = ["\n" + hashlib.md5(w).hexdigest() for w in words.filter(long).cast(pa.binary()).to_pylist()]
+            words = pc.replace_with_mask(words, long, pa.array(digests, words.type))
+        return words
+
+    def of(b: pa.RecordBatch, words: pa.Array, found: pa.Array, codec: pa.Codec) -> pa.RecordBatch:
+        _, starts, lens, values = top.value
+        counts = b.column(b.num_columns - 1).value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+        missing = np.flatnonzero(found.is_null().to_numpy(zero_copy_only=False))
+        row_of = np.repeat(np.arange(b.num_rows), counts)[missing]
+        away = words.take(pa.array(missing))
+        js, new, seen, last = np.zeros(len(missing), np.int32), [], {}, -1
+        for k, (r, w) in enumerate(zip(row_of.tolist(), away.to_pylist())):
+            if r != last:
+                seen, last = {}, r
+            if w not in seen:
+                seen[w] = len(seen)
+                new.append(k)
+            js[k] = seen[w]
+        if far:
+            at = pa.array(row_of[new])
+            return pa.RecordBatch.from_arrays([*[b.column(c).take(at) for c in range(len(_ROW))], pa.array(js[new]), away.take(pa.array(new, pa.int64()))], names=[*_ROW, "j", "key"])
+        at = found.fill_null(0).to_numpy()
+        # the places of words that are away come after all ids
+        word_starts, word_lens = (starts[at], lens[at]) if len(lens) else (np.zeros(len(at), np.int64), np.ones(len(at), np.int64))
+        word_starts[missing], word_lens[missing] = len(values) + js, 1
+        most = int(js.max(initial=-1)) + 1
+        symbols = _spread(word_starts, word_lens, np.concatenate([values, np.arange(size, size + most, dtype=np.int32)]))
+        ends = np.concatenate([[0], np.cumsum(word_lens)])[np.cumsum(counts)]
+        n = np.diff(ends, prepend=0)
+        blobs = [codec.compress(np.ascontiguousarray(symbols[e - k : e].view(np.uint8).reshape(-1, 4).T), asbytes=True) if k else b"" for e, k in zip(ends.tolist(), n.tolist())]
+        names = [*b.schema.names[:-1], "n_parts", "n", "symbols"]
+        return pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(counts), pa.array(n), pa.array(blobs, pa.binary())], names=names)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, starts, lens, values = top.value
         codec = pa.Codec("zstd", compression_level=1)
         for b in batches:
             lists = b.column(b.num_columns - 1)
-            counts = lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
-            words = lists.flatten()
-            long = pc.greater(pc.binary_length(words), MOST_CHARS)
-            if pc.any(long).as_py() and pc.any(long := pc.greater(pc.utf8_length(words), MOST_CHARS)).as_py():
-                digests = ["\n" + hashlib.md5(w).hexdigest() for w in words.filter(long).cast(pa.binary()).to_pylist()]
-                words = pc.replace_with_mask(words, long, pa.array(digests, words.type))
-            found = pc.index_in(words, value_set=keys)
-            missing = np.flatnonzero(found.is_null().to_numpy(zero_copy_only=False))
-            row_of = np.repeat(np.arange(b.num_rows), counts)[missing]
-            away = words.take(pa.array(missing))
-            js, new, seen, last = np.zeros(len(missing), np.int32), [], {}, -1
-            for k, (r, w) in enumerate(zip(row_of.tolist(), away.to_pylist())):
-                if r != last:
-                    seen, last = {}, r
-                if w not in seen:
-                    seen[w] = len(seen)
-                    new.append(k)
-                js[k] = seen[w]
-            if far:
-                at = pa.array(row_of[new])
-                yield pa.RecordBatch.from_arrays([*[b.column(c).take(at) for c in range(len(_ROW))], pa.array(js[new]), away.take(pa.array(new, pa.int64()))], names=[*_ROW, "j", "key"])
-                continue
-            at = found.fill_null(0).to_numpy()
-            # the places of words that are away come after all ids
-            word_starts, word_lens = (starts[at], lens[at]) if len(keys) else (np.zeros(len(at), np.int64), np.ones(len(at), np.int64))
-            word_starts[missing], word_lens[missing] = len(values) + js, 1
-            most = int(js.max(initial=-1)) + 1
-            symbols = _spread(word_starts, word_lens, np.concatenate([values, np.arange(size, size + most, dtype=np.int32)]))
-            ends = np.concatenate([[0], np.cumsum(word_lens)])[np.cumsum(counts)]
-            n = np.diff(ends, prepend=0)
-            blobs = [codec.compress(np.ascontiguousarray(symbols[e - k : e].view(np.uint8).reshape(-1, 4).T), asbytes=True) if k else b"" for e, k in zip(ends.tolist(), n.tolist())]
-            names = [*b.schema.names[:-1], "n_parts", "n", "symbols"]
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(counts), pa.array(n), pa.array(blobs, pa.binary())], names=names)
+            cuts = _slices(lists.value_lengths().to_numpy(zero_copy_only=False), BATCH_WORDS)
+            words = [short(lists.slice(first, n).flatten()) for first, n in cuts]
+            # all at once, since each call lays the frequent words out anew
+            found = pc.index_in(pa.chunked_array(words, pa.string()), value_set=top.value[0])
+            at = 0
+            for k, (first, n) in enumerate(cuts):
+                yield of(b.slice(first, n), words[k], found.slice(at, len(words[k])).combine_chunks(), codec)
+                at, words[k] = at + len(words[k]), None
 
     return run
 
@@ -503,12 +525,8 @@ def _assembled(octets: list[bytes], n_others: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            upto = np.cumsum(b.column(n_others + 1).to_numpy())
-            first = 0
-            while first < b.num_rows:
-                last = max(first + 1, int(np.searchsorted(upto, (upto[first - 1] if first else 0) + BATCH_SYMBOLS, "right")))
-                yield of(b.slice(first, last - first))
-                first = last
+            for first, n in _slices(b.column(n_others + 1).to_numpy(), BATCH_SYMBOLS):
+                yield of(b.slice(first, n))
 
     return run
 

@@ -393,6 +393,63 @@ def test_whole_texts_are_encoded_and_decoded(spark, docs, tmp_path, monkeypatch,
     assert Counter((r.doc_id, r.text) for r in texts) == Counter((r.doc_id, (r.text or "").replace("\u2581", " ")) for r in rows.collect())
 
 
+def coded_batch(texts):
+    import pyarrow as pa
+
+    n = len(texts)
+    columns = [pa.array(range(n), pa.int64()), pa.array([False] * n), pa.array(range(n), pa.int64()), pa.array([0] * n, pa.int64()), pa.array(texts, pa.list_(pa.string()))]
+    return pa.RecordBatch.from_arrays(columns, names=["id", "none", "tag", "more", "words"])
+
+
+def in_hand_words(*words):
+    from types import SimpleNamespace
+
+    import pyarrow as pa
+
+    lens = np.arange(1, len(words) + 1)
+    return SimpleNamespace(value=(pa.array(words), np.cumsum(lens) - lens, lens, np.arange(lens.sum(), dtype=np.int32)))
+
+
+@pytest.mark.parametrize("most", [1, 7, 1 << 30])
+def test_texts_are_coded_alike_in_slices_of_any_size(monkeypatch, most):
+    import pyarrow as pa
+
+    texts = [[], ["a", "x", "b", "x", "y"], ["y"] * 9, [], ["a"], ["z" * 61, "b", "é" * 40], ["é" * 61, "x"], [], []]
+    monkeypatch.setattr(sentencepieces, "BATCH_WORDS", most)
+    top, n_ids = in_hand_words("a", "b"), 3
+    far = pa.Table.from_batches(sentencepieces._coded(top, n_ids, True)(iter([coded_batch(texts), coded_batch([[]])]))).to_pylist()
+    digest = {w: "\n" + hashlib.md5(w.encode()).hexdigest() for w in ("z" * 61, "é" * 61)}
+    away = [list(dict.fromkeys(digest.get(w, w) for w in ws if w not in ("a", "b"))) for ws in texts]
+    assert [(r["id"], r["j"], r["key"]) for r in far] == [(i, j, w) for i, ws in enumerate(away) for j, w in enumerate(ws)]
+    near = pa.Table.from_batches(sentencepieces._coded(top, n_ids, False)(iter([coded_batch(texts)]))).to_pylist()
+    ids = {"a": [0], "b": [1, 2]}
+    want = [[x for w in ws for x in ids.get(w) or [n_ids + away[i].index(digest.get(w, w))]] for i, ws in enumerate(texts)]
+    got = [np.frombuffer(pa.decompress(r["symbols"], 4 * r["n"], "zstd", asbytes=True), np.uint8).reshape(4, -1).T.copy().view(np.int32).ravel().tolist() if r["n"] else [] for r in near]
+    assert got == want and [r["n_parts"] for r in near] == [len(ws) for ws in texts]
+    # put together again, in slices of the same size: every word that was away gets its ids
+    monkeypatch.setattr(sentencepieces, "BATCH_SYMBOLS", most)
+    items = pa.array([[{"j": j, "ids": [1] * (j + 1)} for j in range(len(ws))] or None for ws in away], pa.list_(pa.struct([("j", pa.int32()), ("ids", pa.list_(pa.int32()))])))
+    columns = [pa.array([r[c] for r in near], t) for c, t in (("id", pa.int64()), ("n_parts", pa.int64()), ("n", pa.int64()), ("symbols", pa.binary()))]
+    whole = pa.Table.from_batches(sentencepieces._assembled([b"p", b"q", b"r"], 1)(iter([pa.RecordBatch.from_arrays([*columns, items], names=["id", "n_parts", "n", "symbols", "away"])]))).to_pylist()
+    full = [[y for x in xs for y in ([x] if x < n_ids else [1] * (x - n_ids + 1))] for xs in want]
+    assert [r["ids"] for r in whole] == full and [r["octets"] for r in whole] == [bytes(b"pqr"[y] for y in ys) for ys in full]
+
+
+@pytest.mark.parametrize("far", [True, False])
+def test_memory_of_coding_does_not_grow_with_a_batch(far):
+    import tracemalloc
+
+    batch = coded_batch([["a", "b", "c", "b"] * 500] * 2_000)
+    tracemalloc.start()
+    try:
+        for out in sentencepieces._coded(in_hand_words("a", "b"), 3, far)(iter([batch])):
+            assert out.num_rows
+        most = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert most < 80 << 20, most
+
+
 def test_texts_without_ids_stay_apart(spark):
     df = spark.range(200_000).selectExpr("cast(null as long) as doc_id", "concat('t', id) as text")
     keyed = sentencepieces._texts(df, "doc_id", "text")
