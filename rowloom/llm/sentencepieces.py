@@ -31,8 +31,8 @@ CHUNK = 256
 BROADCAST_BYTES = 24 << 20
 #: Words of a task whose edges are gathered in memory; a task with more sorts them.
 GROUPED_WORDS = 50_000
-#: Words of the texts that are looked up, and symbols of those that are put together, at a time; one text may hold more.
-BATCH_WORDS = 1 << 18
+#: Bytes of the texts that are looked up, and symbols of those that are put together, at a time; one text may hold more.
+BATCH_BYTES = 1 << 21
 BATCH_SYMBOLS = 1 << 18
 #: What tells texts apart: the id, whether there is none, and hashes.
 _ROW = ["id", "none", "tag", "more"]
@@ -120,7 +120,8 @@ class Pieces:
     def word(self) -> str:
         """The pattern of words: spaces and what follows up to a space, a line end or a mark after a letter; spaces before a
         line end or the text's end; single line ends. No piece reaches over these borders: none holds a space sign after
-        another character, a line end, or one of `marks` after a letter. So words are encoded apart from each other. A space
+        another character, a line end, or one of `marks` after a letter; of letters A-Z and a-z make borders here, so that
+        `_cut_texts` finds the same ones in bytes. So words are encoded apart from each other. A space
         sign in the text is encoded like a space; `word_of_plain` is the same, and faster, for texts without one.
         """
         return self._pattern(f" {SPACE}")
@@ -131,7 +132,7 @@ class Pieces:
 
     def _pattern(self, spaces: str) -> str:
         marks = "".join(f"\\{c}" for c in self.marks)
-        more = f"(?:[^{spaces}\\n{marks}]++|(?<!\\p{{L}})[{marks}])*+" if marks else f"[^{spaces}\\n]*+"
+        more = f"(?:[^{spaces}\\n{marks}]++|(?<![A-Za-z])[{marks}])*+" if marks else f"[^{spaces}\\n]*+"
         return f"[{spaces}]*+[^{spaces}\\n]{more}|[{spaces}]++|\\n"
 
     def table(self, spark: SparkSession) -> DataFrame:
@@ -140,9 +141,14 @@ class Pieces:
         return cut(spark.createDataFrame(rows, "piece string, id int, score double, rank int").withColumn("h", F.xxhash64("piece")).coalesce(1))
 
 
+def _spaced(text: Column) -> Column:
+    """The text after the space that encoding puts before it, bytes that are no UTF-8 replaced; an empty one stays empty."""
+    return F.when(text == "", text).otherwise(F.concat(F.lit(" "), F.make_valid_utf8(text)))
+
+
 def segments(text: Column, pieces: Pieces) -> Column:
     """The words of a text in order; joined they are the text after the space that encoding puts before it. Empty: none."""
-    cuts = [F.regexp_extract_all(F.concat(F.lit(" "), text), F.lit(pattern), F.lit(0)) for pattern in (pieces.word, pieces.word_of_plain)]
+    cuts = [F.regexp_extract_all(_spaced(text), F.lit(pattern), F.lit(0)) for pattern in (pieces.word, pieces.word_of_plain)]
     return F.when(text == "", F.array().cast("array<string>")).when(F.contains(text, F.lit(SPACE)), cuts[0]).otherwise(cuts[1])
 
 
@@ -352,8 +358,8 @@ def _grouped_by_hash(spark: SparkSession):
 
 def _counted(docs: DataFrame, pieces: Pieces, text_col: str) -> Cut:
     """word, n_rows of every distinct word of the documents, written to the shared folder."""
-    words = docs.select(F.explode(segments(F.coalesce(F.col(text_col).cast("string"), F.lit("")), pieces)).alias("word"))
-    return Cut(words.groupBy("word").agg(F.count("*").alias("n_rows")))
+    words = docs.select(_spaced(F.coalesce(F.col(text_col).cast("string"), F.lit(""))).alias("spaced")).mapInArrow(_tallied(pieces.marks), "word string, n long")
+    return Cut(words.groupBy("word").agg(F.sum("n").alias("n_rows")))
 
 
 def dictionary(docs: DataFrame, pieces: Pieces, text_col: str = "text") -> DataFrame:
@@ -425,8 +431,56 @@ def _slices(sizes: np.ndarray, most: int) -> list[tuple[int, int]]:
     return out
 
 
-def _coded(top, size: int, far: bool):
-    """A pass over texts cut into words (the last column), with the ids of frequent words in hand.
+def _cut_texts(texts: pa.StringArray, marks: str) -> tuple[pa.StringArray, np.ndarray]:
+    """The words that `segments` cuts texts into, which come after their space, and how many each text has.
+
+    A border depends on the characters on its two sides alone: line ends stand alone, spaces begin a word unless they follow
+    one, and so do marks after a letter. So it is found in the bytes, of which no copy is made.
+    """
+    kind, border = np.zeros(256, np.uint8), np.zeros((8, 8), bool)
+    space, line_end, mark, letter = 1, 2, 3, 4
+    for k, chars in ((space, b" "), (line_end, b"\n"), (mark, marks.encode()), (letter, bytes(c for c in range(128) if chr(c).isalpha()))):
+        kind[list(chars)] = k
+    border[line_end], border[:, line_end], border[:, space], border[letter, mark] = True, True, True, True
+    border[space, space] = False
+
+    _, offsets, buffer = texts.buffers()
+    offsets = np.frombuffer(offsets, np.int32)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
+    data = np.frombuffer(buffer or b"", np.uint8)[offsets[0] : offsets[-1]]
+    kinds = kind[data]
+    if SPACE.encode() in memoryview(data).tobytes():
+        signs = np.flatnonzero((data[:-2] == 0xE2) & (data[1:-1] == 0x96) & (data[2:] == 0x81))
+        for k in range(3):
+            kinds[signs + k] = space
+    begins = np.zeros(len(data), bool)
+    begins[1:] = border.ravel()[kinds[:-1] << 3 | kinds[1:]]
+    upto = offsets - offsets[0]
+    begins[upto[:-1][upto[:-1] < upto[1:]]] = True
+    starts = np.flatnonzero(begins)
+    ends = (np.append(starts, len(data)) + offsets[0]).astype(np.int32)
+    return pa.StringArray.from_buffers(len(starts), pa.py_buffer(ends), buffer), np.diff(np.searchsorted(starts, upto))
+
+
+def _cut_batch(texts: pa.Array, marks: str) -> Iterator[tuple[int, int, pa.StringArray, np.ndarray]]:
+    """First row, number of rows, words and their counts, by slices."""
+    texts = texts.cast(pa.string())
+    for first, n in _slices(pc.binary_length(texts).to_numpy(zero_copy_only=False), BATCH_BYTES):
+        yield first, n, *_cut_texts(texts.slice(first, n), marks)
+
+
+def _tallied(marks: str):
+    """A pass over texts after their space (the only column): each different word of a batch and how often it occurs."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = pa.chunked_array([words for _, _, words, _ in _cut_batch(b.column(0), marks)], pa.string()).value_counts()
+            yield pa.RecordBatch.from_arrays([found.field("values"), found.field("counts")], names=["word", "n"])
+
+    return run
+
+
+def _coded(top, size: int, marks: str, far: bool):
+    """A pass over texts after their space (the last column), with the ids of frequent words in hand.
 
     far: a row for each different word of a text that isn't among them: the text's columns of _ROW, which come first, the
     word's place j among these words of the text by first occurrence, and its key. Else a row for each text: its other
@@ -442,9 +496,8 @@ def _coded(top, size: int, far: bool):
             words = pc.replace_with_mask(words, long, pa.array(digests, words.type))
         return words
 
-    def of(b: pa.RecordBatch, words: pa.Array, found: pa.Array, codec: pa.Codec) -> pa.RecordBatch:
+    def of(b: pa.RecordBatch, counts: np.ndarray, words: pa.Array, found: pa.Array, codec: pa.Codec) -> pa.RecordBatch:
         _, starts, lens, values = top.value
-        counts = b.column(b.num_columns - 1).value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
         missing = np.flatnonzero(found.is_null().to_numpy(zero_copy_only=False))
         row_of = np.repeat(np.arange(b.num_rows), counts)[missing]
         away = words.take(pa.array(missing))
@@ -474,15 +527,13 @@ def _coded(top, size: int, far: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = pa.Codec("zstd", compression_level=1)
         for b in batches:
-            lists = b.column(b.num_columns - 1)
-            cuts = _slices(lists.value_lengths().to_numpy(zero_copy_only=False), BATCH_WORDS)
-            words = [short(lists.slice(first, n).flatten()) for first, n in cuts]
+            cuts = [(first, n, short(words), counts) for first, n, words, counts in _cut_batch(b.column(b.num_columns - 1), marks)]
             # all at once, since each call lays the frequent words out anew
-            found = pc.index_in(pa.chunked_array(words, pa.string()), value_set=top.value[0])
+            found = pc.index_in(pa.chunked_array([words for _, _, words, _ in cuts], pa.string()), value_set=top.value[0])
             at = 0
-            for k, (first, n) in enumerate(cuts):
-                yield of(b.slice(first, n), words[k], found.slice(at, len(words[k])).combine_chunks(), codec)
-                at, words[k] = at + len(words[k]), None
+            for first, n, words, counts in cuts:
+                yield of(b.slice(first, n), counts, words, found.slice(at, len(words)).combine_chunks(), codec)
+                at += len(words)
 
     return run
 
@@ -536,7 +587,7 @@ def encode_texts(docs: DataFrame, pieces: Pieces | None = None, id_col: str = "d
     decoded (whether that is the row's text, by 64-bit hashes of both).
 
     Null and empty texts have no parts and no ids, a null doc_id stays null, repeated rows each get a row, an empty table
-    gives none; other columns are ignored. The texts are cut into words three times: to find the dictionary; to find each
+    gives none; other columns are ignored. The texts are cut into words three times, in their bytes: to find the dictionary; to find each
     text's words that aren't among the frequent ones, whose ids are looked up by a shuffled join; and to put each text's ids in
     order, where frequent words are found in a table of bounded size. A text travels once, as compressed ids, to meet the rest.
     """
@@ -544,19 +595,19 @@ def encode_texts(docs: DataFrame, pieces: Pieces | None = None, id_col: str = "d
     mark = made()
     found = dictionary(docs, pieces, text_col)
     frequent_words = frequent(found, F.octet_length("key") + 4 * F.size("ids")).select("key", "ids").toArrow()
-    ids = frequent_words["ids"].combine_chunks()
+    ids, keys = frequent_words["ids"].combine_chunks(), frequent_words["key"].combine_chunks().cast(pa.string())
     lens = ids.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
-    top = spark.sparkContext.broadcast((frequent_words["key"].combine_chunks(), np.cumsum(lens) - lens, lens, ids.flatten().to_numpy(zero_copy_only=False)))
+    top = spark.sparkContext.broadcast((keys, np.cumsum(lens) - lens, lens, ids.flatten().to_numpy(zero_copy_only=False)))
     whole = F.xxhash64(F.concat(F.lit(" "), "text")).alias("whole")  # encoding puts a space before a text
     row = [F.coalesce("doc_id", F.lit(0)).alias("id"), F.col("doc_id").isNull().alias("none"), "tag", "more"]
-    texts, words = _texts(docs, id_col, text_col), segments(F.col("text"), pieces).alias("words")
+    texts, spaced = _texts(docs, id_col, text_col), _spaced(F.col("text")).alias("spaced")
     kinds = "id long, none boolean, tag long, more long"
     size = len(pieces.octets)
-    away = texts.select(*row, words).mapInArrow(_coded(top, size, True), f"{kinds}, j int, key string")
+    away = texts.select(*row, spaced).mapInArrow(_coded(top, size, pieces.marks, True), f"{kinds}, j int, key string")
     away = away.join(found.select("key", "ids"), "key").repartition(*_ROW)
     away = Cut(away.groupBy(*_ROW).agg(F.collect_list(F.struct("j", "ids")).alias("away")))
     drop_since(mark, keep=away)
-    coded = texts.select(*row, whole, words).mapInArrow(_coded(top, size, False), f"{kinds}, whole long, n_parts long, n long, symbols binary")
+    coded = texts.select(*row, whole, spaced).mapInArrow(_coded(top, size, pieces.marks, False), f"{kinds}, whole long, n_parts long, n long, symbols binary")
     met = coded.join(away.df.hint("shuffle_hash"), _ROW, "left").select("id", "none", "whole", "n_parts", "n", "symbols", "away")
     out = met.mapInArrow(_assembled(pieces.octets, 3), "id long, none boolean, whole long, n_parts long, ids array<int>, octets binary")
     return out.select(

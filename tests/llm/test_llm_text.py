@@ -396,9 +396,11 @@ def test_whole_texts_are_encoded_and_decoded(spark, docs, tmp_path, monkeypatch,
 def coded_batch(texts):
     import pyarrow as pa
 
+    texts = ["".join(words) for words in texts]
+
     n = len(texts)
-    columns = [pa.array(range(n), pa.int64()), pa.array([False] * n), pa.array(range(n), pa.int64()), pa.array([0] * n, pa.int64()), pa.array(texts, pa.list_(pa.string()))]
-    return pa.RecordBatch.from_arrays(columns, names=["id", "none", "tag", "more", "words"])
+    columns = [pa.array(range(n), pa.int64()), pa.array([False] * n), pa.array(range(n), pa.int64()), pa.array([0] * n, pa.int64()), pa.array(texts, pa.string())]
+    return pa.RecordBatch.from_arrays(columns, names=["id", "none", "tag", "more", "spaced"])
 
 
 def in_hand_words(*words):
@@ -414,15 +416,15 @@ def in_hand_words(*words):
 def test_texts_are_coded_alike_in_slices_of_any_size(monkeypatch, most):
     import pyarrow as pa
 
-    texts = [[], ["a", "x", "b", "x", "y"], ["y"] * 9, [], ["a"], ["z" * 61, "b", "é" * 40], ["é" * 61, "x"], [], []]
-    monkeypatch.setattr(sentencepieces, "BATCH_WORDS", most)
-    top, n_ids = in_hand_words("a", "b"), 3
-    far = pa.Table.from_batches(sentencepieces._coded(top, n_ids, True)(iter([coded_batch(texts), coded_batch([[]])]))).to_pylist()
-    digest = {w: "\n" + hashlib.md5(w.encode()).hexdigest() for w in ("z" * 61, "é" * 61)}
-    away = [list(dict.fromkeys(digest.get(w, w) for w in ws if w not in ("a", "b"))) for ws in texts]
+    texts = [[], [" a", " x", " b", " x", " y"], [" y"] * 9, [], [" a"], [" " + "z" * 61, " b", " " + "é" * 40], [" " + "é" * 61, " x"], [], []]
+    monkeypatch.setattr(sentencepieces, "BATCH_BYTES", most)
+    top, n_ids, marks = in_hand_words(" a", " b"), 3, ","
+    far = pa.Table.from_batches(sentencepieces._coded(top, n_ids, marks, True)(iter([coded_batch(texts), coded_batch([[]])]))).to_pylist()
+    digest = {w: "\n" + hashlib.md5(w.encode()).hexdigest() for w in (" " + "z" * 61, " " + "é" * 61)}
+    away = [list(dict.fromkeys(digest.get(w, w) for w in ws if w not in (" a", " b"))) for ws in texts]
     assert [(r["id"], r["j"], r["key"]) for r in far] == [(i, j, w) for i, ws in enumerate(away) for j, w in enumerate(ws)]
-    near = pa.Table.from_batches(sentencepieces._coded(top, n_ids, False)(iter([coded_batch(texts)]))).to_pylist()
-    ids = {"a": [0], "b": [1, 2]}
+    near = pa.Table.from_batches(sentencepieces._coded(top, n_ids, marks, False)(iter([coded_batch(texts)]))).to_pylist()
+    ids = {" a": [0], " b": [1, 2]}
     want = [[x for w in ws for x in ids.get(w) or [n_ids + away[i].index(digest.get(w, w))]] for i, ws in enumerate(texts)]
     got = [np.frombuffer(pa.decompress(r["symbols"], 4 * r["n"], "zstd", asbytes=True), np.uint8).reshape(4, -1).T.copy().view(np.int32).ravel().tolist() if r["n"] else [] for r in near]
     assert got == want and [r["n_parts"] for r in near] == [len(ws) for ws in texts]
@@ -439,10 +441,10 @@ def test_texts_are_coded_alike_in_slices_of_any_size(monkeypatch, most):
 def test_memory_of_coding_does_not_grow_with_a_batch(far):
     import tracemalloc
 
-    batch = coded_batch([["a", "b", "c", "b"] * 500] * 2_000)
+    batch = coded_batch([[" a", " b", " c", " b"] * 500] * 2_000)
     tracemalloc.start()
     try:
-        for out in sentencepieces._coded(in_hand_words("a", "b"), 3, far)(iter([batch])):
+        for out in sentencepieces._coded(in_hand_words(" a", " b"), 3, ",", far)(iter([batch])):
             assert out.num_rows
         most = tracemalloc.get_traced_memory()[1]
     finally:
@@ -450,6 +452,37 @@ def test_memory_of_coding_does_not_grow_with_a_batch(far):
     assert most < 80 << 20, most
 
 
+@pytest.mark.parametrize("most", [1, 50, 1 << 21])
+def test_words_are_cut_in_bytes_as_by_the_pattern(spark, monkeypatch, most):
+    import random
+
+    import pyarrow as pa
+
+    monkeypatch.setattr(sentencepieces, "BATCH_BYTES", most)
+    pieces, rng = sentencepieces.Pieces(), random.Random(5)
+    pool = [*sentencepieces.PUNCTUATION, *" \u2581\n\n  \r\t\xa0\x00", *"abZé日\U0001f600\u0301\ue096\u2580\u2582", "word", "don't", "caf\u00e9,", "e.g."]
+    texts = ["", " ", "\n", "\u2581", "a", *[t for t in TEXTS if t], *["".join(rng.choice(pool) for _ in range(rng.randrange(40))) for _ in range(600)]]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, text string")
+    rows = df.select(sentencepieces.segments(F.col("text"), pieces).alias("words"), sentencepieces._spaced(F.col("text")).alias("spaced")).collect()
+    got = []
+    for _, n, words, counts in sentencepieces._cut_batch(pa.array(["cut off", *[r.spaced for r in rows]]).slice(1), pieces.marks):
+        ends = np.cumsum(counts)
+        got += [words[e - k : e].to_pylist() for e, k in zip(ends.tolist(), counts.tolist())]
+        assert len(counts) == n and ends[-1] == len(words)
+    assert got == [r.words for r in rows]
+    counted = {r.word: r.n_rows for r in sentencepieces._counted(df, pieces, "text").df.collect()}
+    assert counted == Counter(w for ws in got for w in ws)
+
+
+def test_texts_that_are_no_utf8(spark):
+    import sentencepiece
+
+    lib = sentencepiece.SentencePieceProcessor(model_file=sentencepieces.MODEL)
+    df = spark.sql("select * from values (1L, cast(X'61FF2062' as string)), (2L, 'ab') as t(doc_id, text)")
+    got = {r.doc_id: (list(r.ids), r.decoded) for r in sentencepieces.encode_texts(df).collect()}
+    assert got == {1: (lib.encode("a\ufffd b"), False), 2: (lib.encode("ab"), True)}
+
+
 def test_texts_without_ids_stay_apart(spark):
     df = spark.range(200_000).selectExpr("cast(null as long) as doc_id", "concat('t', id) as text")
     keyed = sentencepieces._texts(df, "doc_id", "text")
